@@ -199,14 +199,15 @@ def hits(refs: DataFrame, shard_filters: DataFrame, shards: int = SHARDS, salts:
 
 def drops(refs: DataFrame, live: DataFrame, shard_filters: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, keys: what each document loses (all live keys but those whose largest doc_id it is)."""
-    exact = hits(refs, shard_filters, shards).join(live, ["key", "key2"]).where(F.col("doc_id") != F.col("last"))
+    exact = hits(refs, shard_filters, shards).hint("merge").join(live, ["key", "key2"]).where(F.col("doc_id") != F.col("last"))
     return exact.groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set("key2").alias("keys2"))
 
 
 def apply_drops(docs: DataFrame, dropped: DataFrame, keep: tuple[str, ...], min_chars: int = MIN_CHARS) -> DataFrame:
     """The ``keep`` columns of every row, then n_lines, n_dropped and kept_text."""
     own = docs.select(*keep, F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
-    both = own.join(dropped.withColumnRenamed("doc_id", "_drop_id"), F.col("_id") == F.col("_drop_id"), "left").drop("_id", "_drop_id")
+    # always a merge join: the plan, and so its growth, is the same at every size
+    both = own.hint("merge").join(dropped.withColumnRenamed("doc_id", "_drop_id"), F.col("_id") == F.col("_drop_id"), "left").drop("_id", "_drop_id")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
