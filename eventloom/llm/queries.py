@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, materialise
-from . import fingerprints, language, linededup, packing, quality
+from . import fingerprints, htmltext, language, linededup, packing, pieces, quality, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,11 @@ def fold(remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == remainder, F.lit(False))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return tokencount.count_edits(docs.select("doc_id", "text", tokencount.sample_edits().alias("edits")))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(load(spark, sf_dir, "documents"))
 
@@ -39,14 +44,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(load(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(load(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
     "op2_fingerprints": op2_fingerprints,
     "op3_language_id": op3_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_sentence_pieces": op8_sentence_pieces,
     "op9_packing": op9_packing,
+    "op10_html_text": op10_html_text,
 }
