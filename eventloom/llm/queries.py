@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, materialise
-from . import fingerprints, htmltext, language, linededup, packing, pieces, quality, tokencount
+from . import fingerprints, hmm, htmltext, language, linededup, packing, pieces, quality, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return hmm.score(docs, hmm.fit(docs.where(~fold(1)).select("text")), fold(1))
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(load(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_hidden_markov": op7_hidden_markov,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
