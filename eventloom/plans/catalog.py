@@ -2,19 +2,270 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import magic, strings, structured, types
+from ..operators import aggregates, filters, joins, keyed, shape, sorts
 from ..session import load
+from ..streaming import replay, stateful
+from . import graph
+from .calc import calc
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' busiest sessions: hour gaps, total value, top ten."""
     e = load(spark, sf_dir, "events")
-    w = W.partitionBy("user_id").orderBy("event_id")
-    gap = F.col("s") - F.lag("s").over(w) >= 3600
-    s = e.withColumn("s", F.col("ts").cast("long")).withColumn("session", F.sum(F.when(gap, 1).otherwise(0)).over(w))
-    return s.groupBy("user_id", "session").agg(F.sum("value").alias("total"), F.count("*").alias("n")).orderBy(F.desc("total"), "user_id").limit(10)
+    sessions = keyed.flow(e, "user_id", gap=3600)
+    total = sessions.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return aggregates.top(total, "total", 10, ties=("user_id", "session"))
+
+
+def query(name: str, table: str, sql: str | None = None):
+    """Registers a function of one or more tables as a query."""
+
+    def put(fn: Callable[..., DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            got = load(spark, sf_dir, *table.split())
+            return fn(*got) if isinstance(got, list) else fn(got)
+
+        QUERIES[name] = run
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return put
+
+
+def q(name: str, table: str, fn: Callable[..., DataFrame], sql: str | None = None) -> None:
+    query(name, table, sql)(fn)
+
+
+QUERIES["flagship"] = flagship
+SESSIONS = """s AS (SELECT *, epoch(ts)::BIGINT - 0 AS _x, floor(epoch(ts))::BIGINT AS sec FROM events),
+f AS (SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY user_id ORDER BY event_id) >= 3600 THEN 1 ELSE 0 END AS new FROM s),
+g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS session FROM f)"""
+SQL["flagship"] = f"WITH {SESSIONS} SELECT user_id, session, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY 1, 2 ORDER BY total DESC, user_id, session LIMIT 10"
+
+# ---- shaping ----
+
+E_NULL = "(SELECT event_id, user_id, value, nullif(event_type, 'error') AS event_type FROM events)"
+
+
+def _with_nulls(e: DataFrame) -> DataFrame:
+    return e.select("event_id", "user_id", "value", F.nullif("event_type", F.lit("error")).alias("event_type"))
+
+
+q("subtuple", "orders", lambda o: shape.subtuple(o, ["o_totalprice", "o_orderkey"]), "SELECT o_totalprice, o_orderkey FROM orders")
+q("removefromtuple", "orders", lambda o: shape.remove_members(o, ["o_orderdate", "o_orderpriority"]), "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+q("label", "orders", lambda o: shape.label(shape.label(o.select("o_orderkey", "o_totalprice"), "BIG"), "PRICE", "o_totalprice", rename=True).withColumn("_labels", F.array_join("_labels", "|")), "SELECT o_orderkey, o_totalprice AS PRICE, 'BIG' AS _labels FROM orders")
+q("addlabelmember", "customer", lambda c: shape.add_member(shape.add_member(c.select("c_custkey"), "SITE", "north"), "LIMIT", "12.5"), "SELECT c_custkey, 'north' AS SITE, CAST(12.5 AS DOUBLE) AS \"LIMIT\" FROM customer")
+q("dupetuple", "orders", lambda o: shape.duplicate(o), "SELECT * FROM orders")
+q("dupestring", "part", lambda p: p.select("p_partkey", F.col("p_name"), F.col("p_name").alias("COPY")), "SELECT p_partkey, p_name, p_name AS COPY FROM part")
+q("mknest", "orders", lambda o: shape.make_nest(o, ["o_orderstatus", "o_totalprice"], "N").select("o_orderkey", F.col("N.o_orderstatus").alias("s"), F.col("N.o_totalprice").alias("t")), "SELECT o_orderkey, o_orderstatus AS s, o_totalprice AS t FROM orders")
+q("denest", "orders", lambda o: shape.denest(shape.make_nest(o, ["o_orderkey", "o_custkey"], "N"), "N"), "SELECT o_orderkey, o_custkey FROM orders")
+q("removenest", "orders", lambda o: shape.denest(shape.remove_nested(shape.make_nest(o, ["o_orderkey", "o_custkey", "o_orderstatus"], "N"), "N.o_custkey"), "N"), "SELECT o_orderkey, o_orderstatus FROM orders")
+q("splittuple", "lineitem", lambda i: shape.split_tuple(i, ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber"]), "SELECT l_orderkey, l_linenumber, l_returnflag AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_linestatus FROM lineitem")
+q("fillmissing", "events", lambda e: shape.fill_missing(_with_nulls(e), "event_type", "none"), f"SELECT event_id, user_id, value, coalesce(event_type, 'none') AS event_type FROM {E_NULL}")
+q("countlabels", "events", lambda e: shape.count_labels(_with_nulls(e), ["event_type", "value"], less=2).select("event_id", F.col("LABELCNT").cast("int").alias("LABELCNT")), f"SELECT event_id, (event_type IS NOT NULL)::INT + (value IS NOT NULL)::INT AS LABELCNT FROM {E_NULL} WHERE event_type IS NULL OR value IS NULL")
+q("duplicates", "lineitem", lambda i: shape.duplicates(i.select("l_orderkey", "l_linenumber", F.pmod("l_partkey", F.lit(3)).alias("a"), F.pmod("l_suppkey", F.lit(3)).alias("b")), ["a", "b"]).select("l_orderkey", "l_linenumber", F.array_join("DUPLICATE", "|").alias("dups")), "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 = l_suppkey % 3 THEN 'b' ELSE '' END AS dups FROM lineitem")
+q("labelmultiple", "events", lambda e: shape.label_multiple(e.select("event_id", F.array("event_type", F.col("user_id").cast("string")).alias("a")), "a", "V", 3).select("event_id", "V1", "V2", "V3"), "SELECT event_id, event_type AS V1, CAST(user_id AS VARCHAR) AS V2, CAST(NULL AS VARCHAR) AS V3 FROM events")
+q("data2label", "events", lambda e: shape.data_to_label(e.select("event_id", "event_type"), "event_type", "type").select("event_id", F.array_join("_labels", "|").alias("labels")), "SELECT event_id, 'type=' || event_type AS labels FROM events")
+q("mklabelset", "events", lambda e: shape.make_labelset(_with_nulls(e), "LS", ["event_type", "value"], as_string=" ").select("event_id", "LS"), f"SELECT event_id, concat_ws(' ', CASE WHEN event_type IS NOT NULL THEN 'event_type' END, CASE WHEN value IS NOT NULL THEN 'value' END) AS LS FROM {E_NULL}")
+q("timestamp", "events", lambda e: shape.timestamp(e.select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")), "T", "ms", "ms", offset_seconds=90).select("event_id", F.unix_millis("T").alias("t")), "SELECT event_id, epoch_us(ts) // 1000 + 90000 AS t FROM events")
+q("loadbalance", "events", lambda e: shape.load_balance(e, 4, ["user_id"]).groupBy("LB").agg(F.count("*").alias("n")), "SELECT CAST(user_id % 4 AS INT) AS LB, count(*) AS n FROM events GROUP BY 1")
+q("tuplehash", "events", lambda e: shape.tuple_hash(e, ["user_id", "event_type"]).groupBy().agg(F.count_distinct("TUPLEHASH").alias("n")), "SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")
+q("workbalance", "orders", lambda o: shape.spread(o.select("o_orderkey"), 4, ["o_orderkey"]), "SELECT o_orderkey FROM orders")
+q("bundle", "orders", lambda o: shape.unchanged(o.select("o_custkey"), 16), "SELECT o_custkey FROM orders")
+q("noop", "region", lambda r: shape.unchanged(r), "SELECT * FROM region")
+q("type_detection", "events", lambda e: e.select("event_id", types.detected_kind(F.element_at(F.array(F.col("event_type"), F.col("user_id").cast("string"), F.lit("-5"), F.lit("1.5e3"), F.lit("2024-01-01T00:00:00Z"), F.lit("12345678901"), F.lit("1.2.3")), (F.pmod("event_id", F.lit(7)) + 1).cast("int"))).alias("kind")), "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'string' WHEN 1 THEN 'uint' WHEN 2 THEN 'int' WHEN 3 THEN 'double' WHEN 4 THEN 'time' WHEN 5 THEN 'uint64' ELSE 'string' END AS kind FROM events")
+
+# ---- filters ----
+
+q("haslabel", "events", lambda e: filters.has_label(_with_nulls(e), ["event_type", "value"]), f"SELECT * FROM {E_NULL} WHERE event_type IS NOT NULL AND value IS NOT NULL")
+q("haslabel_not", "events", lambda e: filters.has_label(_with_nulls(e), ["event_type"], negate=True).select("event_id"), f"SELECT event_id FROM {E_NULL} WHERE event_type IS NULL")
+q("match_uint", "part", lambda p: filters.match_uint(p, "p_size", greater=10, less=20).select("p_partkey", "p_size"), "SELECT p_partkey, p_size FROM part WHERE p_size > 10 AND p_size < 20")
+q("match_uint_inverse", "part", lambda p: filters.match_uint(p, "p_size", eq=7, port="INVERSE").select("p_partkey"), "SELECT p_partkey FROM part WHERE p_size <> 7")
+q("equal", "lineitem", lambda i: filters.equal(i.select("l_orderkey", "l_linenumber", F.col("l_partkey") % 5, F.col("l_suppkey") % 5).toDF("k", "n", "a", "b"), ["a", "b"], "TAGASMEMBER"), "SELECT l_orderkey AS k, l_linenumber AS n, l_partkey % 5 AS a, l_suppkey % 5 AS b, CAST(l_partkey % 5 = l_suppkey % 5 AS INT) AS EQUALRESULT FROM lineitem")
+q("match", "pages", lambda g: filters.match(g.select("page_id", "url"), ["url"], ["example.org", "/fr/", "page=2"]), "SELECT page_id, url FROM pages WHERE contains(url, 'example.org') OR contains(url, '/fr/') OR contains(url, 'page=2')")
+q("match_tag", "pages", lambda g: filters.match(g, ["url"], {"example.com": "com", "/de/": "de"}, port="TAG", unmatched="none").select("page_id", F.array_join("MATCHES", "|").alias("m")), "SELECT page_id, coalesce(nullif(concat_ws('|', CASE WHEN contains(url, 'example.com') THEN 'com' END, CASE WHEN contains(url, '/de/') THEN 'de' END), ''), 'none') AS m FROM pages")
+q("match_table", "pages nation", lambda g, n: filters.match_table(g.select("page_id", F.lower("html").alias("h")), "h", n.select(F.lower("n_name").alias("pattern"), F.col("n_name").alias("label"))).select("page_id", F.size("MATCHES").alias("n")), "SELECT page_id, CAST(count(n_name) AS INT) AS n FROM pages LEFT JOIN nation ON contains(lower(html), lower(n_name)) GROUP BY page_id")
+q("fixedmatch", "pages", lambda g: filters.fixed_match(g.select("page_id", "url"), "url", {"http://": "h"}), "SELECT page_id, url FROM pages WHERE starts_with(url, 'http://')")
+q("exactmatch", "orders customer", lambda o, c: filters.exact_match(o.select("o_orderkey", "o_custkey"), "o_custkey", c.where("c_mktsegment = 'BUILDING'").select("c_custkey")), "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+q("exactmatch_not", "part", lambda p: filters.exact_match(p, "p_size", [1, 2, 3], port="NOT").select("p_partkey"), "SELECT p_partkey FROM part WHERE p_size NOT IN (1, 2, 3)")
+q("re2", "pages", lambda g: filters.regex(g.select("page_id", "url"), "url", r"://([a-z.]+)/([a-z]+)", ["HOST", "DIR"]), r"SELECT page_id, url, nullif(regexp_extract(url, '://([a-z.]+)/([a-z]+)', 1), '') AS HOST, nullif(regexp_extract(url, '://([a-z.]+)/([a-z]+)', 2), '') AS DIR FROM pages WHERE regexp_matches(url, '://([a-z.]+)/([a-z]+)')")
+q("dpu", "pages", lambda g: filters.first_pattern(g, "url", [r"page=\d+", r"/fr/", "example"], pass_all=True).select("page_id", "PATTERN"), r"SELECT page_id, CASE WHEN regexp_matches(url, 'page=\d+') THEN 0 WHEN contains(url, '/fr/') THEN 1 WHEN contains(url, 'example') THEN 2 END AS PATTERN FROM pages")
+q("sample", "events", lambda e: filters.sample(e.select("event_id", "ts"), every_seconds=3600), "SELECT event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY floor(epoch(ts) / 3600) ORDER BY event_id) AS r FROM events) WHERE r = 1")
+q("flush", "events", lambda e: filters.flush_epochs(e, count=100).groupBy("epoch", "event_type").agg(F.count("*").alias("n")), "SELECT event_id // 100 AS epoch, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+q("flush_time", "events", lambda e: filters.flush_epochs(e, seconds=3600).groupBy("epoch").agg(F.count("*").alias("n")), "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS epoch, count(*) AS n FROM events GROUP BY 1")
+q("countfilter", "events", lambda e: stateful.apply(e.select("event_id", "user_id"), "user_id", stateful.thinning()))
+
+# ---- joins and enrichment ----
+
+FIRST_ORDER = "(SELECT * FROM orders WHERE (o_custkey, o_orderkey) IN (SELECT o_custkey, min(o_orderkey) FROM orders GROUP BY 1))"
+q("jointuple", "orders customer", lambda o, c: joins.join(o.join(o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")), ["o_custkey", "o_orderkey"]).withColumnRenamed("o_custkey", "k").select("k", "o_orderkey", "o_totalprice"), c.withColumnRenamed("c_custkey", "k"), "k", right_members=["c_name"]), f"SELECT o_custkey AS k, o_orderkey, o_totalprice, c_name FROM {FIRST_ORDER} JOIN customer ON o_custkey = c_custkey")
+q("jointuple_once", "events", lambda e: joins.join_once(e.where("event_type = 'purchase'").select("user_id", "event_id", "value"), e.where("event_type = 'error'").select("user_id", "event_id", "value"), "user_id", "event_id").select("user_id", "event_id", F.col("left.value").alias("bought"), F.col("right.value").alias("failed")), """
+WITH e AS (SELECT user_id, event_id, value, event_type = 'purchase' AS l FROM events WHERE event_type IN ('purchase', 'error')),
+a AS (SELECT *, CASE WHEN lag(l) OVER w <> l THEN 0 ELSE 1 END AS new, lag(value) OVER w AS pv FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS nth FROM b)
+SELECT user_id, event_id, CASE WHEN l THEN value ELSE pv END AS bought, CASE WHEN l THEN pv ELSE value END AS failed FROM c WHERE nth % 2 = 0""")
+q("mergetuple", "events", lambda e: keyed.merge(e, "user_id", ["value"], ["event_type"], 3).select("user_id", "event_type", F.get("value", F.lit(0)).alias("v0"), F.get("value", F.lit(2)).alias("v2")), "SELECT user_id, t[1] AS event_type, v[1] AS v0, v[3] AS v2 FROM (SELECT user_id, p, list(event_type ORDER BY event_id) AS t, list(value ORDER BY event_id) AS v FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 3 AS p FROM events) GROUP BY 1, 2 HAVING count(*) = 3)")
+q("appendfirstitem", "events", lambda e: keyed.append_first(e, "user_id", "value").select("event_id", "FIRST", "NEXT"), "SELECT event_id, f AS FIRST, value AS NEXT FROM (SELECT *, first_value(value) OVER w AS f, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE r > 1")
+q("appendlast", "events", lambda e: keyed.append_last(e, "user_id", "value").select("event_id", "value", "LAST"), "SELECT event_id, value, l AS LAST FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS l FROM events) WHERE l IS NOT NULL")
+q("lastn", "events", lambda e: keyed.last_n(e, "user_id", "value", 2).select("event_id", "LASTN_0_value", "LASTN_1_value"), "SELECT event_id, lag(value) OVER w AS LASTN_0_value, lag(value, 2) OVER w AS LASTN_1_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+q("lastn_query", "events", lambda e: keyed.last_n_of(e.where("event_type = 'purchase'").select("user_id", "event_id"), e.where("event_type <> 'purchase'"), "user_id", "value", 2, filter_known=True), """
+SELECT p.user_id, p.event_id, v[1] AS LASTN_0_value, v[2] AS LASTN_1_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+JOIN (SELECT p.event_id AS id, list(o.value ORDER BY o.event_id DESC) AS v FROM events p JOIN events o ON o.user_id = p.user_id AND o.event_id < p.event_id AND o.event_type <> 'purchase' WHERE p.event_type = 'purchase' GROUP BY 1) ON id = p.event_id""")
+q("keeplast", "events", lambda e: keyed.keep_last(e, "user_id", ["event_type", "value"]), "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+q("keeplast_query", "events", lambda e: keyed.keep_last_of(e.where("event_type = 'purchase'").select("user_id", "event_id"), e.where("event_type = 'view'"), "user_id", "value"), "SELECT p.user_id, p.event_id, o.value AS KEPT FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') o ON p.user_id = o.user_id AND p.event_id > o.event_id")
+q("keepn", "events", lambda e: keyed.keep_n(e, "user_id", "value", 3, count=True).select("user_id", "KEEPCOUNT", F.get("values", F.lit(0)).alias("oldest")), "SELECT user_id, CAST(count(*) AS INT) AS KEEPCOUNT, arg_min(value, event_id) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 3 GROUP BY 1")
+q("keepn_blocks", "events", lambda e: keyed.keep_n(e, "user_id", "value", 4, blocks=True).select("user_id", "block", F.get("values", F.lit(3)).alias("newest")), "SELECT user_id, b AS block, arg_max(value, event_id) AS newest FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 4 AS b FROM events) GROUP BY 1, 2 HAVING count(*) = 4")
+q("cntquery", "events", lambda e: keyed.count_query(e, "user_id", F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0), ~F.col("event_type").isin("purchase", "error"), 2).select("event_id", "CNT"), "SELECT event_id, c AS CNT FROM (SELECT *, CAST(sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS c FROM events) WHERE event_type NOT IN ('purchase', 'error') AND c >= 2")
+q("redis_get", "orders customer", lambda o, c: joins.lookup(o.select("o_orderkey", F.col("o_custkey").alias("k")), c.select(F.col("c_custkey").alias("k"), "c_mktsegment"), "k", "c_mktsegment"), "SELECT o_custkey AS k, o_orderkey, c_mktsegment AS VALUE FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+q("redis_set", "customer orders", lambda c, o: joins.put(c.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), o.select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderkey"), "k", "v", "o_orderkey"), "SELECT coalesce(c_custkey, o_custkey) AS k, coalesce(v, c_acctbal) AS v FROM customer FULL JOIN (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS v FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+q("redis_setnx", "customer orders", lambda c, o: joins.put(c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), o.select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderkey"), "k", "v", "o_orderkey", only_new=True), "SELECT coalesce(c_custkey, o_custkey) AS k, coalesce(c_acctbal, v) AS v FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL JOIN (SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS v FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+q("redis_incr", "events", lambda e: joins.increment(e.where("event_type = 'signup'").groupBy("user_id").agg(F.count("*").alias("n")), e.select("user_id", F.when(F.col("event_type") == "error", -1).otherwise(1).cast("long").alias("d")), "user_id", "n", "d"), "SELECT user_id, CAST(sum(d) AS BIGINT) AS n FROM (SELECT user_id, count(*) AS d FROM events WHERE event_type = 'signup' GROUP BY 1 UNION ALL SELECT user_id, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END FROM events) GROUP BY 1")
+q("union_streams", "events", lambda e: joins.union(*[e.where(F.col("event_type") == t).select("event_id", "event_type") for t in ("purchase", "error")]), "SELECT event_id, event_type FROM events WHERE event_type IN ('purchase', 'error')")
+
+# ---- aggregates ----
+
+q("keycount", "events", lambda e: aggregates.key_count(e, "event_type", pct=True), "SELECT event_type, count(*) AS COUNT, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS PCT FROM events GROUP BY 1")
+q("keycount_query", "events", lambda e: keyed.running_count(e, "user_id", F.col("event_type") == "purchase").select("event_id", "COUNT"), "SELECT event_id, c AS COUNT FROM (SELECT *, CAST(coalesce(sum((event_type <> 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c FROM events) WHERE event_type = 'purchase' AND c > 0")
+q("keyadd", "lineitem", lambda i: aggregates.key_add(i, "l_suppkey", ["l_partkey"]), "SELECT l_suppkey, count(*) AS COUNT, CAST(sum(l_partkey) AS BIGINT) AS SUM FROM lineitem GROUP BY 1")
+q("keyaverage", "events", lambda e: aggregates.key_average(e.withColumn("value", F.when(F.col("event_type") != "error", F.col("value"))), "user_id", "value").select("user_id", "COUNT", F.round("AVERAGE", 6).alias("AVERAGE")), "SELECT user_id, count(*) AS COUNT, round(coalesce(sum(CASE WHEN event_type <> 'error' THEN value END), 0) / count(*), 6) AS AVERAGE FROM events GROUP BY 1")
+q("keyvariance", "events", lambda e: aggregates.key_variance(e, "user_id", "value", full=True, skew=True).select("user_id", "COUNT", *[F.round(c, 4).alias(c) for c in ("VARIANCE", "MEAN", "SKEWNESS")]), "WITH m AS (SELECT user_id, avg(value) AS a, count(*) AS n FROM events GROUP BY 1) SELECT user_id, any_value(n) AS COUNT, round(coalesce(var_samp(value), 0), 4) AS VARIANCE, round(any_value(a), 4) AS MEAN, round(coalesce(avg(pow(value - a, 3)) / nullif(pow(avg(pow(value - a, 2)), 1.5), 0), 0), 4) AS SKEWNESS FROM events JOIN m USING (user_id) GROUP BY 1")
+q("keyvariance_window", "events", lambda e: aggregates.key_variance(e, "user_id", "value", last=5).select("user_id", F.round("VARIANCE", 7).alias("VARIANCE")), "SELECT user_id, round(coalesce(var_samp(value), 0), 7) AS VARIANCE FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 5 GROUP BY 1")
+q("labelstat", "events", lambda e: aggregates.label_stat(_with_nulls(e)), f"SELECT 'event_id' AS LABEL, count(event_id) AS COUNT FROM {E_NULL} UNION ALL SELECT 'user_id', count(user_id) FROM {E_NULL} UNION ALL SELECT 'value', count(value) FROM {E_NULL} UNION ALL SELECT 'event_type', count(event_type) FROM {E_NULL}")
+q("heavyhitters", "lineitem", lambda i: aggregates.heavy_hitters(i, "l_partkey", 10), "SELECT l_partkey, count(*) AS ACC FROM lineitem GROUP BY 1 ORDER BY ACC DESC, l_partkey LIMIT 10")
+q("heavyhitters_sum", "lineitem", lambda i: aggregates.heavy_hitters(i, "l_suppkey", 5, "l_linenumber"), "SELECT l_suppkey, CAST(sum(l_linenumber) AS BIGINT) AS ACC FROM lineitem GROUP BY 1 ORDER BY ACC DESC, l_suppkey LIMIT 5")
+q("heavyhitters_approximate", "events", lambda e: aggregates.heavy_hitters_approximate(e, "event_type", 10), "SELECT event_type, count(*) AS ACC FROM events GROUP BY 1")
+q("top", "orders", lambda o: aggregates.top(o, "o_totalprice", 10, ties=["o_orderkey"]).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+q("top_lowest", "orders", lambda o: aggregates.top(o, "o_totalprice", 10, lowest=True, ties=["o_orderkey"]).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10")
+ISLANDS = "a AS (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a)"
+q("groupevents", "events", lambda e: aggregates.group_events(e, "user_id", "event_type", ["value"]).select("user_id", "first", "event_type", "COUNT", F.round(F.aggregate("value", F.lit(0.0), lambda s, x: s + x), 4).alias("total")), f"WITH {ISLANDS} SELECT user_id, min(event_id) AS first, any_value(event_type) AS event_type, count(*) AS COUNT, round(sum(value), 4) AS total FROM b GROUP BY user_id, run")
+q("grouppackets", "events", lambda e: aggregates.group_packets(e.select("user_id", "event_id", (F.col("event_id") % 3).alias("seq"), F.lit(1).alias("len"), F.lit(0).alias("ack"), "event_type"), "user_id", "seq", "len", "ack", "event_type").select("user_id", "first", "segments", "content"), "WITH a AS (SELECT *, CASE WHEN lag(event_id % 3 + 1) OVER w = event_id % 3 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a) SELECT user_id, min(event_id) AS first, count(*) AS segments, string_agg(event_type, '' ORDER BY event_id) AS content FROM b GROUP BY user_id, run")
+q("bandwidth", "events", lambda e: aggregates.bandwidth(e, "ts", "props").select("EVENT_CNT", F.round("EVENT_RATE", 8).alias("EVENT_RATE"), "BYTE_CNT"), "SELECT count(*) AS EVENT_CNT, round(count(*) / (epoch(max(ts)) - epoch(min(ts))), 8) AS EVENT_RATE, CAST(sum(strlen(props)) AS BIGINT) AS BYTE_CNT FROM events")
+
+# ---- keyed analytics ----
+
+RN = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)"
+q("firstn", "events", lambda e: keyed.first_n(e, "user_id", 3).select("event_id", "user_id"), f"SELECT event_id, user_id FROM {RN} WHERE r <= 3")
+q("untiln", "events", lambda e: keyed.until_n(e, "user_id", 3).select("event_id", "user_id"), f"SELECT event_id, user_id FROM {RN} WHERE r > 3")
+q("firstn_expire", "events", lambda e: stateful.apply(e.select("event_id", "user_id", "ts"), "user_id", stateful.first_n_expire(2, 86400)).select("event_id", "COUNT"), """
+WITH RECURSIVE o AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+s AS (SELECT event_id, user_id, r, t + 86400 AS e, 1::BIGINT AS c FROM o WHERE r = 1 UNION ALL
+ SELECT o.event_id, o.user_id, o.r, CASE WHEN o.t >= s.e THEN o.t + 86400 ELSE s.e END, CASE WHEN o.t >= s.e THEN 1 ELSE s.c + 1 END FROM s JOIN o ON o.user_id = s.user_id AND o.r = s.r + 1)
+SELECT event_id, c AS COUNT FROM s WHERE c <= 2""")
+q("uniq", "events", lambda e: keyed.uniq(e, ["user_id", "event_type"]).select("event_id"), "SELECT min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+q("uniq_dupes", "events", lambda e: keyed.uniq(e, ["user_id", "event_type"], "DUPES").select("event_id"), "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r > 1")
+q("uniq_tag", "events", lambda e: keyed.uniq(e, ["user_id"], "TAG").select("event_id", "KNOWN"), f"SELECT event_id, r > 1 AS KNOWN FROM {RN}")
+q("uniq_isset", "orders customer", lambda o, c: keyed.uniq(o.select("o_orderkey", F.col("o_custkey").alias("k")), ["k"], "ISSET", c.where("c_acctbal > 5000").select(F.col("c_custkey").alias("k"))), "SELECT o_orderkey, o_custkey AS k FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+q("uniq_isnotset", "orders customer", lambda o, c: keyed.uniq(o.select("o_orderkey", F.col("o_custkey").alias("k")), ["k"], "ISNOTSET", c.where("c_acctbal > 5000").select(F.col("c_custkey").alias("k"))), "SELECT o_orderkey, o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+q("bloom", "events", lambda e: keyed.bloom_uniq(e, ["user_id"]).select("event_id"), "SELECT min(event_id) AS event_id FROM events GROUP BY user_id")
+q("uniqexpire", "events", lambda e: stateful.apply(e.select("event_id", "user_id", "ts"), "user_id", stateful.uniq_expire(86400)).select("event_id"), """
+WITH RECURSIVE o AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+s AS (SELECT event_id, user_id, r, t + 86400 AS e, true AS p FROM o WHERE r = 1 UNION ALL
+ SELECT o.event_id, o.user_id, o.r, CASE WHEN s.e < o.t THEN o.t + 86400 ELSE s.e END, s.e < o.t FROM s JOIN o ON o.user_id = s.user_id AND o.r = s.r + 1)
+SELECT event_id FROM s WHERE p""")
+q("keyarrival", "events", lambda e: keyed.arrival(e, "user_id").select("event_id", "ARRIVAL"), "WITH f AS (SELECT user_id, min(event_id) AS f FROM events GROUP BY 1), r AS (SELECT user_id, row_number() OVER (ORDER BY f) AS ARRIVAL FROM f) SELECT event_id, ARRIVAL FROM events JOIN r USING (user_id)")
+q("keydiff", "events", lambda e: keyed.diff(e, "user_id", "value").select("event_id", F.round("value_DIFF", 6).alias("value_DIFF")), "SELECT event_id, round(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)), 6) AS value_DIFF FROM events")
+q("keyewma", "events", lambda e: keyed.ewma(e.select("event_id", "user_id", "value"), "user_id", "value", 0.05).select("event_id", "EWMA", "EWMVAR"), """
+WITH RECURSIVE o AS (SELECT event_id, user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+s AS (SELECT event_id, user_id, r, v::DOUBLE AS m, 0::DOUBLE AS q FROM o WHERE r = 1 UNION ALL
+ SELECT o.event_id, o.user_id, o.r, 0.05::DOUBLE * o.v + 0.95::DOUBLE * s.m, 0.95::DOUBLE * (s.q + 0.05::DOUBLE * (o.v - s.m) * (o.v - s.m)) FROM s JOIN o ON o.user_id = s.user_id AND o.r = s.r + 1)
+SELECT event_id, m AS EWMA, q AS EWMVAR FROM s""")
+q("keyrate", "events", lambda e: keyed.rate(e, "user_id", period=3600, least=2).select("event_id", "COUNT", "EPOCH", F.round("RATE", 8).alias("RATE")), """
+WITH b AS (SELECT *, floor(epoch(ts) / 3600) AS h FROM events), d AS (SELECT *, dense_rank() OVER (ORDER BY h) AS ep FROM b),
+g AS (SELECT user_id, h, any_value(ep) AS ep, count(*) AS c, min(event_id) AS f FROM d GROUP BY 1, 2),
+n AS (SELECT *, lead(f) OVER (PARTITION BY user_id ORDER BY h) AS nx FROM g)
+SELECT nx AS event_id, c AS COUNT, ep AS EPOCH, round(c / 3600, 8) AS RATE FROM n WHERE nx IS NOT NULL AND c >= 2""")
+q("keytrans", "events", lambda e: keyed.transitions(e, "user_id", value="event_type").select("event_id", "TIMEDIFF"), "SELECT event_id, (epoch_us(ts) - epoch_us(p)) / 1000000 AS TIMEDIFF FROM (SELECT *, lag(ts) OVER w AS p, lag(event_type) OVER w AS t FROM (SELECT * FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE t <> event_type")
+q("keyflow", "events", lambda e: keyed.flow(e, "user_id", gap=3600).select("event_id", "session"), f"WITH {SESSIONS} SELECT event_id, session FROM g")
+q("keytime", "events", lambda e: keyed.key_time(e, "user_id", recent=600, old=86400).select("event_id", "AGE"), """
+WITH a AS (SELECT *, epoch_us(ts - min(ts) OVER w) / 1000000 AS age, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+b AS (SELECT *, max((age > 86400)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS o FROM a)
+SELECT event_id, CASE WHEN o = 1 THEN 'OLD' WHEN r = 1 OR age <= 600 THEN 'NEW' ELSE 'RECENT' END AS AGE FROM b""")
+q("keysort", "events", lambda e: sorts.key_sort(e, "user_id", "value", ["event_id"]).select("event_id", "user_id"), "SELECT event_id, user_id FROM events")
+q("persist", "events", lambda e: keyed.persist(e, "user_id", bin_seconds=6 * 3600, bins=16, least=4).select("event_id", "PERSIST_COUNT"), """
+WITH p AS (SELECT user_id, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS b, min(event_id) AS event_id FROM events GROUP BY 1, 2),
+c AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY b RANGE BETWEEN 15 PRECEDING AND CURRENT ROW) AS n, row_number() OVER (PARTITION BY user_id ORDER BY b) AS r FROM p)
+SELECT event_id, n AS PERSIST_COUNT FROM c WHERE r > 1 AND n >= 4""")
+WEIGHT = "CASE event_type WHEN 'purchase' THEN 3 WHEN 'error' THEN -2 ELSE 0 END"
+q("stateclimb", "events", lambda e: keyed.climb(e, "user_id", F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "error", -2).otherwise(0), 10).select("event_id", "SCORE"), f"SELECT event_id, s AS SCORE FROM (SELECT *, CAST(sum({WEIGHT}) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS s FROM events) WHERE s > 10")
+_WEIGHTS = {"purchase": 3.0, "error": -2.0}
+q("stateclimb_clamped", "events", lambda e: stateful.apply(e.select("event_id", "user_id", "event_type"), "user_id", stateful.clamped_climb(lambda r: _WEIGHTS.get(r["event_type"], 0.0), 10, 12, -5, reset=True)).select("event_id"), f"""
+WITH RECURSIVE o AS (SELECT event_id, user_id, {WEIGHT} AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+s AS (SELECT event_id, user_id, r, greatest(-5, least(12, w)) AS x, w > 10 AS hit FROM o WHERE r = 1 UNION ALL
+ SELECT o.event_id, o.user_id, o.r, CASE WHEN s.x + o.w > 10 THEN 0 ELSE greatest(-5, least(12, s.x + o.w)) END, s.x + o.w > 10 FROM s JOIN o ON o.user_id = s.user_id AND o.r = s.r + 1)
+SELECT event_id FROM s WHERE hit""")
+q("onlyafter", "events", lambda e: keyed.only_after(e, "user_id", F.col("event_type") == "purchase").select("event_id"), "SELECT event_id FROM (SELECT event_id, max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events) WHERE s = 1")
+q("keyadd_initial", "events", lambda e: keyed.add_initial(e, "user_id", "value", 4).select("user_id", "COUNT", F.round("ACC", 4).alias("ACC")), f"SELECT user_id, CAST(4 AS BIGINT) AS COUNT, round(sum(value), 4) AS ACC FROM {RN} WHERE r <= 4 GROUP BY 1 HAVING count(*) = 4")
+q("keyadd_initial_custom", "events", lambda e: keyed.anomaly_benchmark(e.select("event_id", "user_id", (F.col("value") > 60).cast("int").alias("v"), (F.col("event_type") == "error").cast("int").alias("b")), "user_id", "v", "b", 6, 3), f"WITH k AS (SELECT user_id, sum((value > 60)::INT) < 3 AS said, arg_max(event_type, event_id) = 'error' AS t FROM {RN} WHERE r <= 6 GROUP BY 1 HAVING count(*) = 6) SELECT count(*) FILTER (said AND t) AS TP, count(*) FILTER (said AND NOT t) AS FP, count(*) FILTER (NOT said AND NOT t) AS TN, count(*) FILTER (NOT said AND t) AS FN FROM k")
+q("periodic", "events", lambda e: stateful.apply(e.select("event_id", "user_id", "ts"), "user_id", stateful.periodic(4, 3, 0.5)))
+
+# ---- sorts ----
+
+q("sort", "orders", lambda o: sorts.global_rank(o.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], "rank", descending=True), "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) AS rank FROM orders")
+q("rbsort", "events", lambda e: sorts.global_rank(sorts.buffer_sort(e.select("event_id", "value"), "value"), ["value", "event_id"], "rank").select("event_id", "rank"), "SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS rank FROM events WHERE value IS NOT NULL")
+
+# ---- text ----
+
+q("strlen", "documents", lambda d: d.select("doc_id", strings.length("text").alias("n")), "SELECT doc_id, CAST(strlen(text) AS INT) AS n FROM documents")
+q("substring", "part", lambda p: p.select("p_partkey", strings.substring("p_name", 2, 4).alias("a"), strings.substring("p_name", 1, 3, from_end=True).alias("b")), "SELECT p_partkey, CASE WHEN length(p_name) > 2 THEN substr(p_name, 3, 4) END AS a, CASE WHEN length(p_name) > 1 THEN substr(p_name, greatest(length(p_name) - 4, 0) + 1, 3 + least(length(p_name) - 4, 0)) END AS b FROM part")
+q("tr", "part", lambda p: p.select("p_partkey", strings.translate("p_name", "aeiou", "*").alias("a"), strings.translate("p_name", "lmn").alias("b")), "SELECT p_partkey, translate(p_name, 'aeiou', '*****') AS a, translate(p_name, 'lmn', '') AS b FROM part")
+q("sed", "part", lambda p: p.select("p_partkey", strings.sed("p_name", "s/e/EE/").alias("a"), strings.sed("p_name", "s/e/EE/g").alias("b"), strings.sed("p_name", "y/abc/xyz/").alias("c")), "SELECT p_partkey, CASE WHEN instr(p_name, 'e') > 0 THEN substr(p_name, 1, instr(p_name, 'e') - 1) || 'EE' || substr(p_name, instr(p_name, 'e') + 1) ELSE p_name END AS a, replace(p_name, 'e', 'EE') AS b, translate(p_name, 'abc', 'xyz') AS c FROM part")
+q("splitstring", "pages", lambda g: g.select("page_id", F.array_join(strings.split("url", "/", most=2), "|").alias("a"), strings.split("url", "/", last=True).alias("b")), "SELECT page_id, array_to_string(list_filter(string_split(url, '/'), lambda x: x <> '')[1:2], '|') AS a, list_filter(string_split(url, '/'), lambda x: x <> '')[-1] AS b FROM pages")
+q("combinestrings", "customer", lambda c: c.select("c_custkey", strings.combine(["c_name", "c_mktsegment"], "/").alias("s")), "SELECT c_custkey, c_name || '/' || c_mktsegment AS s FROM customer")
+q("strings", "documents", lambda d: d.select("doc_id", F.md5(strings.printable("text", 6, "|")).alias("s")), "SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '([ -~]{6,})', 1), '|')) AS s FROM documents")
+q("base64", "part", lambda p: p.select("p_partkey", strings.from_base64(strings.to_base64("p_name")).cast("string").alias("s")), "SELECT p_partkey, p_name AS s FROM part")
+q("encodebase64", "part", lambda p: p.select("p_partkey", strings.to_base64("p_name").alias("s")), "SELECT p_partkey, to_base64(p_name::BLOB) AS s FROM part")
+q("asciihex", "part", lambda p: p.select("p_partkey", strings.from_hex(F.hex("p_name"), strict=True).cast("string").alias("a"), strings.from_hex("p_name", strict=True).cast("string").alias("b")), "SELECT p_partkey, p_name AS a, CAST(NULL AS VARCHAR) AS b FROM part")
+for _a, _f in (("md5", "md5"), ("sha256", "sha256"), ("sha1", "sha1")):
+    q(f"hmac_{_a}", "documents", lambda d, a=_a: d.select("doc_id", strings.digest("text", a).alias("h")), f"SELECT doc_id, {_f}(text) AS h FROM documents")
+q("editdistance", "part", lambda p: p.select("p_partkey", strings.edit_distance("p_name", "p_type").alias("d"), F.round(strings.edit_norm("p_name", "p_type"), 6).alias("n")), "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INT) AS d, round(levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS n FROM part")
+q("editdistance_key", "events", lambda e: stateful.apply(e.select("event_id", "user_id", "event_type"), "user_id", stateful.edit_distance_of_key("event_type")).select("event_id", "EDITDISTANCE"), "SELECT event_id, levenshtein(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), event_type) AS EDITDISTANCE FROM events")
+q("charcnt", "documents", lambda d: d.select("doc_id", strings.count_chars("text", "aeiou").alias("n")), "SELECT doc_id, CAST(length(text) - length(translate(text, 'aeiou', '')) AS INT) AS n FROM documents")
+ENTROPY = "WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS ch, length(p_name) AS n FROM part), k AS (SELECT p_partkey, any_value(n) AS n, ch, count(*)::DOUBLE AS c FROM c GROUP BY p_partkey, ch)"
+q("entropy", "part", lambda p: p.select("p_partkey", F.round(strings.entropy("p_name"), 6).alias("h"), F.round(strings.chi_square("p_name"), 4).alias("x"), strings.percent_of("p_name", "a-zA-Z0-9").alias("alnum")), f"{ENTROPY} SELECT p_partkey, round(-sum(c / n * log2(c / n)), 6) AS h, round(sum((c - n / 256.0) * (c - n / 256.0) / (n / 256.0)) + (256 - count(*)) * any_value(n) / 256.0, 4) AS x, (SELECT CAST(floor(100 * length(regexp_replace(p_name, '[^a-zA-Z0-9]', '', 'g')) / length(p_name)) AS INT) FROM part p WHERE p.p_partkey = k.p_partkey) AS alnum FROM k GROUP BY p_partkey")
+q("log_keyvalue_parse", "events", lambda e: e.select("event_id", strings.key_values(F.concat(F.lit("user="), "user_id", F.lit(' note="a b" type='), "event_type", F.lit(" x="))).alias("m")).select("event_id", F.col("m")["user"].alias("u"), F.col("m")["note"].alias("n"), F.col("m")["type"].alias("t"), F.col("m")["x"].alias("x")), "SELECT event_id, CAST(user_id AS VARCHAR) AS u, 'a b' AS n, event_type AS t, 'NULL' AS x FROM events")
+q("filemagic", "pages", lambda g: g.select("page_id", magic.file_type("html", mime=True).alias("t")), "SELECT page_id, 'text/html' AS t FROM pages")
+q("metadice", "orders", lambda o: o.select(strings.line(["o_orderkey", "o_orderstatus"], "|").alias("line")), "SELECT o_orderkey || '|' || o_orderstatus AS line FROM orders")
+q("print", "customer", lambda c: c.select(strings.line(["c_custkey", "c_name"], ",", labels=True).alias("line")), "SELECT 'c_custkey=' || c_custkey || ',c_name=' || c_name AS line FROM customer")
+q("csv_in", "events", lambda e: e.select(F.from_csv(F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type"), "id long, who long, kind string").alias("r")).select("r.*"), "SELECT event_id AS id, user_id AS who, event_type AS kind FROM events")
+q("time_in", "region", lambda r: r.sparkSession.sql("SELECT explode(sequence(timestamp'2024-01-01 00:00:00', timestamp'2024-01-01 06:00:00', interval 15 minutes)) AS DATETIME").select(F.unix_seconds("DATETIME").alias("t")), "SELECT 1704067200 + 900 * i AS t FROM range(25) r(i)")
+
+# ---- structured ----
+
+q("decodejson", "events", lambda e: e.select("event_id", structured.decode_json("props", "k double").alias("j")).select("event_id", F.col("j.k").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+q("decodejson_free", "events", lambda e: e.select("event_id", F.try_variant_get(structured.decode_json_free("props"), "$.k", "double").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+q("tuple2json", "orders", lambda o: structured.quoted_json(o, ["o_orderkey", "o_orderstatus"], "j").select("j"), """SELECT '{"o_orderkey":"' || o_orderkey || '","o_orderstatus":"' || o_orderstatus || '"}' AS j FROM orders""")
+q("print2json", "region", lambda r: structured.one_document(r, ["r_regionkey"]).select(F.size(F.from_json("json", "array<struct<r_regionkey: string>>")).alias("n")), "SELECT CAST(count(*) AS INT) AS n FROM region")
+q("parsexml", "events", lambda e: e.select("event_id", *structured.parse_xml(F.concat(F.lit("<e><u>"), "user_id", F.lit("</u><Data Name='T'>"), "event_type", F.lit("</Data></e>")), {"u": "/e/u", "t": "//Data[@Name='T']"})), "SELECT event_id, CAST(user_id AS VARCHAR) AS u, event_type AS t FROM events")
+
+# ---- expressions ----
+
+q("calc_arithmetic", "lineitem", lambda i: calc(i.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"), "NET = l_extendedprice * (1 - l_discount); UNIT = NET / l_quantity; HALF = l_orderkey / 2; REST = l_orderkey % 7; SQ = l_linenumber ** 2;", "l_orderkey").select("l_orderkey", "l_linenumber", "NET", "UNIT", "HALF", "REST", "SQ"), "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS NET, l_extendedprice * (1 - l_discount) / l_quantity AS UNIT, l_orderkey // 2 AS HALF, l_orderkey % 7 AS REST, CAST(l_linenumber * l_linenumber AS BIGINT) AS SQ FROM lineitem")
+q("calc_bits", "orders", lambda o: calc(o.select("o_orderkey"), "A = o_orderkey & 12; B = o_orderkey | 3; C = o_orderkey ^ 5; D = o_orderkey << 2; E = o_orderkey >> 1;", "o_orderkey"), "SELECT o_orderkey, o_orderkey & 12 AS A, o_orderkey | 3 AS B, xor(o_orderkey, 5) AS C, o_orderkey << 2 AS D, o_orderkey >> 1 AS E FROM orders")
+q("calc_if", "orders", lambda o: calc(o.select("o_orderkey", "o_totalprice"), 'if o_totalprice > 150000 then SIZE = "big"; elsewhere = 1; else SIZE = "small"; endif;', "o_orderkey").select("o_orderkey", "SIZE"), "SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'big' ELSE 'small' END AS SIZE FROM orders")
+q("calc_strings", "part", lambda p: calc(p.select("p_partkey", "p_name"), 'A = strlen(p_name); B = strfind(p_name, "e"); C = substr(p_name, 1, 3); D = strRepl(p_name, "a", "AA"); E = strReplAll(p_name, "a", "AA"); G = p_name + "#" + p_partkey;', "p_partkey").select("p_partkey", "A", "B", "C", "D", "E", "G"), "SELECT p_partkey, CAST(strlen(p_name) AS BIGINT) AS A, CAST(instr(p_name, 'e') - 1 AS BIGINT) AS B, substr(p_name, 2, 3) AS C, CASE WHEN instr(p_name, 'a') > 0 THEN substr(p_name, 1, instr(p_name, 'a') - 1) || 'AA' || substr(p_name, instr(p_name, 'a') + 1) ELSE p_name END AS D, replace(p_name, 'a', 'AA') AS E, p_name || '#' || p_partkey AS G FROM part")
+q("calc_keyed", "events", lambda e: calc(e.select("event_id", "user_id", "value"), "#n[user_id]++; N = #n[user_id]; #PASS = #n[user_id] > 2;").select("event_id", F.col("N").cast("long").alias("N")), f"SELECT event_id, r AS N FROM {RN} WHERE r > 2")
+q("calc_window", "events", lambda e: calc(e.select("event_id", "user_id", "value"), "enqueue(#w[user_id], 3, value); M = qavg(#w[user_id]); S = qspan(#w[user_id]); C = qcount(#w[user_id]);").select("event_id", F.round("M", 6).alias("M"), F.round("S", 6).alias("S"), "C"), "SELECT event_id, round(avg(value) OVER w, 6) AS M, round(max(value) OVER w - min(value) OVER w, 6) AS S, count(value) OVER w AS C FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+q("calc_running", "events", lambda e: calc(e.select("event_id", "event_type"), 'if event_type == "error" then #e += 1; endif; ERRORS = #e;').select("event_id", F.col("ERRORS").cast("long").alias("ERRORS")), "SELECT event_id, CAST(sum((event_type = 'error')::INT) OVER (ORDER BY event_id) AS BIGINT) AS ERRORS FROM events")
+q("calc_casts", "events", lambda e: calc(e.select("event_id", "value", "props"), 'A = cast(int, value); B = cast(string, event_id); C = round(value); D = trunc(0 - value); X = exists(nothing); T = cast(int, parseDate("2024-03-01"));').select("event_id", "A", "B", "C", "D", "X", "T"), "SELECT event_id, CAST(trunc(value) AS BIGINT) AS A, CAST(event_id AS VARCHAR) AS B, round(value) AS C, trunc(-value) + 0.0 AS D, false AS X, CAST(1709251200 AS BIGINT) AS T FROM events")
+
+# ---- pipelines and streams ----
+
+q("graph_keycount", "events", lambda e: graph.run("events | keycount event_type -P | sort COUNT", {"events": e}), "SELECT event_type, count(*) AS COUNT, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS PCT FROM events GROUP BY 1")
+q("graph_streams", "events", lambda e: graph.run('events | match event_type -R purchase -> $a\nevents | match event_type -R error -> $b\n%func few($x -> $y) { $x | firstn user_id -N 2 -> $y }\n$a, $b -> $c\n%few($c -> $d)\n$d | subtuple event_id event_type', {"events": e}), "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE event_type IN ('purchase', 'error')) WHERE r <= 2")
+q("graph_ports", "events", lambda e: graph.run("events | match event_type -R purchase -> $p\nevents -> $all\n$all:ISNOTSET, $p:SET | uniq user_id | subtuple event_id", {"events": e}), "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+q("graph_labels", "events", lambda e: graph.run('events | calc "if value > 100 then label(BIG); endif;" -> $s\n$s.BIG | subtuple event_id value', {"events": e}), "SELECT event_id, value FROM events WHERE value > 100")
+QUERIES["stream_windows"] = lambda spark, d: replay.collect(replay.window_counts(replay.stream(spark, f"{d}/events.parquet"), "1 hour"), "complete")
+SQL["stream_windows"] = "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+QUERIES["stream_uniqexpire"] = lambda spark, d: replay.collect(stateful.apply(replay.stream(spark, f"{d}/events.parquet").select("event_id", "user_id", "ts"), "user_id", stateful.uniq_expire(86400)).select("event_id"))
+SQL["stream_uniqexpire"] = SQL["uniqexpire"]

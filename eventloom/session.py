@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -64,7 +65,15 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the cleaner drop the shuffle files of finished steps now: it learns of them when their plans are garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def load(spark: SparkSession, sf_dir: str, *names: str):
-    """One DataFrame per table name below ``sf_dir``."""
+    """One DataFrame per table name below ``sf_dir``. Times without a zone are UTC, so the session is."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     out = [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
     return out[0] if len(out) == 1 else out
