@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, ship
-from .text import _LOWER, Words, mix, slices
+from .text import _LOWER, Lookup, Words, mix, slices
 
 U64 = np.uint64
-CLASSES, STATES, STRETCH = 2048, 6, 128
+CLASSES, STATES, STRETCH, SLICE = 2048, 6, 128, 2 << 20
 END, END_HASH = CLASSES, np.int64(0x5E4D)
 HALF = 0.5
 
@@ -218,21 +218,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def merged(held: list) -> list:
         h, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        u, first, back = np.unique(h, return_index=True, return_inverse=True)
-        return [(u, c[first], np.bincount(back, n).astype(np.int64))]
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        return [(h[first], c[order[first]], np.add.reduceat(n[order], first))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, kept = [], 0, 0
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int32()), pa.array(x[2], pa.int64())], names=["hash", "class", "n"])
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             h, c, _ = tokens(b.column("text"))
             u, first, n = np.unique(h, return_index=True, return_counts=True)
             held.append((u, c[first], n))
             size += len(u)
-            if size > 2 * kept + 1_500_000:
+            if size > 2 * kept + 500_000:
                 held = merged(held)
                 size = kept = len(held[0][0])
-                if size > 3_000_000:  # bounds a task's memory
+                if size > 1_500_000:  # bounds a task's memory
                     yield out(held[0])
                     held, size, kept = [], 0, 0
         if held:
@@ -248,7 +250,7 @@ def baum_welch(docs: DataFrame, chain: Chain) -> Chain:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES + 1, k))
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             _, c, bounds = tokens(b.column("text"))
             got = Stretches(c, bounds).expected(chain)
             start += got[0]
@@ -273,7 +275,7 @@ def sample_classes(docs: DataFrame, texts: int, most: int) -> list[np.ndarray]:
     chosen = docs.where(key < min(1.0, texts / n) * float(1 << 40)).withColumn("key", key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             _, c, bounds = tokens(b.column("text"))
             own = [c[x : min(x + most, z)].astype(np.int16).tobytes() for x, z in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(own, pa.binary())], names=["key", "c"])
@@ -302,7 +304,7 @@ def fit(docs: DataFrame, states: int = STATES, rounds: int = 2, head: int = 1_00
         head_from = int(r["least"])
     top = vocabulary.where(F.col("count") >= head_from).select("hash", "count").toArrow()
     h, c = top.column("hash").to_numpy(), top.column("count").to_numpy()
-    order = np.argsort(h)
+    order = np.argsort(h.view(U64))
     chain = begin_chain(sample_classes(docs, sample_texts, sample_tokens), states)
     if by_class:
         for _ in range(rounds):
@@ -318,14 +320,15 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, head_log = shared.value
+        find = Lookup(head).find
         row = TaskContext.get().partitionId() << 36
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             h, c, bounds = tokens(b.column("text"))
             n = len(bounds) - 1
             like = Stretches(c, bounds).forward(chain)[0] / math.log(10)
             doc = np.repeat(np.arange(n), np.diff(bounds))
-            at = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
-            known = head[at] == h if len(head) else np.zeros(len(h), bool)
+            at = find(h)
+            known = at >= 0
             logs = np.bincount(doc[known], head_log[at[known]], n) if known.any() else np.zeros(n)
             classes = np.bincount(doc, class_log[c], n)
             rest = np.flatnonzero(~known)

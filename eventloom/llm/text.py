@@ -6,12 +6,13 @@ Texts are handled as UTF-8 bytes in one buffer per slice; the memory a slice nee
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 _SPACE = np.zeros(256, bool)
@@ -65,6 +66,42 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back, as an idle Python worker stays beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+class Lookup:
+    """Positions of 64-bit hashes in an ascending array of them, by a table over their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.view(U64)
+        bits = max(1, int(len(keys)).bit_length())
+        self.shift = U64(64 - bits)
+        self.starts = np.searchsorted(self.keys >> self.shift, np.arange(2**bits + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """-1 for what is not there."""
+        h = h.view(U64)
+        out = np.full(len(h), -1, np.int64)
+        bucket = (h >> self.shift).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end, h = at[left], end[left], h[left]
+        while len(left):
+            hit = self.keys[at] == h
+            out[left[hit]] = at[hit]
+            at += 1
+            go = ~hit & (at < end)
+            left, at, end, h = left[go], at[go], end[go], h[go]
+        return out
 
 
 class Words:
