@@ -132,7 +132,11 @@ class _Compiler:
             self.s.flush.append(F.lit(True) if when is None else when)
             self.take(";")
             return
+        if self.at >= len(self.toks):
+            raise CalcError("unexpected end: endif is missing")
         kind, name = self.toks[self.at]
+        if kind != "name" and name not in ("++", "--"):
+            raise CalcError(f"a statement can't begin with {name!r}")
         if name == "label" and self.peek(1) == "(":
             self.at += 2
             label = self.next()[1]
