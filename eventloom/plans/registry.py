@@ -1,4 +1,4 @@
-"""Names, aliases and options of the operators of the pipeline language.
+"""Names, aliases and options of the operators of the pipeline language (fixed values, so that pipelines keep working).
 
 Every entry turns a parsed call (inputs by port, arguments, options) into a DataFrame by calling the library's functions.
 """
@@ -9,11 +9,12 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import magic, strings, structured
+from ..functions import decode, magic, strings, structured
 from ..operators import aggregates, filters, joins, keyed, shape, sorts
+from ..sources import datagrams, readers, records
 from ..streaming import stateful
 
 
@@ -284,8 +285,66 @@ entry("print pmeta p", "s:SXO:w:A:LHVTJ12bE:t:v:Dm:d:f")(lambda c: structured.qu
 entry("metadice metaout metaprint printmeta", "s:m:t:v:Vw:E:")(lambda c: c.df.select(strings.line(c.args or c.df.columns, str(c.get("s", "|")), c.has("V")).alias("line")))
 
 
-@entry("calc mathwscalc math icalc", "F:MNRS")
+@entry("calc math icalc", "F:MNRS")
 def _calc(c: Call) -> DataFrame:
     from .calc import calc
 
-    return calc(c.df, " ".join(c.args), c.order)
+    return calc(c.df, open(str(c.get("F"))).read() if c.has("F") else " ".join(c.args), c.order)
+
+
+# decoders and packets
+_column(lambda c: decode.dns(c.args[0], c.has("T")), "L:tT", "dns")
+_column(lambda c: decode.tls(c.args[0]), "L:EJ", "tls tlsrec")
+entry("grouppackets", "J:fcn:N:V:M:")(lambda c: aggregates.group_packets(c.df.withColumn("_len", F.octet_length(str(c.get("V", "CONTENT")))), c.args[0], "TCPSEQ", "_len", "TCPACK", str(c.get("V", "CONTENT")), "FLAGS", c.int("n"), c.order))
+entry("keyadd_initial_custom trackbkey keyadd_initial_custom_shared trackbkey_shared", "J:j:2m:b:M:F:O:L:P:")(lambda c: keyed.anomaly_benchmark(c.df, *c.args[:3], c.int("m", 24), c.int("b", 5), c.order))
+
+
+@entry("redis hiredis", "V:h:p:P:S:L:x:")
+def _redis(c: Call) -> DataFrame:
+    """The store is the input on port STORE; GET is the main port, SET, SETNX, INCR and DECR give the new store."""
+    key, value, store = c.args[0], str(c.get("V", "VALUE")), c.inputs["STORE"]
+    if "SET" in c.inputs or "SETNX" in c.inputs:
+        return joins.put(store, c.inputs.get("SET", c.inputs.get("SETNX")), key, value, c.order, "SETNX" in c.inputs)
+    if "INCR" in c.inputs or "DECR" in c.inputs:
+        by = c.inputs.get("INCR", c.inputs.get("DECR")).withColumn("_by", F.lit(1 if "INCR" in c.inputs else -1).cast("long"))
+        return joins.increment(store, by, key, value, "_by")
+    return joins.lookup(c.inputs.get("GET", c.inputs.get("")), store, key, value, str(c.get("L", "VALUE")))
+
+
+# sources: operators without an input
+SOURCES: dict[str, Entry] = {}
+
+
+def source(names: str, options: str = ""):
+    def put(run: Callable[[Call], DataFrame]):
+        name, *aliases = names.split()
+        for n in (name, *aliases):
+            SOURCES[n] = Entry(name, options, run, tuple(aliases))
+        return run
+
+    return put
+
+
+def _spark() -> SparkSession:
+    return SparkSession.getActiveSession()
+
+
+source("csv_in", "d:F:r:iIlP:ps:t:NX")(lambda c: readers.csv_lines(_spark(), str(c.get("r")), c.args, str(c.get("d", c.get("s", ","))), not c.has("N"), stream=c.has("P")))
+source("file_in", "F:mL:")(lambda c: readers.files(_spark(), str(c.get("F")), c.has("m")))
+source("exec_in", "R:ISL:")(lambda c: readers.process(_spark(), c.args, str(c.get("R", "\n")), str(c.get("L", "BUFFER"))))
+source("time_in", "o:s:e:")(lambda c: readers.clock(_spark(), str(c.get("s")), str(c.get("e")), duration(c.args[0]) if c.args else 60, c.int("o", 0)) if c.has("s") else readers.ticks(_spark(), duration(c.args[0]) if c.args else 60))
+source("source_keygen", "a:flm:c:s:u:")(lambda c: readers.key_generator(_spark(), c.int("c", 1000), int(str(c.get("m", (1 << 63) - 1)), 0), c.int("s", 0), c.int("a", 0)))
+source("pcapin pcap pcap_in", "i:r:g")(lambda c: decode.pcap(readers.files(_spark(), str(c.get("r"))), group_ports=c.has("g")))
+source("kafka_in kafka_multi_in", "b:p:L:g:SX:V")(lambda c: readers.kafka(_spark(), str(c.get("b")), ",".join(c.args)))
+source("pb2in pb2_filein", "ims:Br:")(lambda c: records.read(readers.files(_spark(), str(c.get("r")))))
+
+
+@source("syslog_udp_in syslogudp syslog_udp udp_syslog udpsyslog udpgen_in udpgen_in_buf", "U:Bbn:")
+def _udp(c: Call) -> DataFrame:
+    datagrams.register(_spark())
+    return _spark().readStream.format("udp").option("port", str(c.get("U"))).load()
+
+
+@source("tcpcatch syslog_tcp_in syslog_tcp syslogtcp tcp_in", "s:h:p:wbP:B:I:")
+def _tcp(c: Call) -> DataFrame:
+    return readers.socket_lines(_spark(), str(c.get("h", "127.0.0.1")), int(str(c.get("p", c.get("P")))))

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import decode
-from eventloom.sources import datagrams, readers, writers
+from eventloom.plans import graph
+from eventloom.sources import datagrams, readers, records, writers
 from eventloom.streaming import replay, stateful
 
 
@@ -168,3 +169,32 @@ def test_streams(spark, tmp_path):
 def test_stream_plans(spark, tmp_path, make):
     spark.createDataFrame([("a", 1)], "k string, s long").select("k", F.timestamp_seconds("s").alias("ts")).write.parquet(str(tmp_path / "t.parquet"))
     assert make(replay.stream(spark, str(tmp_path / "t.parquet"))).isStreaming
+
+
+def test_containers(spark, tmp_path):
+    df = spark.createDataFrame([(1, -5, 2.5, "é", bytearray(b"\x01"), ("in", None)), (1 << 40, None, None, None, None, None)], "a long, b long, c double, s string, raw binary, n struct<x: string, y: int>")
+    df = df.withColumn("t", F.timestamp_millis(F.lit(1234567)))
+    folder = str(tmp_path)
+
+    def put(name, raw):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(raw)
+
+    for compress in (False, True):
+        assert writers.buffers(records.containers(df.coalesce(1), compress=compress), "DATA", "FILE", put) == 1
+        got = sorted((r.members for r in records.read(readers.files(spark, folder, pattern="*.buffer")).collect()), key=len)
+        assert got == [{"a": str(1 << 40), "t": "1970-01-01T00:20:34.567000Z"}, {"a": "1", "b": "-5", "c": "2.5", "s": "é", "raw": "01", "n": '{"x": "in"}', "t": "1970-01-01T00:20:34.567000Z"}]
+    with pytest.raises(ValueError, match="header"):
+        list(records.frames(b"something else"))
+
+
+def test_sources_in_pipelines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,1\nb,2\na,3\n")
+    got = graph.run(f"csv_in K V -r {tmp_path}/a.csv -N | keycount K", {})
+    assert sorted((r.K, r.COUNT) for r in got.collect()) == [("a", 2), ("b", 1)]
+    assert graph.run("source_keygen -c 20 -m 0xF -s 3", {}).count() == 20
+    assert graph.run("exec_in printf x | strlen BUFFER", {}).first().STRLEN == 1
+    assert graph.run(f"file_in -F {tmp_path} -m", {}).first().LENGTH == 12
+    store = spark.createDataFrame([("a", 5)], "K string, N long")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "K string, event_id long")
+    assert sorted((r.K, r.VALUE) for r in graph.run("rows -> $r\nstore -> $s\n$r, $s:STORE | redis K -V N", {"rows": rows, "store": store}).collect()) == [("a", 5), ("b", None)]
