@@ -42,6 +42,7 @@ _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
+_SECTIONS = frozenset("article main section nav aside header footer form dialog menu".split())
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 KEEP, DROP = 1, 0
 
@@ -150,11 +151,23 @@ def _marks(attrs: str) -> tuple[str, ...]:
 @lru_cache(50_000)
 def _path_features(path: tuple) -> tuple[str, ...]:
     out = ["bias"]
+    near, above, own = "", set(), path[-1][0] if path else ""
     for depth, (tag, attrs) in enumerate(reversed(path)):
+        marks = _marks(attrs)
         out.append(f"in:{tag}")
-        out += (f"mark:{w}" for w in _marks(attrs))
+        out += (f"mark:{w}" for w in marks)
+        out += (f"stem:{w[:4]}" for w in marks if len(w) > 4)
         if depth == 0:
             out.append(f"own:{tag}")
+        if tag in _SECTIONS or marks:
+            # the innermost section, and what is around it
+            if not near:
+                near = tag if tag in _SECTIONS else "marked"
+                out += (f"near:{w}" for w in marks)
+            else:
+                above.add(tag if tag in ("article", "main") else "other")
+    inside = "main" if above & {"article", "main"} else "other" if above else "top"
+    out += (f"near:{near}", f"{near} in {inside}", f"{own} of {near}", f"{own} of {near} in {inside}")
     return tuple(dict.fromkeys(out))
 
 
@@ -250,7 +263,7 @@ def _sentence(rng: random.Random, lo: int = 6, hi: int = 22) -> str:
     return " ".join(words).capitalize() + "."
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
     """Pages of varied layouts with the label of every block. Kept blocks start with a mark character that is taken off."""
     rng = random.Random(seed)
     out = []
@@ -279,9 +292,13 @@ def _page(rng: random.Random) -> str:
     menu = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(3, 8))) + "</ul>"
 
     def junk() -> str:
-        kind = rng.randrange(9)
+        kind = rng.randrange(11)
+        if kind == 9:
+            return pick((f"<dialog><p>{s()}</p></dialog>", f'<div class="{pick(("modal", "popup", "overlay", "lightbox", "toast"))}"><p>{s()}</p></div>', f'<ins class="adsbygoogle">{s(2, 8)}</ins>'))
+        if kind == 10:
+            return f'<ul class="{pick(("breadcrumbs", "pagination", "tags", "share-links", "pager"))}">' + "".join(f"<li>{pick((link(), s(1, 3)))}</li>" for _ in range(3)) + "</ul>"
         if kind == 0:
-            return box("nav", ("nav", "menu", "main-menu", "navbar", "breadcrumb", "navigation"), menu())
+            return box("nav", ("nav", "menu", "main-menu", "navbar", "breadcrumb", "navigation"), pick((menu(), link() + " " + link(), f"<p>{link()}</p>")))
         if kind == 1:
             return box("aside", ("sidebar", "side-bar", "widget", "related", "sidebar right"), f"<h3>{s(1, 4)}</h3>" + (menu() if some(0.5) else f"<p>{long()}</p>"))
         if kind == 2:
@@ -324,8 +341,8 @@ def _page(rng: random.Random) -> str:
             body.append(f"<p>\u0001{s(1, 3)}</p>")
         else:
             body.append(f"<p>\u0001{long()}</p>")
-        if some(0.08):
-            body.append(box("aside", ("ad", "advert", "related", "promo", "newsletter"), pick((s(), f"<p>{s()}</p>", menu()))))
+        if some(0.12):
+            body.append(junk())
     inner = "".join(body)
     if semantic:
         inner = pick((f"<article>{inner}</article>", f"<main><article>{inner}</article></main>", f'<article class="post">{inner}</article>', f"<main>{inner}</main>"))
