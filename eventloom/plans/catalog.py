@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import magic, strings, structured, types
+from ..functions import decode, magic, strings, structured, types
 from ..operators import aggregates, filters, joins, keyed, shape, sorts
 from ..session import load
+from ..sources import datagrams, readers, records
 from ..streaming import replay, stateful
 from . import graph
 from .calc import calc
@@ -259,6 +260,51 @@ q("calc_window", "events", lambda e: calc(e.select("event_id", "user_id", "value
 q("calc_running", "events", lambda e: calc(e.select("event_id", "event_type"), 'if event_type == "error" then #e += 1; endif; ERRORS = #e;').select("event_id", F.col("ERRORS").cast("long").alias("ERRORS")), "SELECT event_id, CAST(sum((event_type = 'error')::INT) OVER (ORDER BY event_id) AS BIGINT) AS ERRORS FROM events")
 q("calc_casts", "events", lambda e: calc(e.select("event_id", "value", "props"), 'A = cast(int, value); B = cast(string, event_id); C = round(value); D = trunc(0 - value); X = exists(nothing); T = cast(int, parseDate("2024-03-01"));').select("event_id", "A", "B", "C", "D", "X", "T"), "SELECT event_id, CAST(trunc(value) AS BIGINT) AS A, CAST(event_id AS VARCHAR) AS B, round(value) AS C, trunc(-value) + 0.0 AS D, false AS X, CAST(1709251200 AS BIGINT) AS T FROM events")
 
+# ---- sources, containers and captures ----
+
+
+def _hex(n, digits: int):
+    return F.lpad(F.hex(n), digits, "0")
+
+
+def _dns_bytes(name):
+    """A query and its answer 10.0.0.7 for ``name``.example, built by expressions."""
+    q = F.concat(F.lit("000781800001000100000000"), _hex(F.length(name), 2), F.hex(name), F.lit("076578616D706C65" + "00" + "00010001"))
+    return F.unhex(F.concat(q, F.lit("C00C" + "00010001" + "0000003C" + "0004" + "0A000007")))
+
+
+def _tls_bytes(host):
+    """A client's greeting with a server name."""
+    n = F.length(host)
+    sni = F.concat(_hex(n + 3, 4), F.lit("00"), _hex(n, 4), F.hex(host))
+    ext = F.concat(F.lit("0000"), _hex(n + 5, 4), sni, F.lit("000A00040002001D" + "000B00020100"))
+    hello = F.concat(F.lit("0303" + "00" * 32 + "00" + "00041301C02F" + "0100"), _hex(n + 23, 4), ext)
+    size = 2 + 32 + 1 + 6 + 2 + 2 + 23 + n
+    return F.unhex(F.concat(F.lit("160301"), _hex(size + 4, 4), F.lit("01"), _hex(size, 6), hello))
+
+
+def _pcap_bytes(port, text):
+    """A capture file with one UDP packet from ``port`` with ``text``."""
+    n = F.length(text)
+    udp = F.concat(_hex(port, 4), F.lit("0035"), _hex(n + 8, 4), F.lit("0000"), F.hex(text))
+    ip = F.concat(F.lit("4500"), _hex(n + 28, 4), F.lit("0001000040110000" + "0A000001" + "0A000002"), udp)
+    frame = F.concat(F.lit("00" * 12 + "0800"), ip)
+    head = "A1B2C3D4" + "00020004" + "0000000000000000" + "0000FFFF" + "00000001"
+    return F.unhex(F.concat(F.lit(head + "0000006400000005"), _hex(n + 42, 8), _hex(n + 42, 8), frame))
+
+
+q("dns", "events", lambda e: e.select("event_id", decode.dns(_dns_bytes(F.col("event_type"))).alias("d")).select("event_id", F.col("d.QNAME").alias("name"), F.col("d.RECORDS")[0]["DATA"].alias("data"), F.col("d.RECORDS")[0]["TTL"].alias("ttl")), "SELECT event_id, event_type || '.example' AS name, '10.0.0.7' AS data, CAST(60 AS BIGINT) AS ttl FROM events")
+q("tls", "events", lambda e: e.select("event_id", decode.tls(_tls_bytes(F.concat("event_type", F.lit(".example")))).alias("t")).select("event_id", F.col("t.SNI").alias("sni"), F.col("t.JA3").alias("ja3"), F.col("t.JA3_HASH").alias("hash")), "SELECT event_id, event_type || '.example' AS sni, '771,4865-49199,0-10-11,29,0' AS ja3, md5('771,4865-49199,0-10-11,29,0') AS hash FROM events")
+q("pcapin", "events", lambda e: decode.pcap(e.select(F.col("event_id").cast("string").alias("FILENAME"), _pcap_bytes(F.col("user_id") + 1024, F.col("event_type")).alias("DATA"))).select(F.col("FILENAME").cast("long").alias("event_id"), "SRCIP", "DSTIP", "SRCPORT", "DSTPORT", F.col("CONTENT").cast("string").alias("content")), "SELECT event_id, '10.0.0.1' AS SRCIP, '10.0.0.2' AS DSTIP, CAST(user_id + 1024 AS INT) AS SRCPORT, 53 AS DSTPORT, event_type AS content FROM events")
+q("wsproto", "orders", lambda o: records.read(records.containers(o.select("o_orderkey", "o_orderstatus", "o_totalprice"), most_bytes=1 << 20, compress=True), name="FILE").select(F.col("members")["o_orderkey"].cast("long").alias("o_orderkey"), F.col("members")["o_orderstatus"].alias("o_orderstatus"), F.col("members")["o_totalprice"].cast("double").alias("o_totalprice")), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+q("source_keygen", "region", lambda r: readers.key_generator(r.sparkSession, 1000, 255, seed=7).where("KEY between 0 and 255").select("id"), "SELECT CAST(range AS BIGINT) AS id FROM range(1000)")
+q("biased_keys", "region", lambda r: keyed.anomaly_benchmark(readers.biased_keys(r.sparkSession, 20_000, 100).withColumnRenamed("id", "event_id"), "KEY", "VALUE", "BIAS", 24, 7))
+q("exec_in", "region", lambda r: readers.process(r.sparkSession, ["printf", "a\\nb\\nc\\n"]), "SELECT unnest(['a', 'b', 'c']) AS BUFFER")
+q("workreceive", "orders", lambda o: shape.unchanged(o.select("o_orderkey")), "SELECT o_orderkey FROM orders")
+q("unbundle", "orders", lambda o: shape.unchanged(shape.unchanged(o.select("o_orderstatus"), 16)), "SELECT o_orderstatus FROM orders")
+q("syslog_fields", "events", lambda e: readers.syslog_fields(e.select("event_id", F.concat(F.lit("<34>Oct 11 22:14:15 box "), "event_type", F.lit("[12]: user "), "user_id").alias("MESSAGE"))).select("event_id", "FACILITY", "SEVERITY", "HOST", "TAG", "TEXT"), "SELECT event_id, 4 AS FACILITY, 2 AS SEVERITY, 'box' AS HOST, event_type AS TAG, 'user ' || user_id AS TEXT FROM events")
+q("udpgen_rows", "events", lambda e: datagrams.parse_benchmark_rows(e.select(F.concat(F.col("user_id").cast("string"), F.lit(",1,0\n"), F.col("event_id").cast("string"), F.lit(",2,1\n")).cast("binary").alias("MESSAGE"))), "SELECT CAST(user_id AS VARCHAR) AS KEY, CAST(1 AS BIGINT) AS VALUE, CAST(0 AS BIGINT) AS BIAS FROM events UNION ALL SELECT CAST(event_id AS VARCHAR), 2, 1 FROM events")
+
 # ---- pipelines and streams ----
 
 q("graph_keycount", "events", lambda e: graph.run("events | keycount event_type -P | sort COUNT", {"events": e}), "SELECT event_type, count(*) AS COUNT, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS PCT FROM events GROUP BY 1")
@@ -269,3 +315,5 @@ QUERIES["stream_windows"] = lambda spark, d: replay.collect(replay.window_counts
 SQL["stream_windows"] = "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 QUERIES["stream_uniqexpire"] = lambda spark, d: replay.collect(stateful.apply(replay.stream(spark, f"{d}/events.parquet").select("event_id", "user_id", "ts"), "user_id", stateful.uniq_expire(86400)).select("event_id"))
 SQL["stream_uniqexpire"] = SQL["uniqexpire"]
+QUERIES["file_in"] = lambda spark, d: readers.files(spark, f"{d}/nation.parquet").select(F.substring("DATA", 1, 4).cast("string").alias("magic"), F.element_at(F.split("FILENAME", "/"), -1).alias("file"))
+SQL["file_in"] = "SELECT 'PAR1' AS magic, 'nation.parquet' AS file"
