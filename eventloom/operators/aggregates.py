@@ -18,9 +18,8 @@ def key_count(df: DataFrame, key: str | Sequence[str], pct: bool = False, order:
     keys = [key] if isinstance(key, str) else list(key)
     out = df.where(F.greatest(*[F.col(k).isNotNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count("*").alias(name), *_first(order, carry))
     if pct:
-        # the total is one row: a scalar, not a window over all keys
-        total = out.agg(F.sum(name).alias("_n"))
-        out = out.crossJoin(F.broadcast(total)).withColumn("PCT", F.col(name) / F.col("_n")).drop("_n")
+        # the total is a scalar subquery, not a window over all keys
+        out = out.withColumn("PCT", F.col(name) / out.agg(F.sum(name)).scalar())
     return out
 
 
@@ -29,8 +28,7 @@ def key_add(df: DataFrame, key: str, values: Sequence[str], pct: bool = False, o
     name = lambda v: "SUM" if len(values) == 1 else f"SUM_{v}"
     out = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("COUNT"), *[F.sum(v).alias(name(v)) for v in values], *_first(order, carry))
     if pct:
-        total = out.agg(F.sum("COUNT").alias("_n"))
-        out = out.crossJoin(F.broadcast(total)).withColumn("PCT", F.col("COUNT") / F.col("_n")).drop("_n")
+        out = out.withColumn("PCT", F.col("COUNT") / out.agg(F.sum("COUNT")).scalar())
     return out
 
 
