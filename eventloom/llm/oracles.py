@@ -37,4 +37,17 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_dropped,
 FROM j GROUP BY r, doc_id
 """
 
-SQL: dict[str, str] = {"op5_line_dedup": LINES, "op6_quality_rules": QUALITY}
+JOIN = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d JOIN low USING (r) LEFT JOIN n USING (r)
+"""
+
+SQL: dict[str, str] = {"op4_ngram_join": JOIN, "op5_line_dedup": LINES, "op6_quality_rules": QUALITY}

@@ -107,8 +107,8 @@ def host_rates(measured: DataFrame) -> DataFrame:
         # between-host variance: weighted variance of the rates less what sampling alone gives
         (F.col("s") / F.col("t") - m * m - (F.col("hosts") / F.col("t")) * m * (1 - m)).alias("var"),
     ).select("mean", F.when(F.col("var") > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1))).otherwise(1000.0).alias("strength"))
-    # prior is one row
-    return by_host.crossJoin(F.broadcast(prior)).select("host", "n", "failed", ((F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("shrunk"))
+    mean, strength = prior.select("mean").scalar(), prior.select("strength").scalar()
+    return by_host.select("host", "n", "failed", ((F.col("failed") + mean * strength) / (F.col("n") + strength)).alias("shrunk"))
 
 
 def judge(measured: DataFrame) -> DataFrame:
