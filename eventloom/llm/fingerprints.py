@@ -149,16 +149,17 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - q] + other[:q]
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most_ranges: int = 50_000) -> DataFrame:
     """doc_id, text, bucket, last: all rows, dealt by ranges of doc_id and sorted, and after each range a copy of the next range's first row (last = 1).
 
     So a row's successor (ascending doc_id, then text; null doc_id first; after the last row the first one) always follows
-    it in its partition, without a window over all rows. Only range borders and first ids come to the driver, one a range.
+    it in its partition, without a window over all rows. Only range borders and first ids come to the driver, one a range, of at most ``most_ranges``; beyond that
+    the ranges get longer (they are sorted with spilling and streamed).
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = ids.count()
-    n = max(1, -(-total // rows_per_bucket))
+    n = min(most_ranges, max(1, -(-total // rows_per_bucket)))
     cut = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 4 * n))).first()[0] if n > 1 and total else []
     cuts = np.unique(np.array([c for c in cut or [] if c is not None], np.int64))
 

@@ -147,12 +147,13 @@ def predict_batch(m: ByteCNN, tables, column: pa.Array) -> tuple[np.ndarray, np.
     return best, score
 
 
-def sample(docs: DataFrame, usable: Column, per_lang: int = 1500, per_doc: int = 4, window: int = 256, max_langs: int = 400) -> list[tuple[str, bytes]]:
-    """At most per_lang * per_doc windows of each of the max_langs most frequent languages; rows are chosen by a hash of doc_id."""
+def sample(docs: DataFrame, usable: Column, per_lang: int = 1500, per_doc: int = 4, window: int = 256, max_langs: int = 400, max_texts: int = 40_000) -> list[tuple[str, bytes]]:
+    """At most per_lang * per_doc windows of each of the max_langs most frequent languages (max_texts texts in all); rows are chosen by a hash of doc_id."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return []
+    per_lang = min(per_lang, max(1, max_texts // len(counts)))
     # a hash below the share that per_lang is of a language's rows
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.1 * per_lang / r["count"]))])
     chosen = rows.withColumn("rank", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))).where(F.col("rank") < F.coalesce(share[F.col("lang")], F.lit(0.0)) * float(1 << 40))
