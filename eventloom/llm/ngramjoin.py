@@ -8,10 +8,11 @@ postings it adds and the candidates it is expected to meet, and a pair needs the
 Nothing enumerates the pairs of a large group:
 
 1. Classes that share a prefix shingle are first compared with a leader of its bucket; verified links contract to components.
-2. Only components, not members, then meet in the buckets, and only in buckets that hold several; two components that share
-   enough prefix shingles are compared member by member in blocks of bounded size, by counting over an inverted index.
+2. Only components, not members, then meet in the buckets, and only in buckets that hold several: first each with the
+   largest one of the bucket, which gathers what is left of large groups, then every remaining pair. Two components that
+   share enough prefix shingles are compared member by member in blocks of bounded size, by counting over an inverted index.
 
-Step 2 compares every pair of classes that can link and that step 1 has not joined, so that no link between components is
+Step 2 compares every pair of classes that can link (by size and by the number of shared prefix shingles) and that step 1 has not joined, so that no link between components is
 lost. Frequencies only order the shingles and steer the choice of l; any values give the same result. They are counted in
 all texts, within each task first, where single occurrences are left out.
 
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialise, ship
+from ..session import discard, materialise, release, ship
 from .graph import components
-from .text import mix, shingle_sets, slices
+from .text import Lookup, mix, shingle_sets, slices
 
 U64 = np.uint64
-LONGEST, LEADERS, SALTED, BLOCK_TOKENS, FREQUENT = 6, 8, 2000, 1_000_000, 300_000
+LONGEST, LEADERS, SALTED, BLOCK_TOKENS, FREQUENT = 6, 2, 2000, 200_000, 2_000_000
 
 
 def set_digest(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -75,10 +76,10 @@ def scan(docs: DataFrame, k: int) -> DataFrame:
             u, n = np.unique(h[np.repeat(new, np.diff(bounds))], return_counts=True)
             held.append((u, n))
             size += len(u)
-            if size > 2 * kept + 2_000_000:
+            if size > 2 * kept + 1_000_000:
                 held = [counted()]
                 size = kept = len(held[0][0])
-                if size > 6_000_000:  # bounds a task's memory
+                if size > 4_000_000:  # bounds a task's memory
                     yield from flush()
                     held, size, kept = [], 0, 0
         if held:
@@ -107,15 +108,13 @@ def frequent(scanned: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.n
     return h[order], n[order]
 
 
-def prefixes(h: np.ndarray, bounds: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: int, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each set: its chosen l; and the shingles, their frequencies and sets of all prefixes."""
+def prefixes(h: np.ndarray, bounds: np.ndarray, often: tuple[Lookup, np.ndarray], percent: int, longest: int = LONGEST) -> tuple[np.ndarray, ...]:
+    """Of each set: its chosen l; and of all prefixes the shingles, their frequencies, sets, and how many of the prefix follow."""
     n = np.diff(bounds)
     text = np.repeat(np.arange(len(n)), n)
     freq = np.ones(len(h), np.int64)
-    if len(often[0]):
-        at = np.minimum(np.searchsorted(often[0], h), len(often[0]) - 1)
-        hit = often[0][at] == h
-        freq[hit] = np.maximum(often[1][at[hit]], 2)
+    at = often[0].find(h)
+    freq[at >= 0] = np.maximum(often[1][at[at >= 0]], 2)
     order = np.lexsort((h, freq, text))
     h, freq = h[order], freq[order]
     cum = np.concatenate([[0], np.cumsum(freq)])
@@ -130,16 +129,18 @@ def prefixes(h: np.ndarray, bounds: np.ndarray, often: tuple[np.ndarray, np.ndar
         better = (cost < best) & (k <= np.maximum(_required(n, percent), 1))
         best[better], ell[better] = cost[better], k
     size = np.minimum(spare + ell, n) * (n > 0)
-    keep = np.arange(len(h)) - bounds[:-1][text] < size[text]
-    return ell, h[keep], freq[keep], text[keep]
+    follow = size[text] - 1 - (np.arange(len(h)) - bounds[:-1][text])
+    keep = follow >= 0
+    return ell, h[keep], freq[keep], text[keep], follow[keep]
 
 
 def postings(docs: DataFrame, k: int, often, percent: int) -> DataFrame:
-    """shingle, salt, digest, l, n: the prefix of each distinct set (repeated only across slices)."""
+    """shingle, salt, digest, l, n, follow: the prefix of each distinct set (repeated only across slices)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(often)  # at most FREQUENT shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Lookup(shared.value[0]), shared.value[1]
         for b in slices(batches):
             h, bounds = shingle_sets(b.column("text"), k)
             d = set_digest(h, bounds)
@@ -150,14 +151,15 @@ def postings(docs: DataFrame, k: int, often, percent: int) -> DataFrame:
             n = np.diff(bounds)
             h = h[np.repeat(new, n)]
             d, n = d[new], n[new]
-            ell, token, freq, text = prefixes(h, np.concatenate([[0], np.cumsum(n)]), shared.value, percent)
+            ell, token, freq, text, follow = prefixes(h, np.concatenate([[0], np.cumsum(n)]), counts, percent)
             own = d[text]
             # the buckets of very frequent shingles are split
             parts = np.maximum(1, freq // SALTED)
             salt = (mix(own.view(U64)) % parts.astype(U64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt), pa.array(own), pa.array(ell[text], pa.int32()), pa.array(n[text], pa.int32())], names=["shingle", "salt", "digest", "l", "n"])
+            # what a text's rows have in common stands together, which packs well
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(follow, pa.int32()), pa.array(salt), pa.array(own), pa.array(ell[text], pa.int32()), pa.array(n[text], pa.int32())], names=["shingle", "follow", "salt", "digest", "l", "n"])
 
-    return docs.mapInArrow(run, "shingle long, salt int, digest long, l int, n int")
+    return docs.mapInArrow(run, "shingle long, follow int, salt int, digest long, l int, n int")
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
@@ -166,12 +168,12 @@ def shared_postings(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the first row of a bucket waits until a second class shows up
-        key, lead, last, waiting = None, 0, None, None
+        key, lead, last, waiting = None, (0, 0, 0), None, None
         for b in batches:
             if not b.num_rows:
                 continue
             s, salt, d = (b.column(c).to_numpy() for c in ("shingle", "salt", "digest"))
-            l_, n = b.column("l").to_numpy(), b.column("n").to_numpy()
+            l_, n, follow = (b.column(c).to_numpy() for c in ("l", "n", "follow"))
             fresh = np.ones(len(s), bool)
             fresh[1:] = (s[1:] != s[:-1]) | (salt[1:] != salt[:-1])
             carried = key == (int(s[0]), int(salt[0]))
@@ -183,27 +185,44 @@ def shared_postings(rows: DataFrame) -> DataFrame:
                 new[0] = int(d[0]) != last
             begin = np.flatnonzero(fresh)
             group = np.cumsum(fresh) - 1  # -1: the carried bucket
-            leaders = np.append(d[begin], lead if carried else 0)[group]
+            leaders = [np.append(x[begin], y if carried else 0)[group] for x, y in zip((d, l_, n), lead, strict=True)]
             members = np.bincount(group[new] + 1, minlength=len(begin) + 1)
             keep = new & (members[group + 1] > 1)
             if carried:
                 keep |= new & (group == -1)
             keep |= new & (salt > 0)
-            out = [s[keep], d[keep], l_[keep], n[keep], leaders[keep]]
+            out = [s[keep], d[keep], l_[keep], n[keep], follow[keep], *(x[keep] for x in leaders)]
             if waiting is not None and carried and members[0] > 0:
                 out = [np.append(x, y) for x, y in zip(out, waiting, strict=True)]
                 waiting = None
             if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["shingle", "digest", "l", "n", "leader"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["shingle", "digest", "l", "n", "follow", "leader", "leader_l", "leader_n"])
             # what the next batch continues
             if len(begin):
                 at = begin[-1]
                 alone = members[group[at] + 1] == 1 and salt[at] == 0
-                waiting = (s[at], d[at], l_[at], n[at], d[at]) if alone else None
-                lead = int(d[at])
+                waiting = (s[at], d[at], l_[at], n[at], follow[at], d[at], l_[at], n[at]) if alone else None
+                lead = int(d[at]), int(l_[at]), int(n[at])
             key, last = (int(s[-1]), int(salt[-1])), int(d[-1])
 
-    return dealt.mapInArrow(run, "shingle long, digest long, l long, n long, leader long")
+    return dealt.mapInArrow(run, "shingle long, digest long, l long, n long, follow long, leader long, leader_l long, leader_n long")
+
+
+def may_link(least: str, most: str, l1: str, least2: str, most2: str, l2: str, percent: int):
+    """Whether sets of these sizes can reach the similarity."""
+    return (100 * F.col(most) >= percent * F.col(least2)) & (100 * F.col(most2) >= percent * F.col(least))
+
+
+def needed(least: str, most: str, l1: str, least2: str, most2: str, l2: str, percent: int):
+    """How many prefix shingles a linked pair of such sizes shares at least.
+
+    A shared shingle outside both prefixes' intersection lies behind the prefix that ends first, which leaves at most
+    ceil(t n) - l places; so the overlap that the similarity asks for, less those, must lie in the prefixes.
+    """
+    low = F.least(F.col(l1), F.col(l2))
+    overlap = F.ceil(percent * (F.col(least) + F.col(least2)) / (100 + percent))
+    behind = F.greatest(F.ceil(percent * F.col(most) / 100), F.ceil(percent * F.col(most2) / 100)) - low
+    return F.greatest(low, overlap - behind)
 
 
 def compare(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -250,61 +269,128 @@ def compare(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) ->
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def link_classes(docs: DataFrame, scanned: DataFrame, often, k: int, percent: int) -> DataFrame:
-    """node, label: the components of linked classes (those with a link only)."""
-    shared = materialise(shared_postings(postings(docs, k, often, percent)))
-    spark = docs.sparkSession
-
-    # the sets of classes that share anything, from one text each
-    first = scanned.where("kind = 0 and n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    some = shared.select("digest").distinct().hint("merge").join(first, "digest").select(F.col("doc_id").alias("_id"))
-    texts = docs.hint("merge").join(some, docs["doc_id"] == some["_id"], "left_semi")
-    orphans = scanned.where("kind = 0 and n > 0").groupBy("digest").agg(F.max("doc_id").alias("any")).where("any is null")
-    if orphans.limit(1).count():  # classes of null ids only
-        texts = texts.union(docs.where("doc_id is null"))
+def fetch_sets(docs: DataFrame, scanned: DataFrame, digests: DataFrame, k: int) -> DataFrame:
+    """digest, shingles (ascending 64-bit hashes) of classes, made anew from one text each."""
+    first = scanned.where("kind = 0 and n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    some = digests.select("digest").distinct().hint("merge").join(first, "digest").select(F.col("doc_id").alias("_id"))
+    # null ids meet here too
+    texts = docs.hint("merge").join(some, docs["doc_id"].eqNullSafe(some["_id"]), "left_semi")
 
-    def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             h, bounds = shingle_sets(b.column("text"), k)
-            d = set_digest(h, bounds)
             raw = pa.array([h[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(d), raw], names=["digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(set_digest(h, bounds)), raw], names=["digest", "shingles"])
 
-    sets = materialise(texts.mapInArrow(collect_sets, "digest long, shingles binary"))
+    return texts.mapInArrow(run, "digest long, shingles binary")
+
+
+def link_classes(docs: DataFrame, scanned: DataFrame, often, k: int, percent: int) -> DataFrame:
+    """node, label: the components of linked classes (those with a link only)."""
+    shared = materialise(shared_postings(postings(docs, k, often, percent)))
+    spark = docs.sparkSession
+    release(spark)
 
     # 1: against a few leaders
-    near = shared.where("digest <> leader").groupBy("digest").agg(F.slice(F.array_sort(F.collect_set("leader")), 1, LEADERS).alias("leaders"))
-    pairs = near.select("digest", F.explode("leaders").alias("bucket")).withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(16)).cast("int"))
+    met = shared.where("digest <> leader").groupBy("digest", "leader").agg(F.count("*").alias("common"), *(F.first(c).alias(c) for c in ("l", "n", "leader_l", "leader_n")))
+    met = met.where(may_link("n", "n", "l", "leader_n", "leader_n", "leader_l", percent) & (F.col("common") >= needed("n", "n", "l", "leader_n", "leader_n", "leader_l", percent)))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("common", "leader")), False), 1, LEADERS)
+    near = met.groupBy("digest").agg(best.alias("leaders"))
+    pairs = near.select("digest", F.explode("leaders.leader").alias("bucket")).withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(16)).cast("int"))
     pairs = materialise(pairs)
     leaders = pairs.select("bucket", "block").distinct().withColumn("digest", F.col("bucket"))
+    sets = materialise(fetch_sets(docs, scanned, pairs.select("digest").union(pairs.select("bucket")), k))
+    release(spark)  # the texts' shuffle
     links = materialise(compare(leaders, pairs, sets, percent))
+    discard(sets)
     labels = components(links)
-
-    # 2: components that meet in buckets
-    of = labels.select(F.col("node").alias("digest"), "label")
-    held = materialise(shared.select("shingle", "digest", "l", "n").distinct().hint("merge").join(of, "digest", "left").withColumn("label", F.coalesce("label", "digest")))
+    release(spark)
+
+    # 2: components that meet in buckets: first with the largest one of each, then what is left, pair by pair
+    done = None
+    for every_pair in (False, True):
+        of = labels.select(F.col("node").alias("digest"), "label")
+        held = materialise(shared.select("shingle", "digest", "l", "n", "follow").distinct().hint("merge").join(of, "digest", "left").withColumn("label", F.coalesce("label", "digest")))
+        release(spark)
+        met = materialise(meetings(held))
+        both = with_every_other(met, percent) if every_pair else with_largest(met, percent)
+        if done is not None:
+            both = both.hint("merge").join(done, ["x", "y"], "left_anti")
+        both = materialise(both)
+        release(spark)
+        members = materialise(held.groupBy("label", "digest").agg(F.max("n").alias("n")))
+        more = materialise(links_between(docs, scanned, both, members, k, percent))
+        links = materialise(links.union(more))
+        labels = components(links)
+        done = both
+        for df in (held, met, members, more):
+            discard(df)
+        release(spark)
+    return labels
+
+
+def meetings(held: DataFrame) -> DataFrame:
+    """shingle, label, l, least, most, follow, members: the components in each bucket that holds several, with their bounds."""
     mixed = held.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
-    met = held.hint("merge").join(mixed, "shingle").groupBy("shingle", "label").agg(F.min("l").alias("l"), F.min("n").alias("least"), F.max("n").alias("most"))
-    met = materialise(met)
-    other = met.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("label", "l", "least", "most")))
-    close = (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
-    both = met.hint("merge").join(other, "shingle").where((F.col("label") < F.col("label2")) & close)
-    both = both.groupBy("label", "label2").agg(F.count("*").alias("common"), F.min(F.least("l", "l2")).alias("need")).where("common >= need").select("label", "label2")
-    # the component with more shingles is the indexed side
-    members = held.groupBy("label", "digest").agg(F.max("n").alias("n"))
-    members = materialise(members)
-    sizes = materialise(members.groupBy("label").agg(F.sum("n").alias("size")))
-    both = both.hint("merge").join(sizes, "label").hint("merge").join(sizes.select(F.col("label").alias("label2"), F.col("size").alias("size2")), "label2")
-    swap = F.col("size2") > F.col("size")
-    both = materialise(both.select(F.when(swap, F.col("label2")).otherwise(F.col("label")).alias("bucket"), F.when(swap, F.col("label")).otherwise(F.col("label2")).alias("small"), F.ceil(F.greatest("size", "size2") / BLOCK_TOKENS).cast("int").alias("blocks")))
-    large = both.select("bucket", "blocks").distinct()
-    left = large.hint("merge").join(members, large["bucket"] == members["label"]).select("bucket", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block"), "digest")
-    right = both.hint("merge").join(members, both["small"] == members["label"]).select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "digest")
-    more = compare(left, right, sets, percent)
-    out = components(links.union(more))
-    for df in (shared, sets, pairs, links, labels, held, met, members, sizes, both):
-        discard(df)
-    return out
+    return held.hint("merge").join(mixed, "shingle").groupBy("shingle", "label").agg(F.min("l").alias("l"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("follow").alias("follow"), F.count("*").alias("members"))
+
+
+_BOUNDS = ("label", "l", "least", "most")
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """x < y: components that share as many prefix shingles as a link between them needs."""
+    rows = rows.where(may_link("least", "most", "l", "least2", "most2", "l2", percent))
+    x, y = F.least("label", "label2").alias("x"), F.greatest("label", "label2").alias("y")
+    sums = rows.groupBy("label", "label2").agg(F.count("*").alias("common"), *(F.min(c).alias(c) for c in ("least", "l", "least2", "l2")), *(F.max(c).alias(c) for c in ("most", "most2")))
+    # a pair can come in both orders when the largest component differs from bucket to bucket
+    sums = sums.groupBy(x, y).agg(F.sum("common").alias("common"), F.min(F.least("least", "least2")).alias("least"), F.min(F.least("l", "l2")).alias("l"), F.max(F.greatest("most", "most2")).alias("most"), F.max("least").alias("a1"), F.max("least2").alias("a2"), F.count("*").alias("orders"), F.min("most").alias("b1"), F.min("most2").alias("b2"))
+    exact = sums.where("orders = 1").select("x", "y", "common", F.col("a1").alias("least"), "l", F.col("b1").alias("most"), F.col("a2").alias("least2"), F.col("l").alias("l2"), F.col("b2").alias("most2"))
+    loose = sums.where("orders > 1").select("x", "y", "common", "least", "l", "most", F.col("least").alias("least2"), F.col("l").alias("l2"), F.col("most").alias("most2"))
+    return exact.unionByName(loose).where(F.col("common") >= needed("least", "most", "l", "least2", "most2", "l2", percent)).select("x", "y")
+
+
+def with_largest(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each component and the one with the most members in a bucket: as many rows as there are meetings."""
+    top = met.groupBy("shingle").agg(F.max(F.struct("members", *_BOUNDS)).alias("t")).select("shingle", *(F.col(f"t.{c}").alias(f"{c}2") for c in _BOUNDS))
+    return _pairs(met.hint("merge").join(top, "shingle").where("label <> label2"), percent)
+
+
+def with_every_other(met: DataFrame, percent: int) -> DataFrame:
+    """All pairs of components that can hold a link.
+
+    A linked pair shares at least ``needed`` prefix shingles, and the first of them is followed by the others in both
+    prefixes; so only shingles with that many followers on both sides need to bring a pair together.
+    """
+    other = met.select("shingle", "follow", *_BOUNDS).toDF("shingle", "follow2", *(f"{c}2" for c in _BOUNDS))
+    sizes = ("least", "most", "l", "least2", "most2", "l2", percent)
+    first = (F.least("follow", "follow2") + 1 >= needed(*sizes)) & may_link(*sizes)
+    rows = met.hint("merge").join(other, (met["shingle"] == other["shingle"]) & (F.col("label") < F.col("label2")) & first)
+    pairs = materialise(rows.select(F.col("label").alias("x"), F.col("label2").alias("y")).distinct())
+    # then all that these pairs share is counted
+    one = met.select("shingle", *_BOUNDS).hint("merge").join(pairs.toDF("label", "label2"), "label")
+    return _pairs(one.hint("merge").join(other.drop("follow2"), ["shingle", "label2"]), percent)
+
+
+def links_between(docs: DataFrame, scanned: DataFrame, both: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of each pair of components: the members of the one with fewer shingles stream past the other's.
+
+    Both sides are dealt into blocks of about BLOCK_TOKENS shingles, every block of one side meeting every one of the other.
+    """
+    sizes = members.groupBy("label").agg(F.sum("n").alias("size"))
+    sized = both.hint("merge").join(sizes.select(F.col("label").alias("x"), F.col("size").alias("size1")), "x").hint("merge").join(sizes.select(F.col("label").alias("y"), F.col("size").alias("size2")), "y")
+    swap = F.col("size2") > F.col("size1")
+    sized = materialise(sized.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("bucket"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("small"), F.least("size1", "size2").alias("size"), F.ceil(F.greatest("size1", "size2") / BLOCK_TOKENS).cast("int").alias("rows")))
+    grid = materialise(sized.groupBy("bucket").agg(F.max("rows").alias("rows"), F.ceil(F.sum("size") / BLOCK_TOKENS).cast("int").alias("columns")))
+    row, column = F.pmod(F.xxhash64("digest"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("digest"), F.col("columns")).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = (F.col("row") * F.col("columns") + F.col("column")).alias("block")
+    left = grid.hint("merge").join(members, grid["bucket"] == members["label"]).select("bucket", "columns", row.alias("row"), all_of("columns").alias("column"), "digest")
+    right = sized.select("bucket", "small").hint("merge").join(members, sized["small"] == members["label"]).select("bucket", "digest").hint("merge").join(grid, "bucket").select("bucket", "columns", all_of("rows").alias("row"), column.alias("column"), "digest")
+    left, right = (materialise(x.select("bucket", cell, "digest")) for x in (left, right))
+    sets = materialise(fetch_sets(docs, scanned, left.select("digest").union(right.select("digest")), k))
+    release(docs.sparkSession)
+    return compare(left, right, sets, percent)
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
