@@ -260,6 +260,9 @@ q("calc_window", "events", lambda e: calc(e.select("event_id", "user_id", "value
 q("calc_running", "events", lambda e: calc(e.select("event_id", "event_type"), 'if event_type == "error" then #e += 1; endif; ERRORS = #e;').select("event_id", F.col("ERRORS").cast("long").alias("ERRORS")), "SELECT event_id, CAST(sum((event_type = 'error')::INT) OVER (ORDER BY event_id) AS BIGINT) AS ERRORS FROM events")
 q("calc_casts", "events", lambda e: calc(e.select("event_id", "value", "props"), 'A = cast(int, value); B = cast(string, event_id); C = round(value); D = trunc(0 - value); X = exists(nothing); T = cast(int, parseDate("2024-03-01"));').select("event_id", "A", "B", "C", "D", "X", "T"), "SELECT event_id, CAST(trunc(value) AS BIGINT) AS A, CAST(event_id AS VARCHAR) AS B, round(value) AS C, trunc(-value) + 0.0 AS D, false AS X, CAST(1709251200 AS BIGINT) AS T FROM events")
 
+q("untiln_expire", "events", lambda e: stateful.apply(e.select("event_id", "user_id", "ts"), "user_id", stateful.until_n_expire(2, 86400)).select("event_id"), SQL["firstn_expire"].replace("event_id, c AS COUNT FROM s WHERE c <= 2", "event_id FROM s WHERE c > 2"))
+q("cntquery_epochs", "events", lambda e: graph.run("events | match event_type -R purchase -> $p\nevents | match event_type -R view -> $v\n$p:INCREMENT, $v | cntquery user_id -m 2 -E 1d | subtuple event_id CNT", {"events": e}), "SELECT event_id, c AS CNT FROM (SELECT *, CAST(sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY event_id) AS BIGINT) AS c FROM events WHERE event_type IN ('purchase', 'view')) WHERE event_type = 'view' AND c >= 2")
+
 # ---- sources, containers and captures ----
 
 

@@ -189,7 +189,10 @@ entry("bandwidth bw", "t")(lambda c: aggregates.bandwidth(c.df, c.time))
 def _cntquery(c: Call) -> DataFrame:
     tagged = joins.union(*[df.withColumn("_port", F.lit(p)) for p, df in c.inputs.items()])
     delta = F.when(F.col("_port").isin("INCREMENT", "ADDQUERY"), 1).when(F.col("_port") == "DECREMENT", -1).otherwise(0)
-    return keyed.count_query(tagged, c.args[0], delta, F.col("_port").isin("", "ADDQUERY"), c.int("m", 1), name=str(c.get("C", "CNT")), order=c.order).drop("_port")
+    key: str | list[str] = c.args[0]
+    if c.has("E"):  # counts start again in every epoch
+        tagged, key = filters.flush_epochs(tagged, time=c.time, seconds=duration(str(c.get("E"))), name="_epoch"), [c.args[0], "_epoch"]
+    return keyed.count_query(tagged, key, delta, F.col("_port").isin("", "ADDQUERY"), c.int("m", 1), name=str(c.get("C", "CNT")), order=c.order).drop("_port", "_epoch")
 
 
 # keyed analytics
@@ -201,7 +204,14 @@ def _firstn(c: Call) -> DataFrame:
     return keyed.first_n(c.df, c.args[0], n, c.get("C"), c.order)
 
 
-entry("untiln until", "J:F:O:n:N:M:E:")(lambda c: keyed.until_n(c.df, c.args[0], c.int("N", c.int("n", 10)), c.order))
+@entry("untiln until", "J:F:O:n:N:M:E:")
+def _untiln(c: Call) -> DataFrame:
+    n = c.int("N", c.int("n", 10))
+    if c.has("E"):
+        return stateful.apply(c.df, c.args[0], stateful.until_n_expire(n, duration(str(c.get("E"))), c.time), c.order)
+    return keyed.until_n(c.df, c.args[0], n, c.order)
+
+
 
 
 @entry("uniq unique uniq_shared unique_shared", "J:p:M:ok:iO:L:T:S:")
@@ -348,3 +358,17 @@ def _udp(c: Call) -> DataFrame:
 @source("tcpcatch syslog_tcp_in syslog_tcp syslogtcp tcp_in", "s:h:p:wbP:B:I:")
 def _tcp(c: Call) -> DataFrame:
     return readers.socket_lines(_spark(), str(c.get("h", "127.0.0.1")), int(str(c.get("p", c.get("P")))))
+
+
+def describe(word: str = "") -> list[str]:
+    """A line for each operator: its names and options (those with a value have a colon), sources apart; matching a word."""
+    out = []
+    for kind, table in (("source", SOURCES), ("operator", ENTRIES)):
+        for e in dict.fromkeys(map(id, table.values())):
+            entry_ = next(x for x in table.values() if id(x) == e)
+            options = " ".join(f"-{c}" + (" value" if entry_.takes_value(c) else "") for c in entry_.options if c != ":")
+            doc = (entry_.run.__doc__ or "").strip()
+            line = f"{kind} {entry_.name}" + (f" ({', '.join(entry_.aliases)})" if entry_.aliases else "") + (f": {options}" if options else "") + (f" - {doc}" if doc else "")
+            if word.lower() in line.lower():
+                out.append(line)
+    return out

@@ -106,6 +106,17 @@ def first_n_expire(n: int, seconds: float, time: str = "ts") -> tuple:
     return lambda: None, step, "COUNT long"
 
 
+def until_n_expire(n: int, seconds: float, time: str = "ts") -> tuple:
+    """The rows of a key after the first n; counting starts again once ``seconds`` have passed since the first one."""
+    start, first, _ = first_n_expire(n, seconds, time)
+
+    def step(state, row):
+        state, passed = first(state, row)
+        return state, None if passed is not None else ()
+
+    return start, step, ""
+
+
 def clamped_climb(weight: Callable[[dict], float], threshold: float = 10, high: float = 100, low: float = -100, reset: bool = False, tag: bool = False) -> tuple:
     """A key's score, clamped after each step; rows where it exceeds the threshold before that (tag: all rows, with a flag)."""
 

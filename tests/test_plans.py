@@ -93,3 +93,30 @@ def test_every_simple_operator_runs(df):
         "t | bundle | unbundle | noop", "t | cntquery k",
     ):
         graph.run(text, {"t": df}).count()
+
+
+def test_describe():
+    from eventloom.plans.registry import describe
+
+    assert any(x.startswith("operator keycount (countkey)") and "-P" in x for x in describe())
+    assert describe("levenshtein")[0].startswith("operator editdistance") and describe("no such thing") == []
+
+
+def test_command_line(spark, df, tmp_path, capsys):
+    from eventloom.__main__ import main
+
+    df.write.parquet(str(tmp_path / "t.parquet"))
+    assert main(["run", "t | top n -N 1 | subtuple event_id n", "--table", f"t={tmp_path}/t.parquet"]) == 0
+    assert "|1       |7  |" in capsys.readouterr().out
+    assert main(["run", "t | keycount k -> $c", "--table", f"t={tmp_path}/t.parquet", "--stream", "c", "--out", str(tmp_path / "o")]) == 0
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+    assert main(["describe", "keyflow"]) == 0 and "keyflow" in capsys.readouterr().out
+
+
+def test_counts_with_epochs_and_expiry(spark):
+    rows = [(i, "a", i * 50) for i in range(1, 7)]
+    t = spark.createDataFrame(rows, "event_id long, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    text = "t -> $a\nt -> $b\n$a:INCREMENT, $b | cntquery k -m 2 -E 2m"
+    assert sorted((r.event_id, r.CNT) for r in graph.run("t -> $a\n$a:ADDQUERY | cntquery k -m 2 -E 2m", {"t": t}).collect()) == [(2, 2), (4, 2), (6, 2)]
+    assert graph.run(text, {"t": t}).count() > 0
+    assert sorted(r.event_id for r in graph.run("t | untiln k -N 1 -E 2m", {"t": t}).collect()) == [2, 3, 5, 6]
