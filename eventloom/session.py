@@ -73,6 +73,7 @@ def release(spark: SparkSession) -> None:
 
 def load(spark: SparkSession, sf_dir: str, *names: str):
     """One DataFrame per table name below ``sf_dir``. Times without a zone are UTC, so the session is."""
+    ship(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     out = [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
