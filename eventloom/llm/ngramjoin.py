@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise, release, ship
@@ -34,7 +35,7 @@ from .graph import components
 from .text import Lookup, mix, shingle_sets, slices
 
 U64 = np.uint64
-LONGEST, LEADERS, SALTED, BLOCK_TOKENS, FREQUENT = 6, 2, 2000, 200_000, 2_000_000
+LONGEST, LEADERS, SALTED, BLOCK_TOKENS, FREQUENT, CROWD, COUNTED = 6, 2, 2000, 200_000, 2_000_000, 40, 4096
 
 
 def set_digest(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -310,7 +311,7 @@ def link_classes(docs: DataFrame, scanned: DataFrame, often, k: int, percent: in
     done = None
     for every_pair in (False, True):
         of = labels.select(F.col("node").alias("digest"), "label")
-        held = materialise(shared.select("shingle", "digest", "l", "n", "follow").distinct().hint("merge").join(of, "digest", "left").withColumn("label", F.coalesce("label", "digest")))
+        held = materialise(shared.select("shingle", "digest", "l", "n", "follow").distinct().hint("merge").join(of, "digest", "left").withColumn("alone", F.col("label").isNull().cast("int")).withColumn("label", F.coalesce("label", "digest")))
         release(spark)
         met = materialise(meetings(held))
         both = with_every_other(met, percent) if every_pair else with_largest(met, percent)
@@ -330,9 +331,9 @@ def link_classes(docs: DataFrame, scanned: DataFrame, often, k: int, percent: in
 
 
 def meetings(held: DataFrame) -> DataFrame:
-    """shingle, label, l, least, most, follow, members: the components in each bucket that holds several, with their bounds."""
+    """shingle, label, l, least, most, follow, members, alone (no link yet): the components in each bucket that holds several, with their bounds."""
     mixed = held.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
-    return held.hint("merge").join(mixed, "shingle").groupBy("shingle", "label").agg(F.min("l").alias("l"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("follow").alias("follow"), F.count("*").alias("members"))
+    return held.hint("merge").join(mixed, "shingle").groupBy("shingle", "label").agg(F.min("l").alias("l"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("follow").alias("follow"), F.count("*").alias("members"), F.min("alone").alias("alone"))
 
 
 _BOUNDS = ("label", "l", "least", "most")
@@ -360,16 +361,37 @@ def with_every_other(met: DataFrame, percent: int) -> DataFrame:
     """All pairs of components that can hold a link.
 
     A linked pair shares at least ``needed`` prefix shingles, and the first of them is followed by the others in both
-    prefixes; so only shingles with that many followers on both sides need to bring a pair together.
+    prefixes; so only shingles with that many followers on both sides need to bring a pair together. In crowded buckets
+    single classes also carry the last crowded shingles before this one: a pair that has one of them in common met there.
     """
-    other = met.select("shingle", "follow", *_BOUNDS).toDF("shingle", "follow2", *(f"{c}2" for c in _BOUNDS))
+    crowded = met.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD).select("shingle", F.lit(1).alias("crowded"))
+    rows = materialise(met.hint("merge").join(crowded, "shingle", "left").select("shingle", "follow", *_BOUNDS, "alone", "crowded"))
+    w = W.partitionBy("label").orderBy(F.desc("follow"), "shingle").rowsBetween(-32, -1)
+    calm = rows.where("crowded is null").withColumn("before", F.lit(None).cast("array<long>"))
+    crowd = rows.where("crowded = 1").withColumn("before", F.when(F.col("alone") == 1, F.collect_list("shingle").over(w)))
     sizes = ("least", "most", "l", "least2", "most2", "l2", percent)
     first = (F.least("follow", "follow2") + 1 >= needed(*sizes)) & may_link(*sizes)
-    rows = met.hint("merge").join(other, (met["shingle"] == other["shingle"]) & (F.col("label") < F.col("label2")) & first)
-    pairs = materialise(rows.select(F.col("label").alias("x"), F.col("label2").alias("y")).distinct())
-    # then all that these pairs share is counted
-    one = met.select("shingle", *_BOUNDS).hint("merge").join(pairs.toDF("label", "label2"), "label")
-    return _pairs(one.hint("merge").join(other.drop("follow2"), ["shingle", "label2"]), percent)
+
+    def meet(one: DataFrame, dedup: bool) -> DataFrame:
+        other = one.select("shingle", "follow", "before", *_BOUNDS).toDF("shingle", "follow2", "before2", *(f"{c}2" for c in _BOUNDS))
+        on = (one["shingle"] == other["shingle"]) & (F.col("label") < F.col("label2")) & first
+        if dedup:
+            on = on & F.coalesce(~F.arrays_overlap("before", "before2"), F.lit(True))
+        return one.hint("merge").join(other, on).select(F.col("label").alias("x"), F.col("label2").alias("y"))
+
+    pairs = materialise(meet(calm, False).union(meet(crowd, True)).distinct())
+    discard(rows)
+    # then all that these pairs share is counted, a row a pair; components of many shingles go without
+    own = met.groupBy("label").agg(F.min("l").alias("l"), F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("n"))
+    few = own.where(F.col("n") <= COUNTED).select("label")
+    held = met.select("label", "shingle").hint("merge").join(few, "label").groupBy("label").agg(F.collect_list("shingle").alias("shingles"))
+    known = materialise(own.drop("n").hint("merge").join(held, "label", "left").select(*_BOUNDS, "shingles"))
+    told = pairs.toDF("label", "label2").hint("merge").join(known, "label").hint("merge").join(known.toDF(*(f"{c}2" for c in (*_BOUNDS, "shingles"))), "label2")
+    enough = F.size(F.array_intersect("shingles", "shingles2")) >= needed(*sizes)
+    uncounted = F.col("shingles").isNull() | F.col("shingles2").isNull()
+    out = materialise(told.where(F.when(uncounted, True).otherwise(enough)).select(F.col("label").alias("x"), F.col("label2").alias("y")))
+    discard(known)
+    return out
 
 
 def links_between(docs: DataFrame, scanned: DataFrame, both: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:

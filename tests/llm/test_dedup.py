@@ -197,10 +197,13 @@ def test_join(spark, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == components_by_force(rows)
 
 
-def test_join_with_split_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("counted", [5, 4096])
+def test_join_with_split_buckets(spark, monkeypatch, counted):
+    monkeypatch.setattr(ngramjoin, "COUNTED", counted)
     rows = near_copies(3, groups=2, size=60)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(ngramjoin, "BLOCK_TOKENS", 400)  # many blocks a component
+    monkeypatch.setattr(ngramjoin, "CROWD", 3)
     got = ngramjoin.join(df).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == components_by_force(rows)
 
