@@ -308,7 +308,7 @@ def link_classes(docs: DataFrame, scanned: DataFrame, often, k: int, percent: in
     release(spark)
 
     # 2: components that meet in buckets: first with the largest one of each, then what is left, pair by pair
-    done = None
+    done = before = None
     for every_pair in (False, True):
         of = labels.select(F.col("node").alias("digest"), "label")
         held = materialise(shared.select("shingle", "digest", "l", "n", "follow").distinct().hint("merge").join(of, "digest", "left").withColumn("alone", F.col("label").isNull().cast("int")).withColumn("label", F.coalesce("label", "digest")))
@@ -316,20 +316,31 @@ def link_classes(docs: DataFrame, scanned: DataFrame, often, k: int, percent: in
         met = materialise(meetings(held))
         both = with_every_other(met, percent) if every_pair else with_largest(met, percent)
         if done is not None:
-            both = both.hint("merge").join(done, ["x", "y"], "left_anti")
+            both = both.hint("merge").join(compared_whole(done, before, labels), ["x", "y"], "left_anti")
         both = materialise(both)
         release(spark)
         members = materialise(held.groupBy("label", "digest").agg(F.max("n").alias("n")))
         more = materialise(links_between(docs, scanned, both, members, k, percent))
         links = materialise(links.union(more))
-        labels = components(links)
-        done = both
+        done, before, labels = both, labels, components(links)
         for df in (held, met, members, more):
             discard(df)
         release(spark)
     return labels
 
 
+def compared_whole(done: DataFrame, before: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those pairs x, y of ``done`` whose labels stand for the same classes in ``labels`` as in ``before``.
+
+    A label is the smallest class of its component, so one that still stands can have grown only; it has if any of its classes
+    had another label, or none, before.
+    """
+    grown = labels.hint("merge").join(before, ["node", "label"], "left_anti").select("label").distinct()
+    for side in ("x", "y"):
+        done = done.hint("merge").join(grown.withColumnRenamed("label", side), side, "left_anti")
+    return done.select("x", "y")
+
+
 def meetings(held: DataFrame) -> DataFrame:
     """shingle, label, l, least, most, follow, members, alone (no link yet): the components in each bucket that holds several, with their bounds."""
     mixed = held.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")

@@ -208,6 +208,30 @@ def test_join_with_split_buckets(spark, monkeypatch, counted):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == components_by_force(rows)
 
 
+def bridged_groups(groups=30, seed=9):
+    """Large groups; each with a text that resembles a few members, not the leader, and one that resembles this text alone."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        new = iter(range(10**6))
+        w = lambda n, g=g, new=new: [f"g{g}n{next(new)}" for _ in range(n)]
+        base, front = w(60), rng.choice([5, 6, 7])
+        rows += [base[:59] + w(1 + rng.randint(0, 7)) for _ in range(12)] + [base[:53]]
+        far = base[: 60 - rng.choice([3, 4, 5, 6])]
+        far += w(60 - len(far))
+        rows += [far[:59] + w(1) for _ in range(3)]
+        bridge = w(front) + far[front:]
+        rows += [bridge, bridge[:front] + w(3) + bridge[front + 3 :]]
+    rng.shuffle(rows)
+    return [(i, " ".join(x)) for i, x in enumerate(rows)]
+
+
+def test_join_of_what_a_bridge_brings_into_a_group(spark):
+    rows = bridged_groups()
+    got = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == components_by_force(rows)
+
+
 def test_join_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngramjoin.join(none).count() == 0
