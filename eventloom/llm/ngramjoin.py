@@ -135,8 +135,8 @@ def prefixes(h: np.ndarray, bounds: np.ndarray, often: tuple[Lookup, np.ndarray]
     return ell, h[keep], freq[keep], text[keep], follow[keep]
 
 
-def postings(docs: DataFrame, k: int, often, percent: int) -> DataFrame:
-    """shingle, salt, digest, l, n, follow: the prefix of each distinct set (repeated only across slices)."""
+def postings(docs: DataFrame, k: int, often, percent: int, salted: int = SALTED) -> DataFrame:
+    """shingle, salt, digest, l, n, follow: the prefix of each distinct set (repeated only across slices); salt 0: a bucket that is not split."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(often)  # at most FREQUENT shingles
 
@@ -155,8 +155,8 @@ def postings(docs: DataFrame, k: int, often, percent: int) -> DataFrame:
             ell, token, freq, text, follow = prefixes(h, np.concatenate([[0], np.cumsum(n)]), counts, percent)
             own = d[text]
             # the buckets of very frequent shingles are split
-            parts = np.maximum(1, freq // SALTED)
-            salt = (mix(own.view(U64)) % parts.astype(U64)).astype(np.int32)
+            parts = np.maximum(1, freq // salted)
+            salt = np.where(parts > 1, 1 + (mix(own.view(U64)) % parts.astype(U64)).astype(np.int32), 0).astype(np.int32)
             # what a text's rows have in common stands together, which packs well
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(follow, pa.int32()), pa.array(salt), pa.array(own), pa.array(ell[text], pa.int32()), pa.array(n[text], pa.int32())], names=["shingle", "follow", "salt", "digest", "l", "n"])
 
@@ -164,7 +164,7 @@ def postings(docs: DataFrame, k: int, often, percent: int) -> DataFrame:
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
-    """The postings of buckets with at least two classes, or split ones, once each, with the leader of the bucket."""
+    """The postings of buckets with at least two classes, or split ones (salt above 0), once each, with the leader of the bucket."""
     dealt = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,9 +286,9 @@ def fetch_sets(docs: DataFrame, scanned: DataFrame, digests: DataFrame, k: int)
     return texts.mapInArrow(run, "digest long, shingles binary")
 
 
-def link_classes(docs: DataFrame, scanned: DataFrame, often, k: int, percent: int) -> DataFrame:
+def link_classes(docs: DataFrame, scanned: DataFrame, often, k: int, percent: int, salted: int = SALTED) -> DataFrame:
     """node, label: the components of linked classes (those with a link only)."""
-    shared = materialise(shared_postings(postings(docs, k, often, percent)))
+    shared = materialise(shared_postings(postings(docs, k, often, percent, salted)))
     spark = docs.sparkSession
     release(spark)
 
@@ -426,12 +426,12 @@ def links_between(docs: DataFrame, scanned: DataFrame, both: DataFrame, members:
     return compare(left, right, sets, percent)
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 75, salted: int = SALTED) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = materialise(scan(docs, k))
-    labels = link_classes(docs, scanned, frequent(scanned), k, percent)
+    labels = link_classes(docs, scanned, frequent(scanned), k, percent, salted)
     rows = scanned.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "digest")
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
     named = materialise(classes.hint("merge").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("label", "digest").alias("label")))

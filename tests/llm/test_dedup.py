@@ -232,6 +232,30 @@ def test_join_of_what_a_bridge_brings_into_a_group(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == components_by_force(rows)
 
 
+def passage_copies(seed=6, groups=4, size=8):
+    """Passages, each in a few copies with another tail: most of what they share is in buckets that a small ``salted`` splits."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        for _ in range(size):
+            rows.append(" ".join([f"g{g}p{k}" for k in range(40)] + [f"t{rng.random()}" for _ in range(rng.randint(1, 3))]))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("salted", [1, 2])
+def test_join_of_lone_postings_in_split_buckets(spark, salted):
+    rows = passage_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = ngramjoin.postings(docs.repartition(3), 5, ngramjoin.frequent(ngramjoin.scan(docs.coalesce(1), 5)), 75, salted)
+    split = held.groupBy("shingle").agg(F.max("salt").alias("top")).where("top > 0").select("shingle")
+    want = held.join(split, "shingle").select("shingle", "digest").distinct()
+    got = ngramjoin.shared_postings(held).select("shingle", "digest")
+    assert split.count() and want.subtract(got).count() == 0
+    joined = ngramjoin.join(docs.repartition(3), salted=salted).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in joined), key=str) == components_by_force(rows)
+
+
 def test_join_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngramjoin.join(none).count() == 0
