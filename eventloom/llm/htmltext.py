@@ -3,7 +3,7 @@
 A page is scanned into leaf blocks: runs of text between block-level borders, each with the tags, classes, ids and roles of
 its ancestors. Features of these and of the text give every block a score for being main text, and neighbouring blocks a
 score for each pair of labels. The weights are trained by stochastic gradient on the exact likelihood (forward-backward)
-over labelled pages; Viterbi decodes a page. Scripts, styles and the like never become blocks.
+over labelled pages; Viterbi decodes a page. Scripts, styles, other raw text and closed templates never become blocks.
 
 The labelled pages come from ``labelled_pages``: a generator of page layouts (semantic tags, classed divisions, tables) with
 the label of every block; callers may train on pages of their own.
@@ -27,21 +27,27 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .text import slices
 
-#: Elements whose content is never text, by what ends them.
-_SKIP = "script|style|noscript|template|iframe|svg|textarea|select|object|canvas|math|head"
+#: Elements whose content is raw text and never shown, up to the end tag (or the end of the page, as in browsers).
+_RAW = "script|style|textarea|title|iframe|noscript"
+_INSIDE = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{_SKIP})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=skip)\s*>|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?:{_RAW})(?![\w:-])(?:{_INSIDE}[\s\"'])?/>|<(?P<skip>{_RAW})(?![\w:-]){_INSIDE}>.*?(?:</(?P=skip)\s*>|\Z)|<[!?][^>]*>"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_INSIDE})>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label nobr ruby rt rp blink img br picture source".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label nobr ruby rt rp blink img br picture source object canvas".split())
+#: Formulas and drawings run on in the text around them.
+_INLINE |= frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mpadded mphantom menclose mstyle merror mspace semantics annotation annotation-xml".split())
+_INLINE |= frozenset("svg g path circle ellipse rect line polyline polygon text tspan textpath defs use symbol stop lineargradient radialgradient clippath mask pattern marker filter desc metadata animate animatetransform image foreignobject".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())
 #: Which open elements a start tag ends.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
+#: Blocks that may stand inside a paragraph.
+_WITHIN = frozenset(("select", "template"))
 _SECTIONS = frozenset("article main section nav aside header footer form dialog menu".split())
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 KEEP, DROP = 1, 0
@@ -61,6 +67,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked = [0]
     links = 0
+    inert: list[tuple[int, int]] = []  # open templates: depth, blocks before them
 
     def end() -> None:
         if parts:
@@ -76,6 +83,8 @@ def blocks(page: str) -> list[Block]:
             if tag == "a":
                 links -= 1
         del stack[depth:]
+        while inert and inert[-1][0] >= depth:
+            inert.pop()
 
     for m in _TOKEN.finditer(page):
         text = m["text"]
@@ -109,12 +118,16 @@ def blocks(page: str) -> list[Block]:
         if m["close"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
+                    if tag == "template":  # what it holds is not part of the page
+                        del out[next(n for depth, n in inert if depth == k) :]
                     pop(k)
                     break
             continue
+        if tag == "head":  # holds no text but raw; what else stands there belongs to the body, closed or not
+            continue
         if tag in _VOID:
             continue
-        for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph with all inside it
+        for k in range(len(stack) - 1, -1, -1) if tag not in _WITHIN else ():  # a block ends an open paragraph with all inside it
             if stack[k][0] == "p":
                 pop(k)
                 break
@@ -131,6 +144,8 @@ def blocks(page: str) -> list[Block]:
         attrs = m["attrs"]
         if attrs and attrs[-1:] == "/" and tag in ("div", "p", "section", "span"):
             attrs = attrs[:-1]
+        if tag == "template":
+            inert.append((len(stack), len(out)))
         stack.append((tag, attrs.strip() if attrs else ""))
     end()
     return out

@@ -161,6 +161,18 @@ def test_blocks_and_entities():
     assert [b.text for b in htmltext.blocks("<style>p{}</style><p title='a>b'>x</p><script>never ends")] == ["x"]
 
 
+def test_blocks_after_elements_that_never_end():
+    texts = lambda page: [b.text for b in htmltext.blocks(page)]
+    assert texts("<html><head><title>t</title><meta charset=x><body><p>a<p>b") == ["a", "b"]
+    assert texts("<head><title>t</title><h1>a</h1><p>b</p>") == texts("<head><title>t</title></head><h1>a</h1><p>b</p>") == ["a", "b"]
+    for e in ("<svg class='i'/>", "<svg><path d='M0'/></svg>", "<math/>", "<object data=x>", "<canvas>", "<iframe src='x' />", "<title/>"):
+        assert texts(f"<p>a {e}b</p><p>c</p>") == ["a b", "c"], e
+    assert texts("<p>a</p><select><option>x<p>b</p>") == ["a", "x", "b"]
+    assert texts("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p><object><p>instead</p></object>") == ["let x=2 be", "instead"]
+    assert texts("<template><p>no</p><template>no</template></template><p>a</p><div><template><p>b</p></div>") == ["a", "b"]
+    assert texts("<title-bar>a</title-bar><script>no</script><style/><textarea>no</textarea>b") == ["a", "b"]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
