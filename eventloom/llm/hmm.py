@@ -6,8 +6,10 @@ product of P(word | class), where P(class sequence) is the exact likelihood of t
 forward recursion. The recursion runs over fixed-length stretches of many texts at once: each stretch gives the matrix that
 takes the state before it to the state after it, and a text's matrices are multiplied in order, which is exact.
 
-Training is Baum-Welch: expected counts of starts, steps and emissions are summed over all partitions of all training texts,
-``rounds`` times; only the start values come from a bounded sample (``sample_texts`` texts of ``sample_tokens`` tokens).
+Training is incremental Baum-Welch over all tokens of all training texts: the states start as random leanings of the class
+shares of all texts; texts are dealt into ``PARTS`` by a hash, and the chain follows the sum of all parts' latest expected
+counts (of starts, steps and emissions), a part being counted anew at each turn. Rounds over all parts go on until one gains
+less than ``SETTLED`` of the log-likelihood (or ``rounds`` are over, if given). Fixed points are those of plain Baum-Welch.
 Word counts cover all training texts. The most frequent words (at most ``head``) go to every task; a text's other words
 are joined with the count table by hash, so that nothing that grows with the corpus is broadcast.
 
@@ -27,11 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, ship
+from ..session import discard, materialise, ship
 from .text import _LOWER, Lookup, Words, mix, slices
 
 U64 = np.uint64
 CLASSES, STATES, STRETCH, SLICE = 2048, 6, 128, 2 << 20
+PARTS, SETTLED = 8, 5e-4
 END, END_HASH = CLASSES, np.int64(0x5E4D)
 HALF = 0.5
 
@@ -173,7 +176,7 @@ class Stretches:
 
 
 def begin_chain(texts: list[np.ndarray], states: int = STATES, rounds: int = 12, seed: int = 5) -> Chain:
-    """Start values: Baum-Welch on a few texts, from states that lean on random groups of them."""
+    """A chain of texts in memory: Baum-Welch from states that lean on random groups of them."""
     rng = np.random.default_rng(seed)
     if not texts:
         one = np.ones(states)
@@ -244,48 +247,71 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("hash").agg(F.first("class").alias("class"), F.sum("n").alias("count"))
 
 
-def baum_welch(docs: DataFrame, chain: Chain) -> Chain:
-    """One round over all texts."""
-    k = len(chain.start)
+def class_sequences(docs: DataFrame) -> DataFrame:
+    """part, c: the classes of all tokens of each text (16-bit numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES + 1, k))
         for b in slices(batches, limit=SLICE):
             _, c, bounds = tokens(b.column("text"))
-            got = Stretches(c, bounds).expected(chain)
-            start += got[0]
-            step += got[1]
-            emit += got[2]
-        flat = np.concatenate([start, step.ravel(), emit.ravel()])
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at])], names=["at", "n"])
+            c = c.astype(np.int16)
+            own = pa.array([c[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("part"), own], names=["part", "c"])
 
-    got = _texts(docs).mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()  # as many rows as the model has parameters
-    flat = np.zeros(k + k * k + (CLASSES + 1) * k)
-    flat[[r["at"] for r in got]] = [r["n"] for r in got]
-    return Chain.from_counts(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(-1, k))
+    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(PARTS)).cast("int")
+    return _texts(docs).withColumn("part", part).mapInArrow(run, "part int, c binary")
 
 
-def sample_classes(docs: DataFrame, texts: int, most: int) -> list[np.ndarray]:
-    """Class sequences of about ``texts`` texts chosen by a hash of their content, ``most`` tokens each."""
-    n = docs.count()
-    if not n:
-        return []
-    key = F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(1 << 40))
-    chosen = docs.where(key < min(1.0, texts / n) * float(1 << 40)).withColumn("key", key)
+def expected_counts(sequences: DataFrame, chain: Chain) -> np.ndarray:
+    """Of all ``sequences``, in a row: expected counts of starts, steps and emissions, then the log-likelihood."""
+    k = len(chain.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=SLICE):
-            _, c, bounds = tokens(b.column("text"))
-            own = [c[x : min(x + most, z)].astype(np.int16).tobytes() for x, z in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(own, pa.binary())], names=["key", "c"])
+        flat = np.zeros(k + k * k + (CLASSES + 1) * k + 1)
+        held, size = [], 0
+
+        def flush() -> None:
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+            got = Stretches(np.concatenate(held).astype(np.int32), bounds).expected(chain)
+            flat[:] += np.concatenate([got[0], got[1].ravel(), got[2].ravel(), [got[3]]])
+
+        for b in batches:
+            for x in b.column("c"):
+                held.append(np.frombuffer(x.as_buffer(), np.int16))
+                size += len(held[-1])
+                if size > SLICE // 6:  # a word takes about six bytes of text
+                    flush()
+                    held, size = [], 0
+        if held:
+            flush()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at])], names=["at", "n"])
 
-    got = chosen.select("key", F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, c binary").limit(2 * texts).collect()
-    got = sorted({(r["key"], bytes(r["c"])) for r in got})
-    return [np.frombuffer(c, np.int16).astype(np.int32) for _, c in got]
+    got = sequences.select("c").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()  # as many rows as the model has parameters
+    flat = np.zeros(k + k * k + (CLASSES + 1) * k + 1)
+    flat[[r["at"] for r in got]] = [r["n"] for r in got]
+    return flat
+
+
+def train(docs: DataFrame, shares: np.ndarray, states: int = STATES, rounds: int | None = None, seed: int = 5) -> Chain:
+    """The chain of all texts of ``docs``; ``shares``: how often each class occurs in them."""
+    k = states
+    chain = Chain.from_counts(np.ones(k), np.eye(k) * k + 1, shares[:, None] * np.random.default_rng(seed).gamma(2.0, 0.5, (CLASSES + 1, k)))
+    sequences = materialise(class_sequences(docs))
+    held, last, turn = [np.zeros(k + k * k + (CLASSES + 1) * k + 1)] * PARTS, None, 0
+    while rounds is None or turn < rounds:
+        turn += 1
+        for part in range(PARTS):
+            held[part] = expected_counts(sequences.where(F.col("part") == part), chain)
+            flat = np.sum(held, 0)
+            chain = Chain.from_counts(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(-1, k))
+        if last is not None and flat[-1] - last < SETTLED * abs(last):
+            break
+        last = flat[-1]
+    discard(sequences)
+    return chain
 
 
-def fit(docs: DataFrame, states: int = STATES, rounds: int = 2, head: int = 1_000_000, sample_texts: int = 2000, sample_tokens: int = 400) -> Model:
+def fit(docs: DataFrame, states: int = STATES, rounds: int | None = None, head: int = 1_000_000) -> Model:
     """The model of all texts of ``docs`` (column text)."""
     ship(docs.sparkSession)
     vocabulary = materialise(word_counts(docs))
@@ -305,10 +331,7 @@ def fit(docs: DataFrame, states: int = STATES, rounds: int = 2, head: int = 1_00
     top = vocabulary.where(F.col("count") >= head_from).select("hash", "count").toArrow()
     h, c = top.column("hash").to_numpy(), top.column("count").to_numpy()
     order = np.argsort(h.view(U64))
-    chain = begin_chain(sample_classes(docs, sample_texts, sample_tokens), states)
-    if by_class:
-        for _ in range(rounds):
-            chain = baum_welch(docs, chain)
+    chain = train(docs, n, states, rounds) if by_class else begin_chain([], states)
     return Model(vocabulary, chain, int(n.sum()), int(v.sum()), np.log10(n + HALF * (v + 1)), head_from, h[order], np.log10(c[order] + HALF))
 
 

@@ -144,6 +144,23 @@ def test_model_scores(spark, docs):
             assert all(abs(r.base_score - base) < 1e-6 and r.n_tokens == len(w) and r.n_known == sum(c[x] > 0 for x in w) and r.train_tokens == n and r.score < 0 for r in own)
 
 
+def test_training_settles_over_whole_texts(spark):
+    """What differs between texts comes after their first 400 tokens."""
+    rng = np.random.default_rng(6)
+    words = [[f"{a}{b}{c}" for b in "xyz" for c in "uvw"] for a in "abcdef"]
+    rows = [(" ".join(["same"] * 400 + [w for _ in range(10) for w in rng.choice(words[rng.integers(6)], 30)]),) for _ in range(40)]
+    texts = [r[0] for r in rows]
+    chain = hmm.fit(spark.createDataFrame(rows, "text string").repartition(3)).chain
+    _, c, bounds = hmm.tokens(pa.array(texts))
+    s, likes = hmm.Stretches(c, bounds), []
+    for _ in range(6):
+        *counts, like = s.expected(chain)
+        chain = hmm.Chain.from_counts(*counts)
+        likes.append(like)
+    assert likes[-1] - likes[0] < 0.01 * abs(likes[0])
+    assert likes[0] > -0.9 * 40 * 300 * math.log(54), likes  # -1.0: the states tell no groups apart
+
+
 def test_model_of_nothing(docs):
     from pyspark.sql import functions as F
 
