@@ -11,23 +11,52 @@ from ..session import discard, materialise
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (long) -> node, label: the smallest node of each node's component, for the nodes of links.
 
-    Every round takes the smallest label of the neighbours, then the label of the label (pointer jumping), so that the
-    number of rounds grows with the logarithm of the longest path. Each round is written to the shared folder.
+    Contraction: every node with a smaller neighbour goes to the smallest one, chains of these are followed to their ends,
+    and the links between different ends are the next round's. Each round at least halves the nodes that it can join, so
+    the rounds together handle little more than the links once. The end with many links comes first in the joins (after
+    equal links have met), so a hub does not gather its links in one task. Each round is written to the shared folder.
     """
-    both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    total = None
+    ordered = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+    edges = materialise(ordered(links, "a", "b"))
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        moves = _ends(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
+        rounds.append(moves)
+        # b has moved in any case; what its neighbours and it share now is one link
+        half = edges.hint("merge").join(moves, edges["b"] == moves["node"]).select("a", F.col("label").alias("b")).where("a <> b").distinct()
+        both = half.hint("merge").join(moves, half["a"] == moves["node"], "left").select(F.coalesce("label", "a").alias("a"), "b")
+        after = materialise(ordered(both, "a", "b"))
+        discard(edges)
+        edges = after
+    discard(edges)
+    if not rounds:
+        return materialise(links.select(F.col("a").alias("node"), F.col("b").alias("label")).where("false"))
+    out = rounds.pop()
+    while rounds:
+        # the ends of a round are the nodes of the next ones
+        out = rounds.pop().transform(moved, out).unionByName(out)
+    return materialise(out.unionByName(out.select(F.col("label").alias("node"), "label").distinct()))
+
+
+def moved(labels: DataFrame, moves: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with each label replaced by where ``moves`` (node, label) takes it, if anywhere."""
+    to = moves.select(F.col("node").alias("label"), F.col("label").alias("end"))
+    return labels.hint("merge").join(to, "label", "left").select("node", F.coalesce("end", "label").alias("label"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after ``links`` (a, b) between labels; a node without a label yet is its own."""
+    moves = components(links)
+    alone = moves.hint("merge").join(labels.select(F.col("label").alias("node")).distinct(), "node", "left_anti")
+    return materialise(moved(labels, moves).unionByName(alone))
+
+
+def _ends(moves: DataFrame) -> DataFrame:
+    """``moves`` (node, label below it) with chains followed to their ends, by doubling: as many steps as the logarithm of their length."""
     while True:
-        near = both.hint("merge").join(labels, both["a"] == labels["node"]).groupBy("b").agg(F.min("label").alias("m"))
-        step = labels.hint("merge").join(near, labels["node"] == near["b"], "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        step = materialise(step)
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        after = materialise(step.hint("merge").join(up, "label").select("node", F.col("root").alias("label")))
-        discard(step)
-        discard(labels)
-        labels = after
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count("*")).first()
-        if now == total:
-            discard(both)
-            return labels
-        total = now
+        moves = materialise(moves)
+        # only labels that move on themselves are looked up
+        further = moves.hint("merge").join(moves.select(F.col("label").alias("node")).distinct(), "node", "left_semi")
+        if further.isEmpty():
+            return moves
+        moves = moved(moves, further)

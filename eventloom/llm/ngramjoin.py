@@ -9,11 +9,15 @@ Nothing enumerates the pairs of a large group:
 
 1. Classes that share a prefix shingle are first compared with a leader of its bucket; verified links contract to components.
 2. Only components, not members, then meet in the buckets, and only in buckets that hold several: first each with the
-   largest one of the bucket, which gathers what is left of large groups, then every remaining pair. Two components that
-   share enough prefix shingles are compared member by member in blocks of bounded size, by counting over an inverted index.
+   largest one of the bucket, which gathers what is left of large groups. What then still shares a bucket with few others
+   meets pair by pair; the buckets that many components share are dealt into blocks, which meet block by block.
 
-Step 2 compares every pair of classes that can link (by size and by the number of shared prefix shingles) and that step 1 has not joined, so that no link between components is
-lost. Frequencies only order the shingles and steer the choice of l; any values give the same result. They are counted in
+Wherever two blocks meet, their members are compared by counting over an inverted index, and what comes out is at most one
+link for each component that joins another there: no table of pairs is made of a crowded bucket. Step 2 compares every
+pair of classes that can link (by size and by the number of shared prefix shingles) and that nothing has joined yet, so
+that no link between components is lost.
+
+Frequencies only order the shingles and steer the choice of l; any values give the same result. They are counted in
 all texts, within each task first, where single occurrences are left out.
 
 Text null or without words: an empty set, linked with nothing. Fewer than k words: the whole sequence is one shingle.
@@ -27,11 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import discard, materialise, release, ship
-from .graph import components
+from ..session import discard, materialise, ship
+from .graph import components, merged
 from .text import Lookup, mix, shingle_sets, slices
 
 U64 = np.uint64
@@ -227,47 +230,74 @@ def needed(least: str, most: str, l1: str, least2: str, most2: str, l2: str, per
 
 
 def compare(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between a class of ``left`` and one of ``right`` (bucket, block, digest) in the same bucket and block.
+    """a, b: labels of components that a link joins, between a class of ``left`` and one of ``right`` (bucket, block, digest, label) in the same bucket and block.
 
-    At least one link for each class of ``right`` that has any in its block. A block's left sets are held in memory as an
-    inverted index (their size is bounded by whoever makes the blocks), the right ones stream past.
+    At most one row for each component that becomes part of another in its block. A block's left sets are held in memory as
+    an inverted index (their size is bounded by whoever makes the blocks), the right ones stream past.
     """
-    put = lambda df, side: df.select("bucket", "block", F.lit(side).alias("side"), "digest").hint("merge").join(sets, "digest")
+    put = lambda df, side: df.select("bucket", "block", F.lit(side).alias("side"), "digest", "label").hint("merge").join(sets, "digest")
     dealt = put(left, 0).unionByName(put(right, 1)).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, held, index = None, [], [], None
+        key, block = None, None
         for b in batches:
             out: tuple[list, list] = ([], [])
-            buckets, blocks, sides, digests = (b.column(c).to_pylist() for c in ("bucket", "block", "side", "digest"))
+            buckets, blocks, sides, labels = (b.column(c).to_pylist() for c in ("bucket", "block", "side", "label"))
+            raw = b.column("shingles")
             for i, side in enumerate(sides):
                 if (buckets[i], blocks[i]) != key:
-                    key, names, held, index = (buckets[i], blocks[i]), [], [], None
-                own = np.frombuffer(b.column("shingles")[i].as_buffer(), U64)
+                    key, block = (buckets[i], blocks[i]), Block(percent)
+                own = np.frombuffer(raw[i].as_buffer(), U64)
                 if side == 0:
-                    names.append(digests[i])
-                    held.append(own)
-                    continue
-                if not held:
-                    continue
-                if index is None:
-                    sizes = np.array([len(x) for x in held])
-                    tokens = np.concatenate(held)
-                    order = np.argsort(tokens, kind="stable")
-                    index = tokens[order], np.repeat(np.arange(len(held)), sizes)[order], sizes
-                tokens, owner, sizes = index
-                lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
-                m = hi - lo
-                at = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                inter = np.bincount(owner[at], minlength=len(sizes))
-                hit = (100 * inter >= percent * (sizes + len(own) - inter)) & (np.array(names) != digests[i])
-                if hit.any():
-                    out[0].append(names[int(hit.argmax())])
-                    out[1].append(digests[i])
+                    block.add(own, labels[i])
+                else:
+                    for x in block.joined(own, labels[i]):
+                        out[0].append(x)
+                        out[1].append(labels[i])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+class Block:
+    """Sets of shingles with the labels of their components, as an inverted index; remembers which components have become one."""
+
+    def __init__(self, percent: int):
+        self.percent, self.held, self.label, self.index, self.one = percent, [], [], None, {}
+
+    def add(self, own: np.ndarray, label: int) -> None:
+        self.held.append(own)
+        self.label.append(label)
+
+    def root(self, label: int) -> int:
+        while label in self.one:
+            label = self.one[label]
+        return label
+
+    def joined(self, own: np.ndarray, label: int) -> list[int]:
+        """Labels of the components that a link joins to the one of ``own``, those that were one already left out."""
+        if not self.held:
+            return []
+        if self.index is None:
+            self.sizes = np.array([len(x) for x in self.held])
+            tokens = np.concatenate(self.held)
+            order = np.argsort(tokens, kind="stable")
+            self.index = tokens[order], np.repeat(np.arange(len(self.held)), self.sizes)[order]
+            self.roots = np.array(self.label, np.int64)
+        at = self.root(label)
+        if (self.roots == at).all():
+            return []
+        tokens, owner = self.index
+        lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+        m = hi - lo
+        inter = np.bincount(owner[np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(m.sum())], minlength=len(self.sizes))
+        alike = 100 * inter >= self.percent * (self.sizes + len(own) - inter)
+        found = np.unique(self.roots[alike & (self.roots != at)])
+        if len(found):
+            self.roots[np.isin(self.roots, found)] = at
+            self.one.update(dict.fromkeys(found.tolist(), at))
+        return found.tolist()
 
 
 def fetch_sets(docs: DataFrame, scanned: DataFrame, digests: DataFrame, k: int) -> DataFrame:
@@ -289,46 +319,49 @@ def fetch_sets(docs: DataFrame, scanned: DataFrame, digests: DataFrame, k: int)
 def link_classes(docs: DataFrame, scanned: DataFrame, often, k: int, percent: int, salted: int = SALTED) -> DataFrame:
     """node, label: the components of linked classes (those with a link only)."""
     shared = materialise(shared_postings(postings(docs, k, often, percent, salted)))
-    spark = docs.sparkSession
-    release(spark)
 
     # 1: against a few leaders
     met = shared.where("digest <> leader").groupBy("digest", "leader").agg(F.count("*").alias("common"), *(F.first(c).alias(c) for c in ("l", "n", "leader_l", "leader_n")))
     met = met.where(may_link("n", "n", "l", "leader_n", "leader_n", "leader_l", percent) & (F.col("common") >= needed("n", "n", "l", "leader_n", "leader_n", "leader_l", percent)))
     best = F.slice(F.sort_array(F.collect_list(F.struct("common", "leader")), False), 1, LEADERS)
     near = met.groupBy("digest").agg(best.alias("leaders"))
-    pairs = near.select("digest", F.explode("leaders.leader").alias("bucket")).withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(16)).cast("int"))
-    pairs = materialise(pairs)
-    leaders = pairs.select("bucket", "block").distinct().withColumn("digest", F.col("bucket"))
+    pairs = near.select("digest", F.explode("leaders.leader").alias("bucket")).withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(16)).cast("long"))
+    pairs = materialise(pairs.withColumn("label", F.col("digest")))
+    leaders = pairs.select("bucket", "block").distinct().withColumn("digest", F.col("bucket")).withColumn("label", F.col("bucket"))
     sets = materialise(fetch_sets(docs, scanned, pairs.select("digest").union(pairs.select("bucket")), k))
-    release(spark)  # the texts' shuffle
-    links = materialise(compare(leaders, pairs, sets, percent))
+    labels = components(materialise(compare(leaders, pairs, sets, percent)))
     discard(sets)
-    labels = components(links)
-    release(spark)
-
-    # 2: components that meet in buckets: first with the largest one of each, then what is left, pair by pair
-    done = before = None
-    for every_pair in (False, True):
-        of = labels.select(F.col("node").alias("digest"), "label")
-        held = materialise(shared.select("shingle", "digest", "l", "n", "follow").distinct().hint("merge").join(of, "digest", "left").withColumn("alone", F.col("label").isNull().cast("int")).withColumn("label", F.coalesce("label", "digest")))
-        release(spark)
-        met = materialise(meetings(held))
-        both = with_every_other(met, percent) if every_pair else with_largest(met, percent)
-        if done is not None:
-            both = both.hint("merge").join(compared_whole(done, before, labels), ["x", "y"], "left_anti")
-        both = materialise(both)
-        release(spark)
-        members = materialise(held.groupBy("label", "digest").agg(F.max("n").alias("n")))
-        more = materialise(links_between(docs, scanned, both, members, k, percent))
-        links = materialise(links.union(more))
-        done, before, labels = both, labels, components(links)
-        for df in (held, met, members, more):
-            discard(df)
-        release(spark)
+
+    # 2: components that meet in buckets: first with the largest one of each, then what is left
+    held = labelled(shared, labels)
+    met = materialise(meetings(held))
+    done = materialise(with_largest(met, percent))
+    members = materialise(held.groupBy("label", "digest").agg(F.max("n").alias("n")))
+    before, labels = labels, merged(labels, materialise(links_between(docs, scanned, done, members, k, percent)))
+    for df in (held, met, members):
+        discard(df)
+
+    held = labelled(shared, labels)
+    met = materialise(meetings(held))
+    crowded = materialise(met.groupBy("shingle").agg(F.count("*").alias("labels"), F.min("label").alias("leader")).where(F.col("labels") >= CROWD).select("shingle", "leader"))
+    both = with_every_other(met, crowded, percent)
+    both = materialise(both.hint("merge").join(compared_whole(done, before, labels), ["x", "y"], "left_anti"))
+    members = materialise(held.groupBy("label", "digest").agg(F.max("n").alias("n")))
+    links = materialise(links_between(docs, scanned, both, members, k, percent))
+    links = links.union(materialise(links_within(docs, scanned, held, crowded, k, percent)))
+    labels = merged(labels, links)
+    for df in (held, met, members, crowded, both, done):
+        discard(df)
     return labels
 
 
+def labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of ``shared``, each with the component of its class (label), its own one as long as it has no link."""
+    of = labels.select(F.col("node").alias("digest"), "label")
+    rows = shared.select("shingle", "digest", "l", "n", "follow").distinct().hint("merge").join(of, "digest", "left")
+    return materialise(rows.withColumn("label", F.coalesce("label", "digest")))
+
+
 def compared_whole(done: DataFrame, before: DataFrame, labels: DataFrame) -> DataFrame:
     """Those pairs x, y of ``done`` whose labels stand for the same classes in ``labels`` as in ``before``.
 
@@ -342,9 +375,9 @@ def compared_whole(done: DataFrame, before: DataFrame, labels: DataFrame) -> Dat
 
 
 def meetings(held: DataFrame) -> DataFrame:
-    """shingle, label, l, least, most, follow, members, alone (no link yet): the components in each bucket that holds several, with their bounds."""
+    """shingle, label, l, least, most, follow, members: the components in each bucket that holds several, with their bounds."""
     mixed = held.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
-    return held.hint("merge").join(mixed, "shingle").groupBy("shingle", "label").agg(F.min("l").alias("l"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("follow").alias("follow"), F.count("*").alias("members"), F.min("alone").alias("alone"))
+    return held.hint("merge").join(mixed, "shingle").groupBy("shingle", "label").agg(F.min("l").alias("l"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("follow").alias("follow"), F.count("*").alias("members"))
 
 
 _BOUNDS = ("label", "l", "least", "most")
@@ -368,30 +401,18 @@ def with_largest(met: DataFrame, percent: int) -> DataFrame:
     return _pairs(met.hint("merge").join(top, "shingle").where("label <> label2"), percent)
 
 
-def with_every_other(met: DataFrame, percent: int) -> DataFrame:
-    """All pairs of components that can hold a link.
+def with_every_other(met: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """All pairs of components that share a bucket which is not ``crowded`` (so less than CROWD a posting) and can hold a link.
 
     A linked pair shares at least ``needed`` prefix shingles, and the first of them is followed by the others in both
-    prefixes; so only shingles with that many followers on both sides need to bring a pair together. In crowded buckets
-    single classes also carry the last crowded shingles before this one: a pair that has one of them in common met there.
+    prefixes; so only shingles with that many followers on both sides need to bring a pair together.
     """
-    crowded = met.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD).select("shingle", F.lit(1).alias("crowded"))
-    rows = materialise(met.hint("merge").join(crowded, "shingle", "left").select("shingle", "follow", *_BOUNDS, "alone", "crowded"))
-    w = W.partitionBy("label").orderBy(F.desc("follow"), "shingle").rowsBetween(-32, -1)
-    calm = rows.where("crowded is null").withColumn("before", F.lit(None).cast("array<long>"))
-    crowd = rows.where("crowded = 1").withColumn("before", F.when(F.col("alone") == 1, F.collect_list("shingle").over(w)))
+    one = met.hint("merge").join(crowded, "shingle", "left_anti").select("shingle", "follow", *_BOUNDS)
+    other = one.toDF("shingle", "follow2", *(f"{c}2" for c in _BOUNDS))
     sizes = ("least", "most", "l", "least2", "most2", "l2", percent)
     first = (F.least("follow", "follow2") + 1 >= needed(*sizes)) & may_link(*sizes)
-
-    def meet(one: DataFrame, dedup: bool) -> DataFrame:
-        other = one.select("shingle", "follow", "before", *_BOUNDS).toDF("shingle", "follow2", "before2", *(f"{c}2" for c in _BOUNDS))
-        on = (one["shingle"] == other["shingle"]) & (F.col("label") < F.col("label2")) & first
-        if dedup:
-            on = on & F.coalesce(~F.arrays_overlap("before", "before2"), F.lit(True))
-        return one.hint("merge").join(other, on).select(F.col("label").alias("x"), F.col("label2").alias("y"))
-
-    pairs = materialise(meet(calm, False).union(meet(crowd, True)).distinct())
-    discard(rows)
+    on = (one["shingle"] == other["shingle"]) & (F.col("label") < F.col("label2")) & first
+    pairs = materialise(one.hint("merge").join(other, on).select(F.col("label").alias("x"), F.col("label2").alias("y")).distinct())
     # then all that these pairs share is counted, a row a pair; components of many shingles go without
     own = met.groupBy("label").agg(F.min("l").alias("l"), F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("n"))
     few = own.where(F.col("n") <= COUNTED).select("label")
@@ -401,7 +422,33 @@ def with_every_other(met: DataFrame, percent: int) -> DataFrame:
     enough = F.size(F.array_intersect("shingles", "shingles2")) >= needed(*sizes)
     uncounted = F.col("shingles").isNull() | F.col("shingles2").isNull()
     out = materialise(told.where(F.when(uncounted, True).otherwise(enough)).select(F.col("label").alias("x"), F.col("label2").alias("y")))
-    discard(known)
+    for df in (known, pairs):
+        discard(df)
+    return out
+
+
+def links_within(docs: DataFrame, scanned: DataFrame, held: DataFrame, crowded: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components that share a crowded bucket (shingle, leader: its smallest label).
+
+    The classes of all crowded buckets with the same leader meet as one group, as these hold much the same classes. A group
+    is dealt into blocks of about BLOCK_TOKENS shingles: components larger than that have blocks of their own, the others
+    are dealt by label. Every block meets itself and each other one, but not those of the same large component.
+    """
+    group = materialise(held.hint("merge").join(crowded, "shingle").groupBy("leader", "label", "digest").agg(F.max("n").alias("n")))
+    sizes = group.groupBy("leader", "label").agg(F.sum("n").alias("size"))
+    large = F.col("size") > BLOCK_TOKENS
+    rest = sizes.where(~large).groupBy("leader").agg(F.ceil(F.sum("size") / BLOCK_TOKENS).alias("parts"))
+    named = sizes.hint("merge").join(rest, "leader", "left").select("leader", "label", F.when(large, F.col("label")).alias("owner"), F.when(large, F.ceil(F.col("size") / BLOCK_TOKENS)).otherwise(F.col("parts")).alias("parts"))
+    part = F.pmod(F.when(F.col("owner").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("digest")), F.col("parts"))
+    dealt = materialise(group.hint("merge").join(named, ["leader", "label"]).select("leader", "label", "digest", F.xxhash64("leader", F.coalesce("owner", F.lit(0)), F.col("owner").isNull(), part).alias("part"), "owner"))
+    parts = dealt.groupBy("leader", "part").agg(F.first("owner").alias("owner"))
+    other = parts.toDF("leader", "part2", "owner2")
+    cells = parts.hint("merge").join(other, "leader").where("part <= part2 and not coalesce(owner = owner2, false)")
+    cells = materialise(cells.select(F.col("leader").alias("bucket"), F.xxhash64("part", "part2").alias("block"), "part", "part2"))
+    at = lambda side: cells.hint("merge").join(dealt, (cells["bucket"] == dealt["leader"]) & (cells[side] == dealt["part"])).select("bucket", "block", "digest", "label")
+    sets = materialise(fetch_sets(docs, scanned, dealt.select("digest"), k))
+    out = compare(at("part"), at("part2"), sets, percent)
+    discard(group)
     return out
 
 
@@ -417,12 +464,11 @@ def links_between(docs: DataFrame, scanned: DataFrame, both: DataFrame, members:
     grid = materialise(sized.groupBy("bucket").agg(F.max("rows").alias("rows"), F.ceil(F.sum("size") / BLOCK_TOKENS).cast("int").alias("columns")))
     row, column = F.pmod(F.xxhash64("digest"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("digest"), F.col("columns")).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cell = (F.col("row") * F.col("columns") + F.col("column")).alias("block")
-    left = grid.hint("merge").join(members, grid["bucket"] == members["label"]).select("bucket", "columns", row.alias("row"), all_of("columns").alias("column"), "digest")
-    right = sized.select("bucket", "small").hint("merge").join(members, sized["small"] == members["label"]).select("bucket", "digest").hint("merge").join(grid, "bucket").select("bucket", "columns", all_of("rows").alias("row"), column.alias("column"), "digest")
-    left, right = (materialise(x.select("bucket", cell, "digest")) for x in (left, right))
+    cell = (F.col("row") * F.col("columns") + F.col("column")).cast("long").alias("block")
+    left = grid.hint("merge").join(members, grid["bucket"] == members["label"]).select("bucket", "columns", row.alias("row"), all_of("columns").alias("column"), "digest", "label")
+    right = sized.select("bucket", "small").hint("merge").join(members, sized["small"] == members["label"]).select("bucket", "digest", "label").hint("merge").join(grid, "bucket").select("bucket", "columns", all_of("rows").alias("row"), column.alias("column"), "digest", "label")
+    left, right = (materialise(x.select("bucket", cell, "digest", "label")) for x in (left, right))
     sets = materialise(fetch_sets(docs, scanned, left.select("digest").union(right.select("digest")), k))
-    release(docs.sparkSession)
     return compare(left, right, sets, percent)
 
 
