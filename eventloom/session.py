@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -38,19 +37,30 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset and all is one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="eventloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+#: Spark then deletes a query's shuffle files when it has ended; a written table needs them no more.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/eventloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._eventloom_path = path
     return out
@@ -65,12 +75,6 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the cleaner drop the shuffle files of finished steps now: it learns of them when their plans are garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def load(spark: SparkSession, sf_dir: str, *names: str):
     """One DataFrame per table name below ``sf_dir``. Times without a zone are UTC, so the session is."""
     ship(spark)
