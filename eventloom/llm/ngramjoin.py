@@ -53,12 +53,17 @@ def _required(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def scan(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, digest of every row (kind 0), and shingle, count of shingles seen twice in a task (kind 1: digest, n)."""
+def scan(docs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, digest and the ``keep`` columns of every row (kind 0), and shingle, count of shingles seen twice in a task (kind 1: digest, n)."""
+    own = docs.select("doc_id", "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
+    fields = [(f.name, f.dataType.simpleString()) for f in own.schema[2:]] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, kept = [], 0, 0
-        made = lambda kind, doc, digest, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(digest), kind, np.int32)), doc, pa.array(digest), pa.array(n, pa.int64())], names=["kind", "doc_id", "digest", "n"])
+        types: list = []
+
+        def made(kind: int, doc: pa.Array, digest: np.ndarray, n: np.ndarray, kept: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(digest), kind, np.int32)), doc, pa.array(digest), pa.array(n, pa.int64()), *kept], names=["kind", "doc_id", "digest", "n", *(f for f, _ in fields)])
 
         def counted() -> tuple[np.ndarray, np.ndarray]:
             u, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
@@ -68,12 +73,14 @@ def scan(docs: DataFrame, k: int) -> DataFrame:
             u, n = counted()
             often = n > 1
             if often.any():
-                yield made(1, pa.nulls(int(often.sum()), pa.int64()), u[often].view(np.int64), n[often])
+                m = int(often.sum())
+                yield made(1, pa.nulls(m, pa.int64()), u[often].view(np.int64), n[often], [pa.nulls(m, t) for t in types])
 
         for b in slices(batches):
             h, bounds = shingle_sets(b.column("text"), k)
             d = set_digest(h, bounds)
-            yield made(0, b.column("doc_id"), d, np.diff(bounds))
+            types = [b.column(f).type for f, _ in fields]
+            yield made(0, b.column("doc_id"), d, np.diff(bounds), [b.column(f) for f, _ in fields])
             _, first = np.unique(d, return_index=True)  # copies count once a slice
             new = np.zeros(len(d), bool)
             new[first] = True
@@ -89,7 +96,7 @@ def scan(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, digest long, n long")
+    return own.mapInArrow(run, ", ".join(["kind int, doc_id long, digest long, n long", *(f"`{f}` {t}" for f, t in fields)]))
 
 
 def frequent(scanned: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -472,16 +479,42 @@ def links_between(docs: DataFrame, scanned: DataFrame, both: DataFrame, members:
     return compare(left, right, sets, percent)
 
 
+def _plain(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in keep if c not in ("doc_id", "text")))
+
+
+def _named(scanned: DataFrame, labels: DataFrame) -> DataFrame:
+    """digest, first (its smallest doc_id), label: all classes."""
+    classes = scanned.where("kind = 0 and n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    return materialise(classes.hint("merge").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("label", "digest").alias("label")))
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 75, salted: int = SALTED) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _plain(docs)
     scanned = materialise(scan(docs, k))
-    labels = link_classes(docs, scanned, frequent(scanned), k, percent, salted)
+    named = _named(scanned, link_classes(docs, scanned, frequent(scanned), k, percent, salted))
     rows = scanned.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "digest")
-    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    named = materialise(classes.hint("merge").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("label", "digest").alias("label")))
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     of = named.hint("merge").join(lowest, "label").select("digest", "component_id")
     linked = rows.where("n_shingles > 0").hint("merge").join(of, "digest").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def representatives(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text"), k: int = 5, percent: int = 75) -> DataFrame:
+    """The ``keep`` columns of one row of each component: of its rows with the smallest doc_id (null: only if no other has one) the smallest by set, then by the other columns.
+
+    Rows without words are linked with nothing and all stay, repeated ones too.
+    """
+    ship(docs.sparkSession)
+    docs = _plain(docs, keep)
+    scanned = materialise(scan(docs, k, keep))
+    named = _named(scanned, link_classes(docs, scanned, frequent(scanned), k, percent))
+    best = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("b")).select(F.col("b.digest").alias("digest"), F.col("b.first").alias("first"))
+    best = best.select("digest", F.coalesce("first", F.lit(0)).alias("_id"), F.col("first").isNull().alias("_none"))
+    rows = scanned.where("kind = 0").withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull())
+    row = F.struct(*(F.col(f"keep_{c}").alias(c) for c in keep))
+    key = ["digest", "_id", "_none"]
+    first = rows.where("n > 0").hint("merge").join(best, key, "left_semi").groupBy(*key).agg(F.min(row).alias("r"))
+    return first.select("r.*").unionByName(rows.where("n = 0").select(row.alias("r")).select("r.*"))

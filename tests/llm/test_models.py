@@ -208,9 +208,52 @@ def test_held_out_pages():
     assert right / sum(len(y) for _, y in pages) > 0.98
 
 
+PAGES = {
+    "<html><title>t</title><body><p>First paragraph of some length.</p><p>Second one.</p>": "First paragraph of some length.\n\nSecond one.",
+    "<body><div class='text'><p>First paragraph here.</p><p>Second one.</p></div>": "First paragraph here.\n\nSecond one.",
+    "<html><head><title>t</title><body><nav><a href=x>Home</a></nav><article><h1>A title of words</h1><p>Body of it.</p></article>": "A title of words\n\nBody of it.",
+    "<body><svg viewBox='0 0 1 1'/><article><p title=don't>It is here.</p><p data-x = 'a>b'>And here.</p></article>": "It is here.\n\nAnd here.",
+    "A text without any markup at all.": "A text without any markup at all.",
+    "<body><ul class='menu'><li><a href=a>One</a><li><a href=b>Two</a></ul><div id='inner'><h2>Title of the page</h2><div>A paragraph in a division, with <i>some</i> words.</div><ul><li>First of the points.<li>Second of them.</ul></div><div class='footer'>&copy; Someone</div>": "Title of the page\n\nA paragraph in a division, with some words.\n\nFirst of the points.\n\nSecond of them.",
+    "<main><h1>Long title of a story</h1><p>The story begins here and goes on.</p><aside><p>Related stories of today.</p></aside><p>It ends here.</p></main><section class='comments'><h3>Comments</h3><div class='comment'><p>Me: I like it a lot.</p></div></section>": "Long title of a story\n\nThe story begins here and goes on.\n\nIt ends here.",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_pages_labelled_by_hand(page):
+    assert htmltext.main_text(page, htmltext.default_model()) == PAGES[page]
+
+
+def test_scanning_takes_time_in_proportion():
+    """Ten times the page takes far less than a hundred times the time."""
+    import time
+
+    m = htmltext.default_model()
+    makes = (lambda n: "<a " * n, lambda n: "<div>x" * n, lambda n: "".join(f"<div class=a{i}>x" for i in range(n)), lambda n: "<p>" + "<i>" * n + "</b></p>" * n, lambda n: '<a b="' * n, lambda n: "<!--" * n)
+    for make in makes:
+        took = []
+        for n in (2_000, 20_000):
+            page, began = make(n), time.perf_counter()
+            htmltext.main_text(page, m)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 0.5 + 40 * took[0]
+
+
+def test_features_of_deep_elements_are_all_ancestors():
+    page = "<main class='alpha'>" + "<div class='beta'>" * 50 + "<p id=gamma>x"
+    (b,) = htmltext.blocks(page)
+    assert {"in:main", "mark:alpha", "in:div", "mark:beta", "in:p", "mark:gamma"} <= set(b.element.features) and len(set(b.element.features)) == len(b.element.features)
+    (c,) = htmltext.blocks(page, {"in:p", "mark:beta"})
+    assert set(c.element.features) == {"in:p", "mark:beta"}
+
+
 def test_extract(spark):
     art = "<nav><a href=x>Home</a></nav><article><h1>Title words here</h1><p>First   paragraph of text.</p><p>Second.</p></article><footer>&copy; us</footer>"
     rows = [(1, "u", art, "clash"), (2, None, None, "x"), (3, "u", "", "y"), (1, "u", art, "clash")]
     got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     want = "Title words here\n\nFirst paragraph of text.\n\nSecond."
+    long = "<article>" + "<p>One more paragraph of it.</p>" * 20_000 + "</article>"
+    (r,) = htmltext.extract(spark.createDataFrame([(5, "u", long)], "page_id long, url string, html string")).collect()
+    assert r.text == "\n\n".join(["One more paragraph of it."] * 20_000)
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, want, len(want)), (1, want, len(want)), (2, "", 0), (3, "", 0)]

@@ -28,10 +28,43 @@ def test_edits(text, edits):
         assert t.tokens == sum(len(count.encode(p)) for p in count.split(text))
 
 
-def test_an_edit_encodes_little():
+def test_an_edit_looks_up_little(monkeypatch):
+    """What ``encoded`` tells is what was looked up, also when an insertion brings new leaves."""
     t = tokencount.CountedText("some words in a row " * 5000, tokencount.counter())
+    looked, many = [], t.count.many
+    monkeypatch.setattr(t.count, "many", lambda pieces: looked.extend(pieces) or many(pieces))
     t.edit(50_000, 50_004, "other")
-    assert t.encoded < 60
+    assert len(looked) == t.encoded < 10
+    t.edit(30_000, 30_000, " new words" * 300)
+    assert len(looked) == t.encoded < 620
+    assert t.tokens == len(t.count.encode(t.text))
+
+
+def test_trees_stay_balanced():
+    rng = random.Random(5)
+    t = tokencount.CountedText("", tokencount.counter())
+    for k in range(300):
+        at = 0 if k % 3 else rng.randint(0, len(t.text))
+        t.edit(at, at + rng.choice([0, 0, 200]), " many words" * rng.choice([1, 40, 500]))
+
+    def check(x):
+        if x.height:
+            assert abs(x.left.height - x.right.height) <= 1 and x.height == 1 + max(x.left.height, x.right.height)
+            assert (x.tokens, x.chars, x.leaves) == tuple(getattr(x.left, c) + getattr(x.right, c) for c in ("tokens", "chars", "leaves"))
+            check(x.left)
+            check(x.right)
+
+    check(t.root)
+    assert t.root.leaves > 100 and t.tokens == len(t.count.encode(t.text)) and [p for b in t.blocks for p in b] == t.count.split(t.text)
+
+
+def test_counts_of_nothing_of_long_texts_and_of_clashing_columns(spark):
+    long = "a long text of many words, " * 40_000
+    df = spark.createDataFrame([(1, long, "c"), (None, "x y", "c")], "doc_id long, text string, n_tokens string").withColumn("edits", tokencount.sample_edits())
+    got = {r.doc_id: r for r in tokencount.count_edits(df).collect()}
+    encode = tokencount.counter().encode
+    assert got[1].n_tokens == len(encode(long)) and got[1].reencoded < 60 and got[None].n_tokens == 2
+    assert tokencount.count_edits(df.limit(0)).count() == 0
 
 
 def test_counts_equal_the_tokenizer(spark):
