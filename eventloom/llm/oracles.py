@@ -1,7 +1,7 @@
 """DuckDB SQL with the results of the queries that SQL can express."""
 
 QUALITY = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(nullif(regexp_extract(lower(source), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(?:www\.)?([^/:?#]+)', 1), ''), source) AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
 p AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
 k AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS c FROM p),
@@ -19,10 +19,13 @@ h AS (SELECT host, count(*)::DOUBLE AS n, sum((base_failed OR soft_failed)::INT)
 s AS (SELECT sum(bad) / sum(n) AS mean, sum(bad * bad / n) / sum(n) AS sq, count(*) / sum(n) AS q FROM h),
 b AS (SELECT mean, sq - mean * mean - q * mean * (1 - mean) AS var FROM s),
 a AS (SELECT mean, CASE WHEN var > 0 THEN greatest(1, least(1000, mean * (1 - mean) / var - 1)) ELSE 1000 END AS strength FROM b),
-g AS (SELECT host, (bad + mean * strength) / (n + strength) AS rate FROM h, a)
+g AS (SELECT host, mean, n + strength AS size, (bad + mean * strength) / (n + strength) AS rate FROM h, a),
+i AS (SELECT host, mean, rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)) AS low, rate + 1.645 * sqrt(rate * (1 - rate) / (size + 1)) AS high FROM g),
+v AS (SELECT host, CASE WHEN high <= mean / 1.5 THEN 4 WHEN low >= mean * 1.5 THEN 1 ELSE 2 END AS halves,
+        high > mean / 1.5 AND low >= mean * 1.5 AND low >= 0.5 AS condemned FROM i)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR rate >= 0.95 OR (soft_failed AND rate >= 0.02)) AS kept
-FROM f JOIN g ON f.host IS NOT DISTINCT FROM g.host
+       NOT (base_failed OR condemned OR 200 * n_symbols > halves * 5 * n_words OR 200 * n_dup_lines > halves * 10 * n_words) AS kept
+FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host
 """
 
 LINES = r"""

@@ -1,10 +1,15 @@
 """Quality rules with host-level verdicts.
 
-Every text gets its counts and the rules it breaks. Failures are summed by host, each host's failure rate is shrunk by a
-beta prior fitted to all hosts, and the host's verdict goes back to its documents.
+Every text gets its counts and the rules it breaks. Failures are summed by host (the domain, where the host column holds
+URLs), each host's failure rate is shrunk by a beta prior fitted to all hosts, and the host's verdict goes back to its
+documents: it decides how strictly the rules beyond the base ones are read. A host is good if the upper bound of its rate
+(posterior mean and Z deviations) is LIFT times below the rate of all documents, bad if the lower bound is LIFT times above
+it; a good host's documents have twice the limits of ordinary ones, a bad host's half of them, and where the lower bound
+of a bad host reaches CONDEMNED, all its documents go.
 
 Null text: no words, which breaks the base rule. Null host: one host of its own. Empty table: empty result. Repeated
-rows each count and each get a row. Further columns are ignored by ``measure`` (it returns the id, the host and counts).
+rows each count and each get a row, also with equal or null ids. Very long texts are counted whole. Of the input's columns
+those in ``keep`` stay, whatever they are called, unless they have the name of a count.
 """
 
 from __future__ import annotations
@@ -22,11 +27,10 @@ from .text import Words, buffers, code_points, slices, windows
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
-SCHEMA = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
-#: A document that breaks at least one soft rule goes if its host's shrunk failure rate is at least SOFT; all go from HARD on.
-SOFT, HARD = 0.02, 0.95
 SYMBOLS_PER_100_WORDS, DUP_LINES_PER_100_WORDS = 5, 10
+Z, LIFT, CONDEMNED = 1.645, 1.5, 0.5
 
 
 def count_batch(column: pa.Array) -> dict[str, np.ndarray]:
@@ -71,28 +75,38 @@ def count_batch(column: pa.Array) -> dict[str, np.ndarray]:
     return {"n_words": words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat}
 
 
-def measure(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, host and the counts of every text."""
+def domain(host: Column) -> Column:
+    """The domain of a URL, in lower case and without ``www.``; what is no URL stays as it is."""
+    found = F.regexp_extract(F.lower(host), r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(?:www\.)?([^/:?#]+)", 1)
+    return F.when(found != "", found).otherwise(host)
+
+
+def measure(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns, host and the counts of every text."""
     ship(docs.sparkSession)
+    kept = [F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in keep]
+    rows = docs.select(*kept, domain(F.col(host).cast("string")).alias("_host"), F.col(text).cast("string").alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            c = count_batch(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("host"), *(pa.array(v, pa.int64()) for v in c.values())], names=["doc_id", "host", *c])
+        for b in slices(batches, "_text"):
+            c = count_batch(b.column("_text"))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), b.column("_host"), *(pa.array(v, pa.int64()) for v in c.values())], names=[*keep, "host", *c])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, f"{fields}, host string, {COUNTS}")
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def soft_failed() -> Column:
-    return (100 * F.col("n_symbols") > SYMBOLS_PER_100_WORDS * F.col("n_words")) | (100 * F.col("n_dup_lines") > DUP_LINES_PER_100_WORDS * F.col("n_words"))
+def soft_failed(halves: Column | int = 2) -> Column:
+    """Whether a document breaks a rule beyond the base ones, with limits of ``halves`` halves of the usual."""
+    return (200 * F.col("n_symbols") > halves * SYMBOLS_PER_100_WORDS * F.col("n_words")) | (200 * F.col("n_dup_lines") > halves * DUP_LINES_PER_100_WORDS * F.col("n_words"))
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """host, n, failed, shrunk: the posterior mean of each host's failure rate.
+    """host, n, failed, shrunk (the posterior mean of its failure rate), halves (of the usual limits, for its documents), condemned.
 
     The beta prior has the mean of all documents and the strength that the spread of the hosts' rates gives (method of
     moments, weighted by documents; between 1 and 1000 documents).
@@ -108,13 +122,15 @@ def host_rates(measured: DataFrame) -> DataFrame:
         (F.col("s") / F.col("t") - m * m - (F.col("hosts") / F.col("t")) * m * (1 - m)).alias("var"),
     ).select("mean", F.when(F.col("var") > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1))).otherwise(1000.0).alias("strength"))
     mean, strength = prior.select("mean").scalar(), prior.select("strength").scalar()
-    return by_host.select("host", "n", "failed", ((F.col("failed") + mean * strength) / (F.col("n") + strength)).alias("shrunk"))
+    rates = by_host.select("host", "n", "failed", ((F.col("failed") + mean * strength) / (F.col("n") + strength)).alias("shrunk"), mean.alias("mean"), strength.alias("strength"))
+    spread = Z * F.sqrt(F.col("shrunk") * (1 - F.col("shrunk")) / (F.col("n") + F.col("strength") + 1))
+    good, bad = F.col("shrunk") + spread <= F.col("mean") / LIFT, F.col("shrunk") - spread >= F.col("mean") * LIFT
+    return rates.select("host", "n", "failed", "shrunk", F.when(good, 4).when(bad, 1).otherwise(2).alias("halves"), (~good & bad & (F.col("shrunk") - spread >= CONDEMNED)).alias("condemned"))
 
 
 def judge(measured: DataFrame) -> DataFrame:
-    """``measured`` with base_failed, soft_failed, host_rate and kept."""
-    rates = host_rates(measured).select(F.col("host").alias("_host"), F.col("shrunk").alias("host_rate"))
+    """``measured`` with base_failed, soft_failed (by the usual limits), host_rate and kept."""
+    rates = host_rates(measured).select(F.col("host").alias("_host"), F.col("shrunk").alias("host_rate"), F.col("halves").alias("_halves"), F.col("condemned").alias("_condemned"))
     out = measured.withColumn("base_failed", base_failed()).withColumn("soft_failed", soft_failed())
-    out = out.join(rates, out["host"].eqNullSafe(rates["_host"]), "left").drop("_host")
-    bad = (F.col("host_rate") >= HARD) | (F.col("soft_failed") & (F.col("host_rate") >= SOFT))
-    return out.withColumn("kept", ~(F.col("base_failed") | bad))
+    out = out.join(rates, out["host"].eqNullSafe(rates["_host"]), "left")
+    return out.withColumn("kept", ~(F.col("base_failed") | F.col("_condemned") | soft_failed(F.col("_halves")))).drop("_host", "_halves", "_condemned")
