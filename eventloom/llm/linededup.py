@@ -6,11 +6,13 @@ references, deleting documents takes them away, and the filters gain or lose the
 that any sequence of changes leaves what building from the remaining documents would give.
 
 A document's references first meet the filter of their shard (dealt by shard and a salt, so that a frequent key does not
-gather in one task); only those that may be hits are joined with the exact counts, which removes false positives.
+gather in one task); only those that may be hits are joined with the exact counts, which removes false positives. There
+are as many shards as keep a filter at about ``KEYS`` keys, so that the task that fills one holds no more.
 
 A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-Z lower-cased; keys under ``min_chars`` code
 points are never dropped. Null text: one empty line. Repeated rows (same doc_id) count as one document, that of their id,
-and are treated alike; null doc_id: its lines are kept and not counted. Empty table: empty result.
+and are treated alike; null doc_id: its lines are kept and not counted. Empty table: empty result. Very long texts are
+split whole, of a line that occurs twice in a text both go. Of the input's columns those in ``keep`` stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ from ..session import materialise, ship
 from .text import slices
 
 BLANK = b" \t\n\x0b\x0c\r"
-MIN_CHARS, MIN_DOCS, SHARDS, SALTS = 40, 5, 64, 16
+MIN_CHARS, MIN_DOCS, KEYS, SALTS = 40, 5, 100_000, 16
 U64 = np.uint64
 
 
 class CuckooFilter:
-    """A cuckoo filter of 16-bit fingerprints in buckets of four; keys are 64-bit hashes. Grows by rebuilding when full."""
+    """A cuckoo filter of 16-bit fingerprints in buckets of four; keys are 64-bit hashes.
+
+    What finds no place waits in a stash, so no key is ever lost; ``full`` says that it is time to build a larger filter.
+    """
 
     SLOTS = 4
 
@@ -79,6 +84,10 @@ class CuckooFilter:
             else:
                 self.stash.append((at << 16) | f)
 
+    @property
+    def full(self) -> bool:
+        return len(self.stash) > 8 or int((self.table != 0).sum()) > 0.95 * self.table.size
+
     def delete(self, keys: np.ndarray) -> None:
         """Takes out keys that were inserted."""
         for f, a, b in zip(*(x.tolist() for x in self._places(np.asarray(keys))), strict=True):
@@ -141,7 +150,12 @@ def live_keys(refs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return rows.where(F.col("n") >= min_docs).select("key", "key2", "last")
 
 
-def filters(live: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shards_for(live: DataFrame, keys: int = KEYS) -> int:
+    """As many shards as give each about ``keys`` of the live keys."""
+    return max(1, -(-live.count() // keys))
+
+
+def filters(live: DataFrame, shards: int) -> DataFrame:
     """shard, filter: a serialised cuckoo filter of each shard's live keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +181,10 @@ def filters(live: DataFrame, shards: int = SHARDS) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f.to_bytes()], pa.binary())], names=["shard", "filter"])
 
     by_shard = live.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key")
-    return by_shard.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, filter binary")
+    return by_shard.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, filter binary")
 
 
-def hits(refs: DataFrame, shard_filters: DataFrame, shards: int = SHARDS, salts: int = SALTS) -> DataFrame:
+def hits(refs: DataFrame, shard_filters: DataFrame, shards: int, salts: int = SALTS) -> DataFrame:
     """The references whose key the filter of its shard may hold."""
     probe = refs.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("filter"), "key", "key2", "doc_id")
     put = shard_filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "filter", *(F.lit(None).cast("long").alias(c) for c in ("key", "key2", "doc_id")))
@@ -197,7 +211,7 @@ def hits(refs: DataFrame, shard_filters: DataFrame, shards: int = SHARDS, salts:
     return both.mapInArrow(run, "key long, key2 long, doc_id long")
 
 
-def drops(refs: DataFrame, live: DataFrame, shard_filters: DataFrame, shards: int = SHARDS) -> DataFrame:
+def drops(refs: DataFrame, live: DataFrame, shard_filters: DataFrame, shards: int) -> DataFrame:
     """doc_id, keys: what each document loses (all live keys but those whose largest doc_id it is)."""
     exact = hits(refs, shard_filters, shards).hint("merge").join(live, ["key", "key2"]).where(F.col("doc_id") != F.col("last"))
     return exact.groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set("key2").alias("keys2"))
@@ -230,30 +244,30 @@ def apply_drops(docs: DataFrame, dropped: DataFrame, keep: tuple[str, ...], min_
     return both.mapInArrow(run, f"{fields}, n_lines long, n_dropped long, kept_text string")
 
 
-def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> DataFrame:
+def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = KEYS) -> DataFrame:
     """Builds the state over ``docs`` and applies it to them."""
-    state = LineIndex.build(docs, min_chars, min_docs, shards)
-    return state.apply(docs, keep)
+    return LineIndex.build(docs, min_chars, min_docs, shard_keys).apply(docs, keep)
 
 
 class LineIndex:
     """References, live keys and filters of a corpus, as tables; ``insert`` and ``delete`` return a new index."""
 
-    def __init__(self, refs: DataFrame, live: DataFrame, shard_filters: DataFrame, min_chars: int, min_docs: int, shards: int):
+    def __init__(self, refs: DataFrame, live: DataFrame, shard_filters: DataFrame, min_chars: int, min_docs: int, shards: int, shard_keys: int):
         self.refs, self.live, self.filters = refs, live, shard_filters
-        self.min_chars, self.min_docs, self.shards = min_chars, min_docs, shards
+        self.min_chars, self.min_docs, self.shards, self.shard_keys = min_chars, min_docs, shards, shard_keys
 
     @classmethod
-    def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> LineIndex:
-        return cls._of(materialise(references(docs, min_chars)), min_chars, min_docs, shards)
+    def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = KEYS) -> LineIndex:
+        refs = materialise(references(docs, min_chars))
+        return cls._of(refs, materialise(live_keys(refs, min_docs)), min_chars, min_docs, shard_keys)
 
     @classmethod
-    def _of(cls, refs: DataFrame, min_chars: int, min_docs: int, shards: int) -> LineIndex:
-        live = materialise(live_keys(refs, min_docs))
-        return cls(refs, live, materialise(filters(live, shards)), min_chars, min_docs, shards)
+    def _of(cls, refs: DataFrame, live: DataFrame, min_chars: int, min_docs: int, shard_keys: int) -> LineIndex:
+        shards = shards_for(live, shard_keys)
+        return cls(refs, live, materialise(filters(live, shards)), min_chars, min_docs, shards, shard_keys)
 
     def _changed(self, refs: DataFrame) -> LineIndex:
-        """Exact counts anew; each shard's filter loses and gains only the keys that crossed the bound."""
+        """Exact counts anew; each shard's filter loses and gains only the keys that crossed the bound. Filters that have become full are built anew, with more shards if need be."""
         live = materialise(live_keys(refs, self.min_docs))
         keys = ["key", "key2"]
         gone = self.live.select(*keys).exceptAll(live.select(*keys)).withColumn("sign", F.lit(-1))
@@ -261,19 +275,22 @@ class LineIndex:
         moves = gone.union(new).select(F.pmod("key", F.lit(self.shards)).cast("int").alias("shard"), "sign", "key")
 
         def run(key, state, change):
+            import pandas as pd
+
             table = CuckooFilter.from_bytes(state["filter"].iloc[0]) if len(state) else CuckooFilter(len(change))
             if len(change):
                 table.delete(change.loc[change["sign"] < 0, "key"].to_numpy().view(U64))
                 table.insert(change.loc[change["sign"] > 0, "key"].to_numpy().view(U64))
-            import pandas as pd
-
-            return pd.DataFrame({"shard": [int(key[0])], "filter": [table.to_bytes()]})
+            return pd.DataFrame({"shard": [int(key[0])], "filter": [table.to_bytes()], "full": [table.full]})
 
-        made = self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(run, "shard int, filter binary")
-        return LineIndex(refs, live, materialise(made), self.min_chars, self.min_docs, self.shards)
+        made = materialise(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(run, "shard int, filter binary, full boolean"))
+        if not made.where("full").isEmpty():
+            return LineIndex._of(refs, live, self.min_chars, self.min_docs, self.shard_keys)
+        return LineIndex(refs, live, made.drop("full"), self.min_chars, self.min_docs, self.shards, self.shard_keys)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        return self._changed(materialise(self.refs.unionByName(references(docs, self.min_chars))))
+        """Documents that the index holds already (by their id) gain the lines they didn't have."""
+        return self._changed(materialise(self.refs.unionByName(references(docs, self.min_chars)).distinct()))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """doc_ids: a table with a doc_id column."""
