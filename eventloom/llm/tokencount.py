@@ -1,11 +1,14 @@
 """Token counts that follow edits.
 
-A document is split into pre-tokens, of which the byte-level BPE never merges two. Their token counts and lengths are the
-leaves of a segment tree whose nodes hold sums. An edit re-splits and re-encodes only the pre-tokens it touches, with the
-boundary context the splitting pattern can look at, until the new borders meet the old ones again; then the sums on the
-paths above the changed leaves are updated.
-
-Null text is empty: 0 tokens. Edits outside a text are clipped to it. Repeated rows each get a row.
+A document is split into pre-tokens, of which the byte-level BPE never merges two. A segment tree holds their token counts:
+its leaves are runs of up to ``2 * LEAF`` pre-tokens with the count of each, its nodes hold the sums of what is below. An
+edit re-splits and re-encodes only the pre-tokens it touches, with the boundary context the splitting pattern can look at,
+until the new borders meet the old ones again; the leaves it touches are replaced (a long insertion brings leaves of its
+own), and the sums on the paths above them are updated. The tree stays balanced, so an edit costs its own length and the
+logarithm of the text's, besides the copy of the text.
+
+Null text is empty: 0 tokens. Edits outside a text are clipped to it. Very long texts are counted whole. Repeated rows each
+get a row, as do rows with equal or null ids. Empty table: empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,63 +65,125 @@ def counter(tokenizer: str = "byte_bpe_50k") -> Counter:
     return _patterns[tokenizer]
 
 
-class SegmentTree:
-    """Sums of (tokens, code points) over blocks of pre-tokens, in two heap-ordered arrays."""
-
-    def __init__(self, tokens: list[int], chars: list[int]):
-        n = 1
-        while n < len(tokens):
-            n *= 2
-        self.n = n
-        self.tokens = [0] * n + tokens + [0] * (n - len(tokens))
-        self.chars = [0] * n + chars + [0] * (n - len(chars))
-        for i in range(n - 1, 0, -1):
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-
-    def put(self, leaf: int, tokens: int, chars: int) -> None:
-        i = leaf + self.n
-        dt, dc = tokens - self.tokens[i], chars - self.chars[i]
-        while i:
-            self.tokens[i] += dt
-            self.chars[i] += dc
-            i //= 2
+class Leaf:
+    """A run of pre-tokens and the tokens of each."""
 
-    def find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds code point ``at``, and its start; the last one that holds anything for the end of the text."""
-        at, i, start = min(at, max(0, self.chars[1] - 1)), 1, 0
-        while i < self.n:
-            i *= 2
-            if at - start >= self.chars[i]:
-                start += self.chars[i]
-                i += 1
-        return i - self.n, start
+    __slots__ = ("chars", "counts", "pieces", "tokens")
+    height, leaves = 0, 1
+
+    def __init__(self, pieces: list[str], counts: list[int]):
+        self.pieces, self.counts = pieces, counts
+        self.tokens, self.chars = sum(counts), sum(map(len, pieces))
+
+
+class Node:
+    """Two subtrees and the sums (tokens, code points, leaves) of both."""
+
+    __slots__ = ("chars", "height", "leaves", "left", "right", "tokens")
+
+    def __init__(self, left: Leaf | Node, right: Leaf | Node):
+        self.left, self.right = left, right
+        self.tokens, self.chars, self.leaves = left.tokens + right.tokens, left.chars + right.chars, left.leaves + right.leaves
+        self.height = max(left.height, right.height) + 1
+
+
+Tree = Leaf | Node | None
+
+
+def build(leaves: list[Leaf]) -> Tree:
+    """A balanced tree."""
+    level: list = leaves
+    while len(level) > 1:
+        level = [Node(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        if len(level) > 1 and level[-1].height < level[-2].height - 1:  # keeps the heights of neighbours within one
+            level[-2:] = [join(level[-2], level[-1])]
+    return level[0] if level else None
+
+
+def join(a: Tree, b: Tree) -> Tree:
+    """The leaves of both in order: the lower tree goes down the side of the higher one, whose heights are kept within one."""
+    if a is None or b is None:
+        return b if a is None else a
+    if a.height > b.height + 1:
+        return _level(a.left, join(a.right, b))
+    if b.height > a.height + 1:
+        return _level(join(a, b.left), b.right)
+    return Node(a, b)
+
+
+def _level(a: Leaf | Node, b: Leaf | Node) -> Node:
+    if b.height > a.height + 1:
+        if b.left.height > b.right.height:
+            return Node(Node(a, b.left.left), Node(b.left.right, b.right))
+        return Node(Node(a, b.left), b.right)
+    if a.height > b.height + 1:
+        if a.right.height > a.left.height:
+            return Node(Node(a.left, a.right.left), Node(a.right.right, b))
+        return Node(a.left, Node(a.right, b))
+    return Node(a, b)
+
+
+def split(tree: Tree, k: int) -> tuple[Tree, Tree]:
+    """The first k leaves and the others."""
+    if tree is None or k <= 0:
+        return None, tree
+    if k >= tree.leaves:
+        return tree, None
+    if k <= tree.left.leaves:
+        a, b = split(tree.left, k)
+        return a, join(b, tree.right)
+    a, b = split(tree.right, k - tree.left.leaves)
+    return join(tree.left, a), b
 
 
 class CountedText:
-    """A text with its token count under edits; ``encoded`` counts the pre-tokens encoded again since it was built."""
+    """A text with its token count under edits; ``encoded``: pre-tokens counted again since it was built."""
 
     def __init__(self, text: str, count: Counter):
         self.count, self.text, self.encoded = count, text, 0
         pieces = count.split(text)
-        self._build([pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)])
+        self.pretokens = len(pieces)
+        self.root = build(self._leaves(pieces, count.many(pieces))) or Leaf([], [])
 
-    def _build(self, blocks: list[list[str]]) -> None:
-        self.blocks = blocks or [[]]
-        tokens = [sum(self.count.many(b)) for b in self.blocks]
-        self.tree = SegmentTree(tokens, [sum(map(len, b)) for b in self.blocks])
+    @staticmethod
+    def _leaves(pieces: list[str], counts: list[int]) -> list[Leaf]:
+        return [Leaf(pieces[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF)]
 
     @property
     def tokens(self) -> int:
-        return self.tree.tokens[1]
+        return self.root.tokens
+
+    @property
+    def blocks(self) -> list[list[str]]:
+        return [self.leaf(k).pieces for k in range(self.root.leaves)]
+
+    def leaf(self, k: int) -> Leaf:
+        at = self.root
+        while at.height:
+            if k < at.left.leaves:
+                at = at.left
+            else:
+                at, k = at.right, k - at.left.leaves
+        return at
+
+    def find(self, at: int) -> tuple[int, int]:
+        """The number of the leaf that holds code point ``at`` (the last one for the end of the text), and its start."""
+        node, k, start = self.root, 0, 0
+        at = min(at, max(0, node.chars - 1))
+        while node.height:
+            if at - start < node.left.chars:
+                node = node.left
+            else:
+                k, start, node = k + node.left.leaves, start + node.left.chars, node.right
+        return k, start
 
     def edit(self, start: int, stop: int, replacement: str) -> None:
         """Replaces code points start to stop."""
         start = max(0, min(start, len(self.text)))
         stop = max(start, min(stop, len(self.text)))
         # first pre-token that may change: the one before the edit, and further back over white space, on which the pattern looks ahead
-        blk, at = self.tree.find(max(0, start - 1))
-        own = self.blocks[blk]
+        blk, at = self.find(max(0, start - 1))
+        own = self.leaf(blk).pieces
         ends, e = [], at
         for p in own:
             e += len(p)
@@ -128,17 +193,16 @@ class CountedText:
         while (blk or i) and at:
             if i == 0:
                 blk -= 1
-                i = len(self.blocks[blk])
-                if i == 0:
-                    continue
+                own = self.leaf(blk).pieces
+                i = len(own)
             i -= 1
-            at -= len(self.blocks[blk][i])
-            if not self.blocks[blk][i].isspace():
+            at -= len(own[i])
+            if not own[i].isspace():
                 break
         # new pre-tokens from there, in growing spans, until a border after the edit is an old one too
         moved = len(replacement) - (stop - start)
         text = self.text[:start] + replacement + self.text[stop:]
-        old_blk, old_i, old_end = blk, i, at
+        last = self.root.leaves - 1
         span = max(64, start - at + len(replacement) + 32)
         while True:
             part = text[at : at + span]
@@ -151,19 +215,20 @@ class CountedText:
                 fresh = fresh[:-2]
             new: list[str] = []
             pos, met = at, False
-            old_blk, old_i, old_end = blk, i, at
+            old_blk, old, old_i, old_end = blk, self.leaf(blk), i, at
             for p in fresh:
                 new.append(p)
                 pos += len(p)
                 if pos < start + len(replacement):
                     continue
                 while old_end < pos - moved or old_end < stop:
-                    if old_i >= len(self.blocks[old_blk]):
-                        if old_blk + 1 >= len(self.blocks):
+                    if old_i >= len(old.pieces):
+                        if old_blk == last:
                             break
                         old_blk, old_i = old_blk + 1, 0
+                        old = self.leaf(old_blk)
                         continue
-                    old_end += len(self.blocks[old_blk][old_i])
+                    old_end += len(old.pieces[old_i])
                     old_i += 1
                 if old_end == pos - moved and old_end >= stop and not p.isspace():
                     met = True
@@ -172,23 +237,16 @@ class CountedText:
                 break
             span *= 2
         if not met:
-            old_blk, old_i = len(self.blocks) - 1, len(self.blocks[-1])
+            old_blk, old = last, self.leaf(last)
+            old_i = len(old.pieces)
         self.text = text
         self.encoded += len(new)
-        merged = self.blocks[blk][:i] + new + self.blocks[old_blk][old_i:]
-        if old_blk - blk + 1 == 1 and len(merged) <= 2 * LEAF:
-            self.blocks[blk] = merged
-            self.tree.put(blk, sum(self.count.many(merged)), sum(map(len, merged)))
-        elif len(merged) <= 2 * LEAF * (old_blk - blk + 1):
-            # the same number of leaves: spread over them
-            k = old_blk - blk + 1
-            size = -(-len(merged) // k) or 1
-            for j in range(k):
-                part_ = merged[j * size : (j + 1) * size]
-                self.blocks[blk + j] = part_
-                self.tree.put(blk + j, sum(self.count.many(part_)), sum(map(len, part_)))
-        else:
-            self._build(self.blocks[:blk] + [merged[k : k + LEAF] for k in range(0, len(merged), LEAF)] + self.blocks[old_blk + 1 :])
+        first = self.leaf(blk)
+        pieces, counts = first.pieces[:i] + new + old.pieces[old_i:], first.counts[:i] + self.count.many(new) + old.counts[old_i:]
+        left, rest = split(self.root, blk)
+        right = split(rest, old_blk - blk + 1)[1]
+        own_leaves = [Leaf(pieces, counts)] if pieces and len(pieces) <= 2 * LEAF else self._leaves(pieces, counts)
+        self.root = join(join(left, build(own_leaves)), right) or Leaf([], [])
 
 
 SCHEMA = "doc_id long, n_chars long, n_tokens long, edited_chars long, edited_tokens long, n_pretokens long, reencoded long"
@@ -205,7 +263,7 @@ def count_edits(docs: DataFrame, tokenizer: str = "byte_bpe_50k") -> DataFrame:
             rows = []
             for doc_id, text, edits in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "edits")), strict=True):
                 t = CountedText(text or "", count)
-                chars, tokens, pre = len(t.text), t.tokens, sum(map(len, t.blocks))
+                chars, tokens, pre = len(t.text), t.tokens, t.pretokens
                 for e in edits or ():
                     t.edit(e["start"], e["stop"], e["replacement"] or "")
                 rows.append((doc_id, chars, tokens, len(t.text), t.tokens, pre, t.encoded))
