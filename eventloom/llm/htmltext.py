@@ -1,14 +1,16 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
-A page is scanned into leaf blocks: runs of text between block-level borders, each with the tags, classes, ids and roles of
-its ancestors. Features of these and of the text give every block a score for being main text, and neighbouring blocks a
-score for each pair of labels. The weights are trained by stochastic gradient on the exact likelihood (forward-backward)
-over labelled pages; Viterbi decodes a page. Scripts, styles, other raw text and closed templates never become blocks.
+A page is scanned into leaf blocks: runs of text between block-level borders, each in the innermost block-level element
+that is open there. Features of its ancestors' tags, classes, ids and roles and of the text give every block a score for
+being main text, and neighbouring blocks a score for each pair of labels. The weights are trained by stochastic gradient on
+the exact likelihood (forward-backward) over labelled pages; Viterbi decodes a page (of equal paths the one that keeps
+less). Scripts, styles, other raw text and closed templates never become blocks. Scanning takes time in proportion to the page.
 
-The labelled pages come from ``labelled_pages``: a generator of page layouts (semantic tags, classed divisions, tables) with
-the label of every block; callers may train on pages of their own.
+The labelled pages come from ``labelled_pages``: a generator of page layouts (semantic tags, classed divisions, tables,
+plain bodies and divisions whose names say nothing) with the label of every block; callers may train on pages of their own.
 
-Null or empty html: empty text. Repeated rows each get a row. Further columns are ignored.
+Null or empty html: empty text. Empty table: empty result. Repeated rows each get a row. Very long pages are read whole.
+Of the input's columns those in ``keep`` stay, further ones are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import html as entities
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,13 +30,10 @@ from ..session import ship
 from .text import slices
 
 #: Elements whose content is raw text and never shown, up to the end tag (or the end of the page, as in browsers).
-_RAW = "script|style|textarea|title|iframe|noscript"
-_INSIDE = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{_RAW})(?![\w:-])(?:{_INSIDE}[\s\"'])?/>|<(?P<skip>{_RAW})(?![\w:-]){_INSIDE}>.*?(?:</(?P=skip)\s*>|\Z)|<[!?][^>]*>"
-    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_INSIDE})>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_RAW = frozenset("script style textarea title iframe noscript".split())
+#: A quote opens a value only after an equals sign; no part is ever tried twice.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)>")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label nobr ruby rt rp blink img br picture source object canvas".split())
 #: Formulas and drawings run on in the text around them.
@@ -53,100 +52,138 @@ _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 KEEP, DROP = 1, 0
 
 
-class Block:
-    __slots__ = ("linked", "path", "text")
+class Element:
+    """An open block-level element; ``features``: the distinct ones of it and its ancestors, shared with the parent if it adds none."""
+
+    __slots__ = ("before", "context", "features", "inside", "links", "main", "near", "other", "tag")
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, tag: str, attrs: str, parent: Element | None, known: Container[str] | None):
+        self.tag, self.links, self.before = tag, 0, 0
+        marks = _marks(attrs) if attrs else ()
+        own = [f"in:{tag}", *(f"mark:{w}" for w in marks), *(f"stem:{w[:4]}" for w in marks if len(w) > 4)]
+        held = parent.features if parent else ()
+        have = set(held)
+        new = [f for f in dict.fromkeys(own) if f not in have and (known is None or f in known)]
+        self.features = (*held, *new) if new else held
+        # the innermost section, and what is around it
+        self.near, self.main, self.other = (parent.near, parent.main, parent.other) if parent else (None, False, False)
+        if tag in _SECTIONS or marks:
+            if self.near:
+                self.main |= self.near[0] in ("article", "main")
+                self.other = True
+            self.near = (tag if tag in _SECTIONS else "marked", marks)
+        near, words = self.near or ("", ())
+        inside = "main" if self.main else "other" if self.other else "top"
+        self.context = ("bias", f"own:{tag}", *(f"near:{w}" for w in words), f"near:{near}", f"{near} in {inside}", f"{tag} of {near}", f"{tag} of {near} in {inside}")
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order; a path holds (tag, marks) of the block-level ancestors, outermost first."""
+class Block:
+    __slots__ = ("element", "linked", "text")
+
+    def __init__(self, element: Element | None, text: str, linked: int):
+        self.element, self.text, self.linked = element, text, linked
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, value, attributes) of a page: kind "" for text, "<" for a start tag and "/" for an end tag (value: its name)."""
+    at, n, last = 0, len(page), page.rfind(">")
+    while at < n:
+        lt = page.find("<", at)
+        if lt != at:
+            yield "", page[at : lt if lt >= 0 else n], ""
+            if lt < 0:
+                return
+        at = lt
+        after = page[at + 1 : at + 2]
+        if after in ("!", "?") and after:
+            end, size = (page.find("-->", at + 2), 3) if page.startswith("<!--", at) else (page.find(">", at), 1)
+            if end < 0:
+                return
+            at = end + size
+            continue
+        m = _TAG.match(page, at) if at < last and (after.isalpha() or after == "/") else None
+        if not m:
+            yield "", "<", ""
+            at += 1
+            continue
+        at, tag, attrs = m.end(), m[2].lower(), m[3]
+        if m[1]:
+            yield "/", tag, ""
+        elif tag not in _RAW:
+            yield "<", tag, attrs
+        elif not attrs.endswith("/"):
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else n
+
+
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order; ``known``: the features of ancestors that matter (all, if not given)."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open elements, inline ones too
+    stack: list[Element] = []  # open block-level elements
+    opened: dict[str, int] = {}
     parts: list[str] = []
-    linked = [0]
-    links = 0
-    inert: list[tuple[int, int]] = []  # open templates: depth, blocks before them
+    linked = links = 0
 
     def end() -> None:
+        nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(e for e in stack if e[0] not in _INLINE), text, linked[0]))
+                out.append(Block(stack[-1] if stack else None, text, linked))
             parts.clear()
-        linked[0] = 0
+        linked = 0
 
     def pop(depth: int) -> None:
         nonlocal links
-        for tag, _ in stack[depth:]:
-            if tag == "a":
-                links -= 1
+        for e in stack[depth:]:
+            opened[e.tag] -= 1
+            links -= e.links
         del stack[depth:]
-        while inert and inert[-1][0] >= depth:
-            inert.pop()
 
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            parts.append(text)
+    for kind, tag, attrs in tokens(page):
+        if not kind:
+            parts.append(tag)
             if links:
-                linked[0] += len(text)
-            continue
-        tag = m["tag"]
-        if tag is None:
+                linked += len(tag)
             continue
-        tag = tag.lower()
         if tag in _INLINE:
-            if tag in ("br", "img", "wbr", "source"):
-                if tag == "br":
-                    parts.append(" ")
-            elif m["close"]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        if tag == "a":
-                            links -= 1
-                        del stack[k]
-                        break
-                    if stack[k][0] not in _INLINE:
-                        break
-            else:
-                stack.append((tag, ""))
-                links += tag == "a"
+            if tag == "br":
+                parts.append(" ")
+            elif tag == "a" and stack:
+                # a link ends with the block it stands in
+                step = 1 if kind == "<" else -1 if stack[-1].links else 0
+                stack[-1].links += step
+                links += step
+            elif tag == "a":
+                links = max(0, links + (1 if kind == "<" else -1))
             continue
         end()
-        if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag == "template":  # what it holds is not part of the page
-                        del out[next(n for depth, n in inert if depth == k) :]
-                    pop(k)
-                    break
+        if kind == "/":
+            if opened.get(tag):
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag)
+                if tag == "template":  # what it holds is not part of the page
+                    del out[stack[k].before :]
+                pop(k)
             continue
         if tag == "head":  # holds no text but raw; what else stands there belongs to the body, closed or not
             continue
         if tag in _VOID:
             continue
-        for k in range(len(stack) - 1, -1, -1) if tag not in _WITHIN else ():  # a block ends an open paragraph with all inside it
-            if stack[k][0] == "p":
-                pop(k)
-                break
-            if stack[k][0] not in _INLINE:
-                break
+        if tag not in _WITHIN and stack and stack[-1].tag == "p":  # a block ends an open paragraph
+            pop(len(stack) - 1)
         if tag in _ENDS:
             own, stop = _ENDS[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in own:
-                    pop(k)
-                    break
-                if stack[k][0] in stop:
-                    break
-        attrs = m["attrs"]
-        if attrs and attrs[-1:] == "/" and tag in ("div", "p", "section", "span"):
-            attrs = attrs[:-1]
-        if tag == "template":
-            inert.append((len(stack), len(out)))
-        stack.append((tag, attrs.strip() if attrs else ""))
+            if any(opened.get(t) for t in own):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].tag in own:
+                        pop(k)
+                        break
+                    if stack[k].tag in stop:
+                        break
+        element = Element(tag, attrs, stack[-1] if stack else None, known)
+        element.before = len(out)
+        stack.append(element)
+        opened[tag] = opened.get(tag, 0) + 1
     end()
     return out
 
@@ -163,41 +200,22 @@ def _marks(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(words))
 
 
-@lru_cache(50_000)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    out = ["bias"]
-    near, above, own = "", set(), path[-1][0] if path else ""
-    for depth, (tag, attrs) in enumerate(reversed(path)):
-        marks = _marks(attrs)
-        out.append(f"in:{tag}")
-        out += (f"mark:{w}" for w in marks)
-        out += (f"stem:{w[:4]}" for w in marks if len(w) > 4)
-        if depth == 0:
-            out.append(f"own:{tag}")
-        if tag in _SECTIONS or marks:
-            # the innermost section, and what is around it
-            if not near:
-                near = tag if tag in _SECTIONS else "marked"
-                out += (f"near:{w}" for w in marks)
-            else:
-                above.add(tag if tag in ("article", "main") else "other")
-    inside = "main" if above & {"article", "main"} else "other" if above else "top"
-    out += (f"near:{near}", f"{near} in {inside}", f"{own} of {near}", f"{own} of {near} in {inside}")
-    return tuple(dict.fromkeys(out))
+_NOWHERE = Element("", "", None, frozenset())
 
 
 def features(block: Block, i: int, n: int) -> list[str]:
+    """Features of the text and of where it stands, without those of all ancestors."""
     text, words = block.text, block.text.count(" ") + 1
     share = block.linked / max(1, len(text))
-    out = [*_path_features(block.path), f"words:{min(7, words.bit_length())}", f"links:{min(3, int(share * 4))}"]
+    out = [*(block.element or _NOWHERE).context, f"words:{min(7, words.bit_length())}", f"links:{min(3, int(share * 4))}"]
     if text[-1] in ".!?…。\"'”»":
         out.append("sentence")
     if "©" in text[:40]:
         out.append("copyright")
-    if i == 0:
+    if i == 0 and n > 1:
         out.append("first")
     if i == n - 1:
-        out.append("last")
+        out.append("last" if i else "only")
     return out
 
 
@@ -208,8 +226,14 @@ class CRF:
         self.weights, self.step = weights or {}, step or [[0.0, 0.0], [0.0, 0.0]]
 
     def scores(self, page: list[Block]) -> list[float]:
-        get, n = self.weights.get, len(page)
-        return [sum([get(f, 0.0) for f in features(b, i, n)]) for i, b in enumerate(page)]
+        get, n, out = self.weights.get, len(page), []
+        summed: dict[int, float] = {}  # of ancestors, by the tuple that elements share; the page keeps these alive
+        for i, b in enumerate(page):
+            above = (b.element or _NOWHERE).features
+            if (s := summed.get(id(above))) is None:
+                s = summed[id(above)] = sum([get(f, 0.0) for f in above])
+            out.append(s + sum([get(f, 0.0) for f in features(b, i, n)]))
+        return out
 
     def decode(self, page: list[Block]) -> list[int]:
         s = self.scores(page)
@@ -228,7 +252,7 @@ class CRF:
         return out[::-1]
 
     def train(self, pages: list[tuple[list[Block], list[int]]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-4, seed: int = 3) -> CRF:
-        data = [([features(b, i, len(p)) for i, b in enumerate(p)], y) for p, y in pages if p]
+        data = [([[*features(b, i, len(p)), *(b.element or _NOWHERE).features] for i, b in enumerate(p)], y) for p, y in pages if p]
         rng, w, t = random.Random(seed), self.weights, self.step
         turn = 0
         for _ in range(epochs):
@@ -273,12 +297,16 @@ def _lse(a: float, b: float) -> float:
 _TOPICS = "river stone market winter engine garden letter signal bridge copper harvest museum orchard planet railway season tunnel valley window yellow".split()
 
 
+#: Names that say nothing about what a division holds.
+_DULL = "text row col inner block container wrapper box wrap page left right center body site root app grid section cell".split()
+
+
 def _sentence(rng: random.Random, lo: int = 6, hi: int = 22) -> str:
     words = [rng.choice(_TOPICS) + rng.choice(("", "s", "ed", "ing", "")) for _ in range(rng.randint(lo, hi))]
     return " ".join(words).capitalize() + "."
 
 
-def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(n: int = 900, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
     """Pages of varied layouts with the label of every block. Kept blocks start with a mark character that is taken off."""
     rng = random.Random(seed)
     out = []
@@ -296,7 +324,10 @@ def _page(rng: random.Random) -> str:
     s = lambda lo=6, hi=22: _sentence(rng, lo, hi)
     long = lambda: " ".join(s() for _ in range(rng.randint(1, 5)))
     link = lambda: f'<a href="/{pick(_TOPICS)}">{pick(_TOPICS).title()}</a>'
+    if some(0.03):
+        return f"\u0001{long()}"
     semantic = some(0.6)
+    dull = lambda: pick(("", f' class="{pick(_DULL)}"', f' id="{pick(_DULL)}"', f' class="{pick(_TOPICS)}-{rng.randrange(99)}"'))
 
     def box(tag: str, marks: tuple[str, ...], inner: str) -> str:
         mark = pick(marks)
@@ -335,7 +366,7 @@ def _page(rng: random.Random) -> str:
     if some(0.2):
         body[0] = f"<header>{body[0]}</header>"
     for _ in range(rng.randint(1, 12)):
-        kind = rng.randrange(12)
+        kind = rng.randrange(14)
         if kind == 0:
             body.append(f"<h2>\u0001{s(2, 8)}</h2>")
         elif kind == 1:
@@ -353,20 +384,26 @@ def _page(rng: random.Random) -> str:
         elif kind == 7:
             body.append(f"<pre>\u0001{s()}</pre>")
         elif kind == 8:
-            body.append(f"<p>\u0001{s(1, 3)}</p>")
+            body.append(f"<div>\u0001{long()}</div>")
+        elif kind in (9, 10):
+            body.append(f"<p>\u0001{s(1, 5)}</p>")
         else:
             body.append(f"<p>\u0001{long()}</p>")
         if some(0.12):
             body.append(junk())
     inner = "".join(body)
-    if semantic:
+    if plain := some(0.3):  # nothing says where the text is
+        inner = pick((inner, f"<div{dull()}>{inner}</div>", f"<div{dull()}><div{dull()}>{inner}</div></div>", f"<section{dull()}>{inner}</section>", f"<table><tr><td>{inner}</td></tr></table>", f"<center>{inner}</center>"))
+    elif semantic:
         inner = pick((f"<article>{inner}</article>", f"<main><article>{inner}</article></main>", f'<article class="post">{inner}</article>', f"<main>{inner}</main>"))
     else:
         inner = f'<div {pick(("class", "id"))}="{pick(("content", "article", "post", "entry-content", "main-content", "story", "article-body", "post-body", "main"))}">{inner}</div>'
-    before = "".join(junk() for _ in range(rng.randint(0, 4)))
-    after = "".join(junk() for _ in range(rng.randint(0, 4)))
-    wrap = pick(("", '<div class="wrapper">', '<div id="page" class="container">'))
-    return f"<!DOCTYPE html><html><head><title>{s()}</title></head><body>{wrap}{before}{inner}{after}{'</div>' if wrap else ''}</body></html>"
+    around = 0 if plain and some(0.4) else 4
+    before = "".join(junk() for _ in range(rng.randint(0, around)))
+    after = "".join(junk() for _ in range(rng.randint(0, around)))
+    wrap = pick(("", '<div class="wrapper">', '<div id="page" class="container">', f"<div{dull()}>"))
+    head, close = pick((("<html><head>", "</head><body>"), ("<html>", "<body>"), ("", ""), ("<html><head>", "</head>"))), pick(("</body></html>", ""))
+    return f"{pick(('<!DOCTYPE html>', ''))}{head[0]}<title>{s()}</title>{head[1]}{wrap}{before}{inner}{after}{'</div>' if wrap else ''}{close}"
 
 
 @lru_cache(1)
@@ -375,7 +412,7 @@ def default_model() -> CRF:
 
 
 def main_text(page: str | None, model: CRF) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", model.weights)
     return "\n\n".join(b.text for b, keep in zip(found, model.decode(found), strict=True) if keep)
 
 
