@@ -23,6 +23,7 @@ from ..session import ship
 from .text import buffers, slices
 
 WIDTHS = (2, 3, 4)
+UNUSUAL = 0.002  # the share of held-out windows below a network's floor
 _CLASS = np.zeros(256, np.int32)
 for _i in range(26):
     _CLASS[97 + _i] = _CLASS[65 + _i] = 1 + _i
@@ -40,6 +41,7 @@ class ByteCNN:
     out: np.ndarray
     out_bias: np.ndarray
     window: int
+    floor: float = 0.0  # what all but a few held-out windows score at least
 
     def taps(self) -> list[np.ndarray]:
         return [np.einsum("cd,wdn->wcn", self.embed, f) for f in self.filters]
@@ -147,10 +149,10 @@ def predict_batch(m: ByteCNN, tables, column: pa.Array) -> tuple[np.ndarray, np.
     return best, score
 
 
-def sample(docs: DataFrame, usable: Column, per_lang: int = 1500, per_doc: int = 4, window: int = 256, max_langs: int = 400, max_texts: int = 40_000) -> list[tuple[str, bytes]]:
-    """At most per_lang * per_doc windows of each of the max_langs most frequent languages (max_texts texts in all); rows are chosen by a hash of doc_id."""
+def sample(docs: DataFrame, usable: Column, per_lang: int = 1500, per_doc: int = 4, window: int = 256, max_texts: int = 40_000) -> list[tuple[str, bytes]]:
+    """At most per_lang * per_doc windows of each language (max_texts texts in all, or one a language); rows are chosen by a hash of doc_id."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()  # a row a language, as the network has outputs
     if not counts:
         return []
     per_lang = min(per_lang, max(1, max_texts // len(counts)))
@@ -180,7 +182,25 @@ def fit(docs: DataFrame, usable: Column | None = None, **kw) -> ByteCNN | None:
     """A network trained on the rows of ``docs`` (doc_id, lang, text) where ``usable``; None if they teach nothing."""
     ship(docs.sparkSession)
     texts = sample(docs, F.lit(True) if usable is None else usable, **kw)
-    return train(texts) if texts else None
+    if not texts:
+        return None
+    # a network that has not seen a fifth of the windows tells which scores are usual for clean text
+    tried, rest = texts[::5], [t for i, t in enumerate(texts) if i % 5]
+    model = train(texts)
+    model.floor = float(min(0.5, np.quantile(top_scores(train(rest), [t for _, t in tried]), UNUSUAL))) if rest else 0.0
+    return model
+
+
+def top_scores(m: ByteCNN, pieces: list[bytes]) -> np.ndarray:
+    """The score of each piece's most likely language."""
+    tables, out = m.tables(), [np.ones(1)]
+    for a in range(0, len(pieces), 512):
+        c = np.zeros((len(pieces[a : a + 512]), m.window), np.int32)
+        for row, piece in zip(c, pieces[a : a + 512], strict=True):
+            own = np.frombuffer(piece[: m.window], np.uint8)
+            row[: len(own)] = _CLASS[own]
+        out.append(m.probabilities(c, tables).max(1))
+    return np.concatenate(out)
 
 
 def predict(docs: DataFrame, model: ByteCNN | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
