@@ -1,21 +1,25 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The search goes over the boundaries of a text; at each it looks back at the pieces that end there, so it needs the last
-``max_piece`` boundaries only. Ids are committed as soon as the back pointers of all boundaries that can still be continued
-from meet in one boundary. With a unigram model a path's score is the sum of its pieces' scores. With a byte-pair model a
-step from one piece to the next is allowed if merging the two pieces' characters in the model's order gives just these two
-pieces again; then exactly one path reaches each boundary, and it is the encoding that the merges give, so the ids are
-those of the SentencePiece library.
-
-Between words, where no piece crosses, the search starts anew; the ids of short words are remembered (two generations of a
-bounded size). Null text is empty: no ids. Decoding gives the text back, but for U+2581, which the model reads as a space.
+The search goes over the boundaries of a text; from each it extends the paths by the pieces that begin there, so it needs
+the last ``longest`` boundaries only. Ids are committed as soon as the back pointers of all boundaries that can still be
+continued from meet in one boundary. With a unigram model a path's score is the sum of its pieces' scores; of equal sums the
+one whose last piece is longest counts. With a byte-pair model a step from one piece to the next is allowed if merging the
+two pieces' characters in the model's order gives just these two pieces again; then exactly one path reaches each boundary,
+and it is the encoding that the merges give, so the ids are those of the SentencePiece library.
+
+No piece crosses the border between two words, so all paths meet there: every word ends in a commit, and the ids between two
+such borders depend on nothing else. Those of words seen before are remembered (two generations of a bounded size) and
+committed at once; the search runs over the others, whatever their length.
+
+Null text is empty: no ids. Decoding gives the text back, but for U+2581, which the model reads as a space; null ids give null.
+Repeated rows each get a row. Empty table: empty result. Of the input's columns those in ``keep`` stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ from ..session import ship
 from .text import slices
 
 SPACE = "▁"
+PIECE, GOES_ON = 1, 2  # of a string: a piece, the beginning of longer ones
 _loaded: dict[tuple, object] = {}
 
 
@@ -48,10 +53,13 @@ class PieceModel:
         self.lowest = min(self.score.values(), default=0.0) - 10.0
         self.longest = max(map(len, self.ids), default=1)
         self.plain = [None if special[i] else bytes([int(text[i][1:-1], 16)]) if byte[i] else text[i].replace(SPACE, " ").encode() for i in range(n)]
-        assert not any(SPACE in p.lstrip(SPACE) for p in self.ids), "a piece crosses words"
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            raise ValueError(f"{path}: a piece crosses words")
         # a line break that no piece has is a border too
         self.units = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if any("\n" in p for p in self.ids) else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p))}
+        self.kinds = dict.fromkeys((p[:k] for p in self.ids for k in range(1, len(p))), GOES_ON)
+        for p in self.ids:
+            self.kinds[p] = self.kinds.get(p, 0) | PIECE
         self.stable: dict[str, dict[str, bool]] = {}
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -82,73 +90,63 @@ class PieceModel:
             ok = row[b] = self.merged(a + b) == [a, b]
         return ok
 
-    def _word(self, unit: str) -> list[str]:
-        """``stream`` for a byte-pair unit that fits the window: every boundary is reached by one path, so all commit at the end."""
-        n, ids, starts, stable, reach = len(unit), self.ids, self.starts, self.stable, self.longest
-        last: list = [None] * (n + 1)
-        for j in range(n):
-            q = last[j]
-            row = stable.get(q)
-            for k in range(j + 1, min(n, j + reach) + 1):
-                p = unit[j:k]
-                if last[k] is None and (p in ids or k == j + 1):
-                    ok = True if q is None else row.get(p) if row is not None else None
-                    if ok is None:
-                        ok = self._stable(q, p)
-                        row = stable[q]
-                    if ok:
-                        last[k] = p
-                if p not in starts:
-                    break
-        return self._back(last, n)
-
     # ---- the search ----
 
-    def stream(self, chunks: Iterator[str]) -> Iterator[list[str]]:
+    def stream(self, chunks: Iterable[str]) -> Iterator[list[str]]:
         """Pieces of the joined chunks, committed as they become certain."""
-        longest, ids, score, bpe = self.longest, self.ids, self.score, self.kind == "bpe"
-        text, base = "", 0  # the retained window and its boundary number
-        last: list[str | None] = [None]  # the piece that ends at each retained boundary (None: out of reach, or the start)
+        longest, kind_of, stable, score, bpe = self.longest, self.kinds.get, self.stable, self.score, self.kind == "bpe"
+        text, at = "", 0  # the retained window; the next boundary to extend from
+        last: list[str | None] = [""]  # the piece that ends at each retained boundary (None: out of reach, "": the start)
         total = [0.0]
-        open_at = [True]
-        for chunk in chunks:
-            text += chunk
+        source, more = iter(chunks), True
+        while more:
+            chunk = next(source, None)
+            more = chunk is not None
+            text += chunk or ""
             n = len(text)
-            for i in range(len(last), n + 1):
-                found, best = None, 0.0
-                for j in range(max(0, i - longest), i):
-                    if not open_at[j]:
-                        continue
-                    p = text[j:i]
-                    if p not in ids and i - j > 1:
-                        continue
-                    if bpe:
-                        q = last[j]
-                        if q is None or self._stable(q, p):
-                            found = p
+            last += [None] * (n + 1 - len(last))
+            total += [0.0] * (n + 1 - len(total))
+            # pieces that may go on in the next chunk wait for it
+            ready = n - longest + 1 if more else n
+            while at < ready:
+                q = last[at]
+                if bpe and q is not None:
+                    row = stable.get(q)
+                    for k in range(at + 1, min(n, at + longest) + 1):
+                        p = text[at:k]
+                        kind = kind_of(p, 0)
+                        # a character is a piece, known or not
+                        if last[k] is None and (kind & PIECE or k == at + 1):
+                            ok = True if not q else row.get(p) if row is not None else None
+                            if ok is None:
+                                ok = self._stable(q, p)
+                                row = stable[q]
+                            if ok:
+                                last[k] = p
+                        if kind < GOES_ON:
+                            break
+                elif q is not None:
+                    for k in range(at + 1, min(n, at + longest) + 1):
+                        p = text[at:k]
+                        kind = kind_of(p, 0)
+                        if kind & PIECE or k == at + 1:
+                            s = total[at] + score.get(p, self.lowest)
+                            if last[k] is None or s > total[k]:
+                                last[k], total[k] = p, s
+                        if kind < GOES_ON:
                             break
-                    else:
-                        s = total[j] + score.get(p, self.lowest)
-                        if found is None or s > best:
-                            found, best = p, s
-                last.append(found)
-                total.append(best)
-                open_at.append(found is not None)
-            if n > 4 * longest:
-                # the boundaries that later pieces can start from
-                heads = {k for k in range(max(0, n - longest + 1), n + 1) if open_at[k]}
+                at += 1
+            if more and at > 2 * longest:
+                # where the paths to all boundaries that can still be extended from meet
+                heads = {k for k in range(at, n + 1) if last[k] is not None}
                 while len(heads) > 1:
                     k = max(heads)
                     heads.remove(k)
                     heads.add(k - len(last[k]))
-                done = heads.pop()
-                if done:
+                if done := heads.pop():
                     yield self._back(last, done)
-                    kept = last[done]
-                    text, last, total, open_at = text[done:], last[done:], total[done:], open_at[done:]
-                    base += done
                     # what is committed stays as context of the next step
-                    last[0] = kept if bpe else None
+                    text, last, total, at = text[done:], [last[done] if bpe else "", *last[done + 1 :]], total[done:], at - done
         if len(last) > 1:
             yield self._back(last, len(last) - 1)
 
@@ -161,12 +159,10 @@ class PieceModel:
         return out[::-1]
 
     def _unit(self, unit: str) -> tuple[int, ...]:
-        """Ids of a unit between two certain borders."""
+        """Ids of a unit between two borders in which all paths meet."""
         step = 8 * self.longest
-        if self.kind == "bpe" and len(unit) <= step:
-            pieces = self._word(unit)
-        else:
-            pieces = [p for part in self.stream(unit[k : k + step] for k in range(0, len(unit), step)) for p in part]
+        chunks = (unit,) if len(unit) <= step else (unit[k : k + step] for k in range(0, len(unit), step))
+        pieces = [p for part in self.stream(chunks) for p in part]
         out: list[int] = []
         for p in pieces:
             i = self.ids.get(p)
