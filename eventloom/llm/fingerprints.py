@@ -5,7 +5,12 @@ one after it (normalised chunking), so that chunk sizes gather around the normal
 shifts. A fingerprint is the set of chunk digests with the bytes each stands for, in hexadecimal: 12 digits of digest and 8 of
 weight for each distinct chunk, ascending. Containment is the weight two fingerprints share over the smaller total.
 
+Chunks of NORMAL bytes let texts of a sentence be compared; a whole fingerprint then has about 0.7 characters a byte of text. Where
+that is too much, ``sketch`` keeps those ``most`` chunks whose digests are smallest, which any two texts choose alike.
+
 Null text is empty; an empty text has an empty fingerprint, which is like another empty one (1) and unlike all others (0).
+Very long texts are fingerprinted whole. Rows with equal ids are ordered by their texts, null ids come first, repeated rows
+each get a row. Empty table: empty result. Of the input's columns those in ``keep`` stay (``compare``: the id), whatever their names.
 """
 
 from __future__ import annotations
@@ -128,15 +133,30 @@ def contains(one: str, other: str) -> float:
     return min(1.0, sum(min(w, b[d]) for d, w in a.items() if d in b) / min(sum(a.values()), sum(b.values())))
 
 
-def fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and the fingerprint of every text."""
+def sketch(whole: str, most: int) -> str:
+    """The chunks with the ``most`` smallest digests of a fingerprint."""
+    return whole[: 20 * most]
+
+
+def sketches_contain(one: str, other: str, most: int) -> float:
+    """An estimate of the containment of two texts by their sketches of ``most`` chunks: over the digests up to which both are complete."""
+    ends = [s[20 * most - 20 : 20 * most - 8] for s in (one, other) if len(s) >= 20 * most]
+    if not ends:
+        return contains(one, other)
+    bound = min(ends)
+    cut = lambda s: "".join(s[i : i + 20] for i in range(0, len(s), 20) if s[i : i + 12] <= bound)
+    return contains(cut(one), cut(other))
+
+
+def fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), most: int | None = None) -> DataFrame:
+    """The ``keep`` columns and the fingerprint of every text, or its sketch of ``most`` chunks."""
     ship(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(Prints(b.column("_text")).strings(), pa.string())], names=[*keep, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([s if most is None else sketch(s, most) for s in Prints(b.column("_text")).strings()], pa.string())], names=[*keep, "fingerprint"])
 
     return rows.mapInArrow(run, f"{fields}, fingerprint string")
 

@@ -14,7 +14,9 @@ Word counts cover all training texts. The most frequent words (at most ``head``)
 are joined with the count table by hash, so that nothing that grows with the corpus is broadcast.
 
 Null text is empty: only the end token. No training text: every token is unknown, all states are alike. Words are told apart
-by 64-bit hashes. Repeated rows each count and get a row.
+by 64-bit hashes. Repeated rows each count and get a row, as do rows with equal or null ids. Very long texts are read whole,
+in stretches. Words equally frequent at the edge of the head are all in or all out. Empty table: empty result. Further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ the highest probability averaged over its windows, weighted by their letters. Th
 of a bounded sample of labelled texts (``per_lang`` texts of a language, ``per_doc`` windows of a text).
 
 Null text, or one without a letter: ``und`` with score 0. No labelled text: all ``und``. Null labels teach nothing. Ties
-go to the language that sorts first. Repeated rows each get a row. Further columns are ignored.
+go to the language that sorts first. Repeated rows each get a row, as do rows with equal or null ids. Very long texts are
+read whole. Empty table: empty result. Of the input's columns those in ``keep`` stay, whatever their names.
 """
 
 from __future__ import annotations

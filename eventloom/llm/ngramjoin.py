@@ -22,6 +22,8 @@ all texts, within each task first, where single occurrences are left out.
 
 Text null or without words: an empty set, linked with nothing. Fewer than k words: the whole sequence is one shingle.
 Repeated rows are classmates. Null doc_id: takes part, and the component takes its smallest non-null id (null if it has none).
+Very long texts are read whole. Equally frequent shingles are ordered by their hashes. Empty table: empty result. Further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Everything happens in one pass over the input partition without a shuffle: rests
 ``group_tokens`` tokens, which bounds a task's memory. Sequence ids hold the partition number and a counter, so that a
 repeated task gives the same rows.
 
-Null text: one piece, the end id. Empty table: empty result. Repeated rows are packed each. Further columns are ignored.
+Null text: one piece, the end id. Empty table: empty result. Repeated rows are packed each, as are rows with equal or null
+ids. Very long texts are encoded whole and cut. Further columns are ignored, whatever their names. Lengths that occur
+equally often are taken in ascending order.
 """
 
 from __future__ import annotations
@@ -45,11 +47,15 @@ def bpe_encoder(name: str = "byte_bpe_50k", end: str = "<|endoftext|>") -> Calla
     return lambda text: np.asarray(enc.encode_to_numpy(text, allowed_special="all"), np.uint32)
 
 
-def combinations(hist: np.ndarray, window: int, most: int = 6000) -> list[tuple[int, ...]]:
-    """Pairs and triples of lengths in the histogram that fill the window; at most ``most`` triples, those of frequent lengths first."""
+def combinations(hist: np.ndarray, window: int, most: int = 6000, frequent_lengths: int = 160) -> list[tuple[int, ...]]:
+    """Pairs and triples of lengths in the histogram that fill the window.
+
+    Of the triples at most about ``most``, those of frequent lengths first, two of their lengths among the ``frequent_lengths``
+    most frequent; this bounds the columns of the least-squares problem, what they leave is packed greedily.
+    """
     have = np.flatnonzero(hist)
     out: list[tuple[int, ...]] = [(int(a), int(window - a)) for a in have if 2 * a <= window and hist[window - a]]
-    frequent = have[np.argsort(-hist[have], kind="stable")][:160]
+    frequent = have[np.argsort(-hist[have], kind="stable")][:frequent_lengths]
     triples: set[tuple[int, ...]] = set()
     for i, a in enumerate(frequent):
         for b in frequent[i:]:

@@ -45,6 +45,35 @@ def test_likeness_equals_strings(texts):
         assert got == pytest.approx(fingerprints.contains(x, y))
 
 
+def test_chunks_against_a_plain_search():
+    """Gear hashes, cuts and weights, one byte at a time."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh \né") for _ in range(n)) for n in (0, 1, 7, 8, 9, 100, 700)] + ["a" * 300, "the same again " * 40]
+    prints = fingerprints.Prints(pa.array(texts))
+    for t, got in zip(texts, prints.strings(), strict=True):
+        raw, chunks, start = t.encode(), [], 0
+        for i in range(len(raw)):
+            size = i + 1 - start
+            h = sum(int(fingerprints._GEAR[raw[j]]) << (i - j) for j in range(max(0, i - 7), i + 1)) & 0xFFFFFFFF if size >= fingerprints.MIN else 1 << 6
+            mask = fingerprints.STRICT if size < fingerprints.NORMAL else fingerprints.LOOSE
+            if size >= fingerprints.MIN and not h & int(mask) or size == fingerprints.MAX or i + 1 == len(raw):
+                chunks.append(raw[start : i + 1])
+                start = i + 1
+        weights = sorted(int(got[k + 12 : k + 20], 16) for k in range(0, len(got), 20))
+        assert weights == sorted(chunks.count(c) * len(c) for c in set(chunks))
+
+
+def test_sketches():
+    rng = random.Random(6)
+    t = " ".join(f"w{rng.randint(0, 99999)}" for _ in range(30_000))
+    a, b, c = fingerprints.Prints(pa.array([t, t[40_000:] + t[:9], t[:50]])).strings()
+    most = 400
+    assert len(fingerprints.sketch(a, most)) == 20 * most
+    cut = [fingerprints.sketch(x, most) for x in (a, b, c)]
+    assert abs(fingerprints.sketches_contain(cut[0], cut[1], most) - fingerprints.contains(a, b)) < 0.1
+    assert fingerprints.sketches_contain(cut[0], "", most) == 0.0 and fingerprints.sketches_contain(cut[2], cut[2], most) == 1.0
+
+
 def test_compare_against_plain(spark):
     rng = random.Random(3)
     rows = [(i * 3, "".join(rng.choice("abé \n") for _ in range(rng.choice([0, 1, 3, 50, 900])))) for i in range(80)]
