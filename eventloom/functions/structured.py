@@ -51,9 +51,11 @@ def quoted_json(df: DataFrame, members: list[str], name: str = "JSON") -> DataFr
     return df.withColumn(name, F.to_json(F.struct(*[one(F.col(m), df.schema[m].dataType).alias(m) for m in members])))
 
 
-def one_document(df: DataFrame, members: list[str]) -> DataFrame:
-    """A single row with a JSON array of all records, every value a string. For small results: the array is one value."""
-    return df.agg(F.to_json(F.collect_list(F.struct(*[F.col(m).cast("string").alias(m) for m in members]))).alias("json"))
+def one_document(df: DataFrame, members: list[str], most: int = 1_000_000) -> DataFrame:
+    """A single row with a JSON array of all records, every value a string. For at most ``most`` records, as the array is one value; more raise an error."""
+    rows = df.select(F.struct(*[F.col(m).cast("string").alias(m) for m in members]).alias("r")).limit(most + 1)
+    too_many = F.raise_error(F.lit(f"more than {most} records in one document"))
+    return rows.agg(F.collect_list("r").alias("all")).select(F.when(F.size("all") > most, too_many).otherwise(F.to_json("all")).alias("json"))
 
 
 def parse_xml(c: Column | str, paths: dict[str, str]) -> list[Column]:

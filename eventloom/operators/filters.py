@@ -83,14 +83,21 @@ def match_table(df: DataFrame, member: str, patterns: DataFrame, pattern: str =
     return df.withColumn(tag, search(F.col(member)))
 
 
-def fixed_match(df: DataFrame, member: str, patterns: dict[str, str], offset: int = 0, from_end: bool = False, port: str = "", tag: str = "MATCH") -> DataFrame:
-    """Patterns (-> label) at a fixed offset from the start, or ending at one from the end; TAG gives the first one's label."""
+def fixed_match(df: DataFrame, member: str, patterns: dict[str, str] | Sequence[tuple[str, str, int, bool]], offset: int = 0, from_end: bool = False, port: str = "", tag: str = "MATCH") -> DataFrame:
+    """Patterns (-> label) at a fixed offset from the start, or ending at one from the end; TAG gives the first one's label.
+
+    Patterns with places of their own are tuples: text, label, offset, whether from the end.
+    """
     c = F.col(member)
-    at = lambda p: F.substring(c, F.length(c) - offset - len(p) + 1, F.lit(len(p))) if from_end else F.substring(c, offset + 1, len(p))
-    fits = {p: (F.length(c) >= offset + len(p)) & (at(p) == p) for p in patterns}
+    places = [(p, label, offset, from_end) for p, label in patterns.items()] if isinstance(patterns, dict) else list(patterns)
+
+    def fits(p: str, at: int, end: bool) -> Column:
+        own = F.substring(c, F.length(c) - at - len(p) + 1, F.lit(len(p))) if end else F.substring(c, at + 1, len(p))
+        return (F.length(c) >= at + len(p)) & (own == p)
+
     if port == "TAG":
-        return df.withColumn(tag, F.coalesce(*[F.when(h, F.lit(patterns[p])) for p, h in fits.items()]))
-    return select(df, _any(list(fits.values())), port)
+        return df.withColumn(tag, F.coalesce(*[F.when(fits(p, at, end), F.lit(label)) for p, label, at, end in places]))
+    return select(df, _any([fits(p, at, end) for p, _, at, end in places]), port)
 
 
 def exact_match(df: DataFrame, member: str, values: Sequence | DataFrame, port: str = "", tag: str = "MATCH") -> DataFrame:
@@ -127,7 +134,9 @@ def sample(df: DataFrame, probability: float | None = None, seed: int = 0, every
 
 
 def flush_epochs(df: DataFrame, order: str = "event_id", count: int | None = None, time: str = "ts", seconds: int | None = None, name: str = "epoch") -> DataFrame:
-    """The number of the flush epoch: of every ``count`` rows along a gapless order, or of hour-aligned buckets of time."""
+    """The number of the flush epoch: of every ``count`` rows along the order, whatever its gaps, or of hour-aligned buckets of time."""
     if count is not None:
-        return df.withColumn(name, F.floor(F.col(order) / count).cast("long"))
+        from .sorts import global_rank
+
+        return global_rank(df, [order], "_place").withColumn(name, F.floor((F.col("_place") - 1) / count).cast("long")).drop("_place")
     return df.withColumn(name, F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (1_000_000 * seconds)).cast("long"))

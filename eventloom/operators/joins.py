@@ -48,6 +48,16 @@ def join_once(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFr
     return out.select(key, order, F.coalesce("_l", "_pl").alias("left"), F.coalesce("_r", "_pr").alias("right"))
 
 
+def join_once_flat(left: DataFrame, right: DataFrame, key: str, order: str, left_members: Sequence[str] | None = None, right_members: Sequence[str] | None = None) -> DataFrame:
+    """``join_once`` with the members of both sides beside the key and the order; what both have is the left one's, unless the right one's are named."""
+    b = [c for c in (right_members or right.columns) if c not in (key, order) and (right_members or left_members is None and c not in left.columns or left_members is not None and c not in left_members)]
+    a = [c for c in (left_members or left.columns) if c not in (key, order) and (left_members or c not in b)]
+    # a struct needs a member
+    side = lambda df, own: df.select(key, order, *own, F.lit(True).alias("_"))
+    out = join_once(side(left, a), side(right, b), key, order)
+    return out.select(key, order, *[F.col(f"left.`{c}`").alias(c) for c in a], *[F.col(f"right.`{c}`").alias(c) for c in b])
+
+
 def lookup(df: DataFrame, store: DataFrame, key: str, value: str, name: str = "VALUE") -> DataFrame:
     """GET of a key-value store: the stored value or NULL."""
     return df.join(store.select(F.col(key), F.col(value).alias(name)), key, "left")

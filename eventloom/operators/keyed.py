@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 ORDER = "event_id"
 
 
-def _w(key: str | Sequence[str], order: str = ORDER):
-    return W.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order)
+def _w(key: str | Sequence[str], order: str | Sequence[str] = ORDER):
+    return W.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*([order] if isinstance(order, str) else order))
 
 
 def _running(key, order: str = ORDER):
@@ -162,7 +162,7 @@ def count_query(df: DataFrame, key: str, delta: Column, query: Column, least: in
     return df.where(_has(key)).withColumn(name, F.coalesce(total, F.lit(0)).cast("long")).where(query & (F.col(name) >= least))
 
 
-def running_count(df: DataFrame, key: str, query: Column, name: str = "COUNT", order: str = ORDER) -> DataFrame:
+def running_count(df: DataFrame, key: str, query: Column, name: str = "COUNT", order: str | Sequence[str] = ORDER) -> DataFrame:
     """Rows where ``query`` holds, with the count of the key's earlier rows where it doesn't; rows of unknown keys go."""
     n = F.sum(F.when(query, 0).otherwise(1)).over(_before(key, order))
     return df.where(_has(key)).withColumn(name, F.coalesce(n, F.lit(0)).cast("long")).where(query & (F.col(name) > 0))
@@ -246,13 +246,23 @@ def rate(df: DataFrame, key: str, time: str = "ts", period: int = 60, value: str
     from .sorts import global_rank
 
     epochs = global_rank(rows.select("_b").distinct(), ["_b"], "EPOCH")
-    own = rows.where(_has(key)).groupBy(key, "_b").agg((F.sum(value) if value else F.count("*")).alias("COUNT"), F.min(order).alias("_first"))
+    row = F.struct(*df.columns)
+    own = rows.where(_has(key)).groupBy(key, "_b").agg((F.sum(value) if value else F.count("*")).alias("COUNT"), F.min_by(row, order).alias("_row"))
     w = W.partitionBy(key).orderBy("_b")
-    told = own.withColumn("_next", F.lead("_first").over(w)).where(F.col("_next").isNotNull() & (F.col("COUNT") >= least))
+    # a row a key and epoch: the next epoch's first row is carried along, nothing is joined back
+    told = own.withColumn("_next", F.lead("_row").over(w)).where(F.col("_next").isNotNull() & (F.col("COUNT") >= least))
     if most is not None:
         told = told.where(F.col("COUNT") <= most)
-    told = told.join(epochs, "_b").select(F.col("_next").alias(order), "COUNT", "EPOCH", (F.col("COUNT") / period).alias("RATE"))
-    return df.join(told, order)
+    told = told.drop(key)
+    return told.join(epochs, "_b").select("_next.*", "COUNT", "EPOCH", (F.col("COUNT") / period).alias("RATE"))
+
+
+def edit_distance(df: DataFrame, key: str, value: str, order: str = ORDER) -> DataFrame:
+    """EDITDISTANCE of each row's value to the key's previous one, and EDITNORM, over the longer length."""
+    before = F.last(value, True).over(_before(key, order))
+    d = F.levenshtein(value, "_last").cast("long")
+    out = df.where(_has(key)).withColumn("_last", before).withColumn("EDITDISTANCE", d)
+    return out.withColumn("EDITNORM", F.col("EDITDISTANCE") / F.greatest(F.lit(1), F.length(value), F.length("_last"))).drop("_last")
 
 
 def persist(df: DataFrame, key: str, time: str = "ts", bin_seconds: int = 3600, bins: int = 16, least: int = 4, order: str = ORDER) -> DataFrame:
@@ -291,4 +301,4 @@ def ewma(df: DataFrame, key: str, value: str, alpha: float = 0.05, order: str =
             state = (alpha * v + (1 - alpha) * m, (1 - alpha) * (s + alpha * d * d))
         return state, state
 
-    return run_keyed(df.where(_has(key)), key, start, step, "EWMA double, EWMVAR double", order)
+    return run_keyed(df.where(_has(key)), key, start, step, "EWMA double, EWMVAR double", order, (value,))

@@ -44,6 +44,14 @@ def global_rank(df: DataFrame, by: Sequence[str], name: str = "rank", descending
     return ranked.withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_range", "_in", "_before")
 
 
+def placed(df: DataFrame, name: str = "rank") -> DataFrame:
+    """The place of every row in the order in which ``df`` gives its rows, from 1."""
+    from ..session import materialise
+
+    rows = materialise(df.withColumn("_at", F.monotonically_increasing_id()))
+    return global_rank(rows, ["_at"], name).drop("_at")
+
+
 def running_total(df: DataFrame, value: str, order: str, name: str) -> DataFrame:
     """The sum of ``value`` over all rows up to each one in the order, by ranges with offsets as in ``global_rank``."""
     from ..session import materialise

@@ -28,11 +28,68 @@ _LEVELS = [("||",), ("&&",), ("|",), ("^",), ("&",), ("==", "!="), ("<", "<=", "
 _ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "<<=", ">>=", "&=", "|=", "^="}
 _MATH = {"sin": F.sin, "cos": F.cos, "atan": F.atan, "ln": F.ln, "exp": F.exp, "sqrt": F.sqrt, "abs": F.abs, "floor": F.floor, "ceil": F.ceil, "round": F.round}
 _QUEUE = {"qcount", "qsum", "qavg", "qmax", "qmin", "qspan", "qvar", "qstdev"}
-#: Accepted date layouts, tried in this order (fixed values).
+#: Accepted date layouts, tried in this order, in the notation of strptime (fixed values).
 DATE_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy",
-    "dd MMM yyyy HH:mm:ss", "dd MMM yyyy", "MMM dd yyyy HH:mm:ss", "MMM dd yyyy", "EEE, dd MMM yyyy HH:mm:ss", "yyyyMMdd'T'HHmmss", "yyyyMMdd",
+    "%a, %d %b %Y %T %Z",
+    "%a %d %b %Y %T %Z",
+    "%a %b %d %Y %T %Z",
+    "%a, %d-%b-%Y %T %Z",
+    "%a %d-%b-%Y %T %Z",
+    "%d %b %Y %T %Z",
+    "%a %b %d %T %Z %Y",
+    "%c",
+    "%R",
+    "%A %B %d, %Y, %H:%M:%S",
+    "%Y-%m-%d %I:%M:%S %p",
+    "%Y-%m-%d %H:%M:%S",
+    "%Y-%m-%d %I:%M %p",
+    "%m/%d/%y %I:%M %p",
+    "%m/%d/%Y %I:%M %p",
+    "%m/%d/%y %I:%M:%S %p",
+    "%m/%d/%Y %I:%M:%S %p",
 )
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_DATE_PARTS = {
+    "a": "(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?", "b": "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)",
+    "d": r"(\d{1,2}+)", "m": r"(\d{1,2}+)", "Y": r"(\d{1,4}+)", "y": r"(\d{1,2}+)", "H": r"(\d{1,2}+)", "I": r"(\d{1,2}+)", "M": r"(\d{1,2}+)", "S": r"(\d{1,2}+)", "p": "([ap]m)", "Z": r"\S*+",
+}
+
+
+def date_layout(layout: str) -> tuple[str, list[str]]:
+    """A regular expression for texts that begin in a strptime layout, and what its groups hold."""
+    for short, long in (("%c", "%a %b %d %H:%M:%S %Y"), ("%T", "%H:%M:%S"), ("%R", "%H:%M"), ("%A", "%a"), ("%B", "%b")):
+        layout = layout.replace(short, long)
+    out, groups = "", []
+    for m in re.finditer(r"%(\w)|(\s+)|([^%\s])", layout):
+        if m[1]:
+            out += r"\s*" + _DATE_PARTS[m[1]]
+            groups += [m[1]] if "(" in _DATE_PARTS[m[1]].replace("(?:", "") else []
+        else:
+            out += r"\s*" if m[2] else re.escape(m[3])
+    return f"(?i)^{out}", groups
+
+
+_DATE_GROUPS = "YymbdHIMSp"
+
+
+def date_parts(c: Column) -> Column:
+    """The parts of a text in the first layout that it begins in, in the order of _DATE_GROUPS, empty where it has none; NULL if there is none."""
+    found = []
+    for pattern, groups in map(date_layout, DATE_FORMATS):
+        parts = "|".join(f"${groups.index(g) + 1}" if g in groups else "" for g in _DATE_GROUPS)
+        found.append(F.when(c.rlike(pattern), F.regexp_replace(c, f"{pattern}(?s:.*)", parts)))
+    return F.split(F.coalesce(*found), r"\|")
+
+
+def parse_date(parts: Column) -> Column:
+    """The time of ``date_parts``; time zone names are read and not applied."""
+    part = {g: F.nullif(F.get(parts, F.lit(i)), F.lit("")) for i, g in enumerate(_DATE_GROUPS)}
+    number = {g: v.cast("int") for g, v in part.items() if g not in "bp"}
+    year = F.coalesce(number["Y"], number["y"] + F.when(number["y"] < 69, 2000).otherwise(1900), F.lit(1899))
+    month = F.coalesce(number["m"], F.floor((F.instr(F.lit(" ".join(_MONTHS)), F.lower(F.substring(part["b"], 1, 3))) + 3) / 4).cast("int"), F.lit(12))
+    hour = F.coalesce(number["H"], number["I"] % 12 + F.when(F.lower(part["p"]) == "pm", 12).otherwise(0))
+    second = F.coalesce(number["S"], F.lit(0)).cast("decimal(16,6)")
+    return F.try_make_timestamp(year, month, F.coalesce(number["d"], F.lit(31)), hour, number["M"], second)
 
 
 class CalcError(ValueError):
@@ -61,6 +118,7 @@ class _Scope:
     queues: dict[str, _Queue] = field(default_factory=dict)
     labels: list[tuple[Column, str]] = field(default_factory=list)
     flush: list[Column] = field(default_factory=list)
+    keys: dict[str, str] = field(default_factory=dict)  # of keyed variables
     tmp: int = 0
 
 
@@ -129,7 +187,7 @@ class _Compiler:
             return
         if self.peek() == "flush":
             self.next()
-            self.s.flush.append(F.lit(True) if when is None else when)
+            self.s.flush.append(self.keep(F.lit(True) if when is None else F.coalesce(when, F.lit(False))))
             self.take(";")
             return
         if self.at >= len(self.toks):
@@ -192,6 +250,8 @@ class _Compiler:
     def assign(self, name: str, key: str, v: Value, op: str, when: Column | None) -> None:
         if name.startswith("#"):
             slot = name + key
+            if key:
+                self.s.keys[slot] = key
             if op in ("+=", "-=") and name not in ("#PASS", "#FAIL"):
                 step = v.c if op == "+=" else -v.c
                 if when is not None:
@@ -331,7 +391,7 @@ class _Compiler:
         if name == "strReplAll":
             return Value(F.replace(c[0], c[1], c[2]), "string")
         if name == "parseDate":
-            return Value(F.coalesce(*[F.try_to_timestamp(c[0], F.lit(f)) for f in DATE_FORMATS]), "time")
+            return Value(self.keep(parse_date(self.keep(date_parts(self.keep(_text(args[0])))))), "time")
         raise CalcError(f"no function {name!r}")
 
     def queue(self, fn: str, slot: str) -> Value:
@@ -419,15 +479,31 @@ def _cast(v: Value, to: str) -> Value:
     raise CalcError(f"no type {to!r}")
 
 
-def calc(df: DataFrame, script: str, order: str = "event_id") -> DataFrame:
-    """Runs a script on every record."""
+def calc(df: DataFrame, script: str, order: str = "event_id", last_only: bool = False) -> DataFrame:
+    """Runs a script on every record.
+
+    A ``flush`` statement ends an epoch with its record: the member ``epoch`` counts the epochs from 0, as ``flush_epochs`` does.
+    With ``last_only`` the records don't pass: the result has a row for each key, with the last values of the keyed variables.
+    """
     from ..operators.shape import add_label
+    from ..operators.sorts import running_total
 
     s = _Scope(df, order)
     _Compiler(script, s).program()
     out = s.df
+    if last_only:
+        keyed = {slot: v for slot, v in s.registers.items() if slot in s.keys}
+        by = {s.keys[slot] for slot in keyed}
+        if len(by) != 1:
+            raise CalcError("only the last values: the script needs variables with one key")
+        (key,) = by
+        last = [F.max_by(v.c, order).alias(slot.removeprefix("#").removesuffix(key)) for slot, v in keyed.items()]
+        return out.where(F.col(key).isNotNull()).groupBy(key).agg(*last)
     for when, label in s.labels:
         out = add_label(out, label, when)
+    if s.flush:
+        ends = F.greatest(*[c.cast("int") for c in s.flush], F.lit(0)).cast("long")
+        out = running_total(out.withColumn("_calc_end", ends), "_calc_end", order, "_calc_ends").withColumn("epoch", (F.col("_calc_ends") - F.col("_calc_end")).cast("long"))
     if "#PASS" in s.registers:
         out = out.where(_bool(s.registers["#PASS"]))
     if "#FAIL" in s.registers:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import decode, magic, strings, structured, types
 from ..operators import aggregates, filters, joins, keyed, shape, sorts
-from ..session import load
+from ..session import load, scratch
 from ..sources import datagrams, readers, records
 from ..streaming import replay, stateful
 from . import graph
@@ -80,7 +81,7 @@ q("data2label", "events", lambda e: shape.data_to_label(e.select("event_id", "ev
 q("mklabelset", "events", lambda e: shape.make_labelset(_with_nulls(e), "LS", ["event_type", "value"], as_string=" ").select("event_id", "LS"), f"SELECT event_id, concat_ws(' ', CASE WHEN event_type IS NOT NULL THEN 'event_type' END, CASE WHEN value IS NOT NULL THEN 'value' END) AS LS FROM {E_NULL}")
 q("timestamp", "events", lambda e: shape.timestamp(e.select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")), "T", "ms", "ms", offset_seconds=90).select("event_id", F.unix_millis("T").alias("t")), "SELECT event_id, epoch_us(ts) // 1000 + 90000 AS t FROM events")
 q("loadbalance", "events", lambda e: shape.load_balance(e, 4, ["user_id"]).groupBy("LB").agg(F.count("*").alias("n")), "SELECT CAST(user_id % 4 AS INT) AS LB, count(*) AS n FROM events GROUP BY 1")
-q("tuplehash", "events", lambda e: shape.tuple_hash(e, ["user_id", "event_type"]).groupBy().agg(F.count_distinct("TUPLEHASH").alias("n")), "SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")
+q("tuplehash", "events", lambda e: shape.tuple_hash(e, ["user_id", "event_type"]).groupBy("TUPLEHASH").agg(F.min("user_id").alias("a"), F.max("user_id").alias("b"), F.min("event_type").alias("c"), F.max("event_type").alias("d"), F.count("*").alias("n")).drop("TUPLEHASH"), "SELECT user_id AS a, user_id AS b, event_type AS c, event_type AS d, count(*) AS n FROM events GROUP BY user_id, event_type")
 q("workbalance", "orders", lambda o: shape.spread(o.select("o_orderkey"), 4, ["o_orderkey"]), "SELECT o_orderkey FROM orders")
 q("bundle", "orders", lambda o: shape.unchanged(o.select("o_custkey"), 16), "SELECT o_custkey FROM orders")
 q("noop", "region", lambda r: shape.unchanged(r), "SELECT * FROM region")
@@ -104,7 +105,11 @@ q("dpu", "pages", lambda g: filters.first_pattern(g, "url", [r"page=\d+", r"/fr/
 q("sample", "events", lambda e: filters.sample(e.select("event_id", "ts"), every_seconds=3600), "SELECT event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY floor(epoch(ts) / 3600) ORDER BY event_id) AS r FROM events) WHERE r = 1")
 q("flush", "events", lambda e: filters.flush_epochs(e, count=100).groupBy("epoch", "event_type").agg(F.count("*").alias("n")), "SELECT event_id // 100 AS epoch, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 q("flush_time", "events", lambda e: filters.flush_epochs(e, seconds=3600).groupBy("epoch").agg(F.count("*").alias("n")), "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS epoch, count(*) AS n FROM events GROUP BY 1")
-q("countfilter", "events", lambda e: stateful.apply(e.select("event_id", "user_id"), "user_id", stateful.thinning()))
+q("countfilter", "events", lambda e: stateful.apply(e.select("event_id", "user_id"), "user_id", stateful.thinning()), """
+WITH RECURSIVE o AS (SELECT event_id, user_id, ('0x' || substr(md5('0|' || user_id || '|' || event_id), 1, 12))::BIGINT / CAST(281474976710656 AS DOUBLE) AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+s AS (SELECT event_id, user_id, r, 1 AS k, TRUE AS hit FROM o WHERE r = 1 UNION ALL
+ SELECT o.event_id, o.user_id, o.r, s.k + (o.u < power(2.0, -s.k))::INT, o.u < power(2.0, -s.k) FROM s JOIN o ON o.user_id = s.user_id AND o.r = s.r + 1)
+SELECT event_id, user_id, CAST(k AS BIGINT) AS PASSES FROM s WHERE hit""")
 
 # ---- joins and enrichment ----
 
@@ -192,7 +197,7 @@ q("keytime", "events", lambda e: keyed.key_time(e, "user_id", recent=600, old=86
 WITH a AS (SELECT *, epoch_us(ts - min(ts) OVER w) / 1000000 AS age, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 b AS (SELECT *, max((age > 86400)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS o FROM a)
 SELECT event_id, CASE WHEN o = 1 THEN 'OLD' WHEN r = 1 OR age <= 600 THEN 'NEW' ELSE 'RECENT' END AS AGE FROM b""")
-q("keysort", "events", lambda e: sorts.key_sort(e, "user_id", "value", ["event_id"]).select("event_id", "user_id"), "SELECT event_id, user_id FROM events")
+q("keysort", "events", lambda e: sorts.key_sort(e, "user_id", "value", ["event_id"]).select("event_id", "user_id", F.monotonically_increasing_id().alias("_at")).select("event_id", "user_id", F.row_number().over(W.partitionBy("user_id").orderBy("_at")).cast("long").alias("place")), "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS place FROM events WHERE value IS NOT NULL")
 q("persist", "events", lambda e: keyed.persist(e, "user_id", bin_seconds=6 * 3600, bins=16, least=4).select("event_id", "PERSIST_COUNT"), """
 WITH p AS (SELECT user_id, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS b, min(event_id) AS event_id FROM events GROUP BY 1, 2),
 c AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY b RANGE BETWEEN 15 PRECEDING AND CURRENT ROW) AS n, row_number() OVER (PARTITION BY user_id ORDER BY b) AS r FROM p)
@@ -212,8 +217,8 @@ q("periodic", "events", lambda e: stateful.apply(e.select("event_id", "user_id",
 
 # ---- sorts ----
 
-q("sort", "orders", lambda o: sorts.global_rank(o.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], "rank", descending=True), "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) AS rank FROM orders")
-q("rbsort", "events", lambda e: sorts.global_rank(sorts.buffer_sort(e.select("event_id", "value"), "value"), ["value", "event_id"], "rank").select("event_id", "rank"), "SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS rank FROM events WHERE value IS NOT NULL")
+q("sort", "orders", lambda o: sorts.placed(sorts.sort(o.select("o_orderkey", "o_totalprice"), "o_totalprice", ties=["o_orderkey"])), "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
+q("rbsort", "events", lambda e: sorts.placed(sorts.buffer_sort(e.select("event_id", "value"), "value", ties=["event_id"])).select("event_id", "rank"), "SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS rank FROM events WHERE value IS NOT NULL")
 
 # ---- text ----
 
@@ -230,23 +235,30 @@ q("asciihex", "part", lambda p: p.select("p_partkey", strings.from_hex(F.hex("p_
 for _a, _f in (("md5", "md5"), ("sha256", "sha256"), ("sha1", "sha1")):
     q(f"hmac_{_a}", "documents", lambda d, a=_a: d.select("doc_id", strings.digest("text", a).alias("h")), f"SELECT doc_id, {_f}(text) AS h FROM documents")
 q("editdistance", "part", lambda p: p.select("p_partkey", strings.edit_distance("p_name", "p_type").alias("d"), F.round(strings.edit_norm("p_name", "p_type"), 6).alias("n")), "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INT) AS d, round(levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS n FROM part")
-q("editdistance_key", "events", lambda e: stateful.apply(e.select("event_id", "user_id", "event_type"), "user_id", stateful.edit_distance_of_key("event_type")).select("event_id", "EDITDISTANCE"), "SELECT event_id, levenshtein(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), event_type) AS EDITDISTANCE FROM events")
+q("editdistance_key", "events", lambda e: keyed.edit_distance(e.select("event_id", "user_id", "event_type"), "user_id", "event_type").select("event_id", "EDITDISTANCE"), "SELECT event_id, levenshtein(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), event_type) AS EDITDISTANCE FROM events")
 q("charcnt", "documents", lambda d: d.select("doc_id", strings.count_chars("text", "aeiou").alias("n")), "SELECT doc_id, CAST(length(text) - length(translate(text, 'aeiou', '')) AS INT) AS n FROM documents")
 ENTROPY = "WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS ch, length(p_name) AS n FROM part), k AS (SELECT p_partkey, any_value(n) AS n, ch, count(*)::DOUBLE AS c FROM c GROUP BY p_partkey, ch)"
 q("entropy", "part", lambda p: p.select("p_partkey", F.round(strings.entropy("p_name"), 6).alias("h"), F.round(strings.chi_square("p_name"), 4).alias("x"), strings.percent_of("p_name", "a-zA-Z0-9").alias("alnum")), f"{ENTROPY} SELECT p_partkey, round(-sum(c / n * log2(c / n)), 6) AS h, round(sum((c - n / 256.0) * (c - n / 256.0) / (n / 256.0)) + (256 - count(*)) * any_value(n) / 256.0, 4) AS x, (SELECT CAST(floor(100 * length(regexp_replace(p_name, '[^a-zA-Z0-9]', '', 'g')) / length(p_name)) AS INT) FROM part p WHERE p.p_partkey = k.p_partkey) AS alnum FROM k GROUP BY p_partkey")
 q("log_keyvalue_parse", "events", lambda e: e.select("event_id", strings.key_values(F.concat(F.lit("user="), "user_id", F.lit(' note="a b" type='), "event_type", F.lit(" x="))).alias("m")).select("event_id", F.col("m")["user"].alias("u"), F.col("m")["note"].alias("n"), F.col("m")["type"].alias("t"), F.col("m")["x"].alias("x")), "SELECT event_id, CAST(user_id AS VARCHAR) AS u, 'a b' AS n, event_type AS t, 'NULL' AS x FROM events")
-q("filemagic", "pages", lambda g: g.select("page_id", magic.file_type("html", mime=True).alias("t")), "SELECT page_id, 'text/html' AS t FROM pages")
+_BEGINNINGS = ("", "%PDF-1.4 ", "GIF89a ", "PK\x03\x04 ", "<?xml?>", "{}", "plain ")
+q("filemagic", "pages", lambda g: g.select("page_id", magic.file_type(F.concat(F.element_at(F.array(*map(F.lit, _BEGINNINGS)), (F.col("page_id") % 7 + 1).cast("int")), "html"), mime=True).alias("t")), "SELECT page_id, ['text/html', 'application/pdf', 'image/gif', 'application/zip', 'text/xml', 'application/json', 'text/plain'][page_id % 7 + 1] AS t FROM pages")
 q("metadice", "orders", lambda o: o.select(strings.line(["o_orderkey", "o_orderstatus"], "|").alias("line")), "SELECT o_orderkey || '|' || o_orderstatus AS line FROM orders")
 q("print", "customer", lambda c: c.select(strings.line(["c_custkey", "c_name"], ",", labels=True).alias("line")), "SELECT 'c_custkey=' || c_custkey || ',c_name=' || c_name AS line FROM customer")
-q("csv_in", "events", lambda e: e.select(F.from_csv(F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type"), "id long, who long, kind string").alias("r")).select("r.*"), "SELECT event_id AS id, user_id AS who, event_type AS kind FROM events")
-q("time_in", "region", lambda r: r.sparkSession.sql("SELECT explode(sequence(timestamp'2024-01-01 00:00:00', timestamp'2024-01-01 06:00:00', interval 15 minutes)) AS DATETIME").select(F.unix_seconds("DATETIME").alias("t")), "SELECT 1704067200 + 900 * i AS t FROM range(25) r(i)")
+def _csv(e: DataFrame) -> DataFrame:
+    spark, path = e.sparkSession, scratch(e.sparkSession)
+    e.select(F.concat_ws(";", F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise(""))).write.text(path)
+    return readers.csv_lines(spark, path, ["id", "who", "kind", "none"], ";", detect=False)
+
+
+q("csv_in", "events", _csv, "SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS who, CASE WHEN event_type <> 'error' THEN event_type END AS kind, CAST(NULL AS VARCHAR) AS none FROM events")
+q("time_in", "region", lambda r: readers.clock(r.sparkSession, "2024-01-01 00:00:00", "2024-01-01 06:00:00", 900).select(F.unix_seconds("DATETIME").alias("t")), "SELECT 1704067200 + 900 * i AS t FROM range(25) r(i)")
 
 # ---- structured ----
 
 q("decodejson", "events", lambda e: e.select("event_id", structured.decode_json("props", "k double").alias("j")).select("event_id", F.col("j.k").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
 q("decodejson_free", "events", lambda e: e.select("event_id", F.try_variant_get(structured.decode_json_free("props"), "$.k", "double").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
 q("tuple2json", "orders", lambda o: structured.quoted_json(o, ["o_orderkey", "o_orderstatus"], "j").select("j"), """SELECT '{"o_orderkey":"' || o_orderkey || '","o_orderstatus":"' || o_orderstatus || '"}' AS j FROM orders""")
-q("print2json", "region", lambda r: structured.one_document(r, ["r_regionkey"]).select(F.size(F.from_json("json", "array<struct<r_regionkey: string>>")).alias("n")), "SELECT CAST(count(*) AS INT) AS n FROM region")
+q("print2json", "region", lambda r: structured.one_document(r, ["r_regionkey", "r_name"]).select(F.explode(F.from_json("json", "array<struct<r_regionkey: string, r_name: string>>")).alias("o")).select("o.*"), "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region")
 q("parsexml", "events", lambda e: e.select("event_id", *structured.parse_xml(F.concat(F.lit("<e><u>"), "user_id", F.lit("</u><Data Name='T'>"), "event_type", F.lit("</Data></e>")), {"u": "/e/u", "t": "//Data[@Name='T']"})), "SELECT event_id, CAST(user_id AS VARCHAR) AS u, event_type AS t FROM events")
 
 # ---- expressions ----
@@ -314,6 +326,26 @@ q("graph_keycount", "events", lambda e: graph.run("events | keycount event_type
 q("graph_streams", "events", lambda e: graph.run('events | match event_type -R purchase -> $a\nevents | match event_type -R error -> $b\n%func few($x -> $y) { $x | firstn user_id -N 2 -> $y }\n$a, $b -> $c\n%few($c -> $d)\n$d | subtuple event_id event_type', {"events": e}), "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE event_type IN ('purchase', 'error')) WHERE r <= 2")
 q("graph_ports", "events", lambda e: graph.run("events | match event_type -R purchase -> $p\nevents -> $all\n$all:ISNOTSET, $p:SET | uniq user_id | subtuple event_id", {"events": e}), "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
 q("graph_labels", "events", lambda e: graph.run('events | calc "if value > 100 then label(BIG); endif;" -> $s\n$s.BIG | subtuple event_id value', {"events": e}), "SELECT event_id, value FROM events WHERE value > 100")
+q("graph_jointuple", "events", lambda e: graph.run('events | match event_type -R purchase -> $l\nevents | match event_type -R error | subtuple user_id event_id value -> $r\n$l:LEFT, $r:RIGHT | jointuple -K user_id -L event_type -R value', {"events": e}), """
+WITH e AS (SELECT user_id, event_id, value, event_type = 'purchase' AS l FROM events WHERE event_type IN ('purchase', 'error')),
+a AS (SELECT *, CASE WHEN lag(l) OVER w <> l THEN 0 ELSE 1 END AS new, lag(value) OVER w AS pv FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS nth FROM b)
+SELECT user_id, event_id, 'purchase' AS event_type, CASE WHEN l THEN pv ELSE value END AS value FROM c WHERE nth % 2 = 0""")
+q("graph_flush", "events", lambda e: graph.run("events | match event_type -R purchase | flush -C 10 | subtuple event_id epoch", {"events": e}), "SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 10 AS epoch FROM events WHERE event_type = 'purchase'")
+q("graph_dates", "events", lambda e: graph.run('events | calc "A = parseDate(http); B = parseDate(us); C = parseDate(none); D = cast(int, A); E = cast(int, B);" | subtuple event_id D E', {"events": e.select("event_id", F.date_format(F.date_trunc("second", "ts"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("http"), F.date_format(F.date_trunc("second", "ts"), "MM/dd/yyyy hh:mm:ss a").alias("us"), F.lit("no date").alias("none"))}), "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS D, CAST(floor(epoch(ts)) AS BIGINT) AS E FROM events")
+q("graph_epochs", "events", lambda e: graph.run('events | calc "if event_type == \\"error\\" then flush; endif;" | subtuple event_id epoch', {"events": e}), "SELECT event_id, CAST(sum((event_type = 'error')::INT) OVER (ORDER BY event_id) AS BIGINT) - (event_type = 'error')::INT AS epoch FROM events")
+q("graph_counts", "events", lambda e: graph.run('events -> $all\nevents | match event_type -R purchase -> $q\n$all, $q:QUERY | keycount user_id | subtuple event_id COUNT', {"events": e}), "SELECT event_id, COUNT FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS COUNT FROM events) WHERE event_type = 'purchase' AND COUNT > 0")
+
+
+def _patterns(e: DataFrame) -> DataFrame:
+    spark, path = e.sparkSession, scratch(e.sparkSession)
+    spark.createDataFrame([("# kinds",), ('"purch" (BUY)',), ('"\\x65rror" (BAD)',), ("{76 69 65 77} (VIEW)",)], "value string").coalesce(1).write.text(path)
+    tagged = graph.run(f"events -> $e\n$e:TAG | match event_type -F {path}", {"events": e})
+    return tagged.select("event_id", F.array_join("MATCHES", ",").alias("found"))
+
+
+q("graph_patterns", "events", _patterns, "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'BUY' WHEN 'error' THEN 'BAD' WHEN 'view' THEN 'VIEW' ELSE '' END AS found FROM events")
 QUERIES["stream_windows"] = lambda spark, d: replay.collect(replay.window_counts(replay.stream(spark, f"{d}/events.parquet"), "1 hour"), "complete")
 SQL["stream_windows"] = "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 QUERIES["stream_uniqexpire"] = lambda spark, d: replay.collect(stateful.apply(replay.stream(spark, f"{d}/events.parquet").select("event_id", "user_id", "ts"), "user_id", stateful.uniq_expire(86400)).select("event_id"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decode, magic, strings, structured
 from ..operators import aggregates, filters, joins, keyed, shape, sorts
-from ..sources import datagrams, readers, records
+from ..sources import datagrams, patterns, readers, records, writers
 from ..streaming import stateful
 
 
@@ -75,6 +75,7 @@ class Entry:
     options: str  # letters; a colon follows those that take a value
     run: Callable[[Call], DataFrame]
     aliases: tuple[str, ...] = ()
+    refused: str = ""  # options that would change the result and aren't available
 
     def takes_value(self, letter: str) -> bool | None:
         """None for an unknown option."""
@@ -85,11 +86,11 @@ class Entry:
 ENTRIES: dict[str, Entry] = {}
 
 
-def entry(names: str, options: str = ""):
+def entry(names: str, options: str = "", refused: str = ""):
     name, *aliases = names.split()
 
     def put(run: Callable[[Call], DataFrame]):
-        e = Entry(name, options, run, tuple(aliases))
+        e = Entry(name, options, run, tuple(aliases), refused)
         for n in (name, *aliases):
             ENTRIES[n] = e
         return run
@@ -141,22 +142,60 @@ def _timestamp(c: Call) -> DataFrame:
 entry("haslabel order", "ANm:")(lambda c: filters.has_label(c.any, [a for a in c.args if a != "NOT"], c.has("A"), c.has("N") or c.port == "NOT" or "NOT" in c.args, c.int("m")))
 entry("match_uint matchu uintmatch uintcmp cmpuint", "e:n:g:l:L:")(lambda c: filters.match_uint(c.any, c.args[0], c.int("e"), c.int("n"), c.int("g"), c.int("l"), c.port))
 entry("equal", "L:")(lambda c: filters.equal(c.any, c.args, c.port))
-entry("match stringmatch aho", "IL:U:F:R:t:B:S:1")(lambda c: filters.match(c.any, c.args, [str(c.get("R"))], c.has("I"), c.port, c.has("1"), str(c.get("L", "MATCHES")), c.get("U")))
-entry("fixedmatch fmatch rightmatch", "L:F:R:P:e")(lambda c: filters.fixed_match(c.any, c.args[0], {str(c.get("R")): str(c.get("L", "MATCH"))}, c.int("P", 0), c.has("e"), c.port))
-entry("exactmatch ematch", "F:L:M:R:U:O:E:")(lambda c: filters.exact_match(c.any, c.args[0], [str(c.get("R"))], c.port))
+def _given(c: Call, default: str, escapes: bool = True) -> list[patterns.Pattern]:
+    """The patterns of -R and of the file -F; there must be one."""
+    label = str(c.get("L", default))
+    out = [patterns.Pattern(patterns.unescape(str(c.get("R"))), label, c.int("O", c.int("o", 0)), c.has("e") or c.has("E"))] if c.has("R") else []
+    if c.has("F"):
+        out += [patterns.Pattern(p.text, p.label or label, p.offset, p.at_end) for p in patterns.labelled(_spark(), str(c.get("F")), escapes)]
+    if not out:
+        raise ValueError("no pattern: give one with -R or a file with -F")
+    return out
+
+
+@entry("match stringmatch aho", "IL:U:F:R:t:B:S:1", refused="BS")
+def _match(c: Call) -> DataFrame:
+    given = {p.text: p.label for p in _given(c, "MATCH")}
+    return filters.match(c.any, c.args or [f.name for f in c.any.schema if f.dataType.simpleString() == "string"], given, c.has("I"), c.port, c.has("1"), "MATCHES", c.get("U"))
+
+
+@entry("fixedmatch fmatch rightmatch", "L:F:R:PeEo:O:")
+def _fixedmatch(c: Call) -> DataFrame:
+    return filters.fixed_match(c.any, c.args[0], [(p.text, p.label, p.offset, p.at_end) for p in _given(c, "FMATCH")], port=c.port)
+
+
+@entry("exactmatch ematch", "F:L:M:R:U:O:E:J:", refused="OE")
+def _exactmatch(c: Call) -> DataFrame:
+    values = [patterns.unescape(str(c.get("R")))] if c.has("R") else []
+    if c.has("F"):
+        values += [patterns.unescape(x) for x in patterns.lines(_spark(), str(c.get("F")))]
+    if not values:
+        raise ValueError("no value: give one with -R or a file with -F")
+    return filters.exact_match(c.any, c.args[0], values if len(values) <= 1000 else _spark().createDataFrame([(v,) for v in values], "v string"), c.port, str(c.get("L", "MATCH")))
+
+
+@entry("dpu tdpu tpu", "L:F:BPD:")
+def _dpu(c: Call) -> DataFrame:
+    """-F: a file of labelled regular expressions, of bare ones with -B."""
+    path = str(c.get("F"))
+    found = patterns.lines(_spark(), path) if c.has("B") else [p.text for p in patterns.labelled(_spark(), path, False)]
+    if not found:
+        raise ValueError(f"no pattern in {path}")
+    return filters.first_pattern(c.df, c.args[0], found, str(c.get("L", "PATTERN")), c.has("P"))
+
+
 entry("re2 rex", "R:L:TSN:")(lambda c: filters.regex(c.df, c.args[0], str(c.get("R")), str(c.get("L", "")).split(), c.has("T"), c.get("N")))
-entry("dpu tdpu tpu", "L:F:BPD:")(lambda c: filters.first_pattern(c.df, c.args[0], str(c.get("F")).split(), str(c.get("L", "PATTERN")), c.has("P")))
 entry("sample", "Fp:t:")(lambda c: filters.sample(c.df, c.float("p"), 0, duration(str(c.get("t"))) if c.has("t") else None, c.time, c.order))
 entry("flush", "t:C:N")(lambda c: filters.flush_epochs(c.df, c.order, c.int("C"), c.time, duration(str(c.get("t"))) if c.has("t") else None))
 
 # joins
-entry("jointuple join jointuples", "J:j:K:L:R:M:")(lambda c: joins.join(c.inputs["LEFT"], c.inputs["RIGHT"], c.key, str(c.get("L")).split() if c.has("L") else None, str(c.get("R")).split() if c.has("R") else None))
+entry("jointuple join jointuples", "J:j:K:L:R:M:")(lambda c: joins.join_once_flat(c.inputs["LEFT"], c.inputs["RIGHT"], c.key, c.order, str(c.get("L")).split() if c.has("L") else None, str(c.get("R")).split() if c.has("R") else None))
 entry("mergetuple", "J:K:DC:N:M:")(lambda c: keyed.merge(c.df, c.key, c.args, str(c.get("C", "")).split(), c.int("N", 2), c.has("D"), c.order))
 entry("appendfirstitem appendfirst", "J:V:N:")(lambda c: keyed.append_first(c.any, c.args[0], str(c.get("V")), c.port, c.order))
 entry("appendlast appendlastitem", "J:V:AL:N:")(lambda c: keyed.append_last(c.df, c.args[0], str(c.get("V")), c.has("A"), str(c.get("L", "LAST")), c.order))
 
 
-@entry("lastn appendlastn lastn_shared appendlastn_shared", "J:F:L:lM:N:n:V:E:O:")
+@entry("lastn appendlastn lastn_shared appendlastn_shared", "J:F:L:lM:N:n:V:E:O:", refused="FEO")
 def _lastn(c: Call) -> DataFrame:
     key, value, n, prefix = c.args[0], str(c.get("V") or c.args[1]), c.int("N", c.int("n", 1)), str(c.get("L", "LASTN"))
     for port in ("QUERY", "FILTER"):
@@ -174,11 +213,20 @@ def _keeplast(c: Call) -> DataFrame:
 
 
 entry("keepn", "J:fcn:N:V:M:")(lambda c: keyed.keep_n(c.df, c.args[0], str(c.get("V")), c.int("N", c.int("n", 5)), c.has("f"), c.has("N"), c.has("c"), c.order))
-entry("keycount countkey", "J:PM:L:R")(lambda c: aggregates.key_count(c.df, c.args[0], c.has("P"), name=str(c.get("L", "COUNT"))))
+@entry("keycount countkey", "J:PM:L:R")
+def _keycount(c: Call) -> DataFrame:
+    """On port QUERY: rows with the count that the main port's earlier rows have given their key."""
+    name = str(c.get("L", "COUNT"))
+    if "QUERY" not in c.inputs:
+        return aggregates.key_count(c.df, c.args[0], c.has("P"), name=name)
+    tagged = joins.union(c.df.withColumn("_port", F.lit(1)), c.inputs["QUERY"].withColumn("_port", F.lit(0)))
+    return keyed.running_count(tagged, c.args[0], F.col("_port") == 0, name, [c.order, "_port"]).drop("_port")
+
+
 entry("keyadd", "V:PM:L:C:R")(lambda c: aggregates.key_add(c.df, c.args[0], str(c.get("V")).split(), c.has("P")))
 entry("keyaverage", "V:M:L:S:C:R")(lambda c: aggregates.key_average(c.df, c.args[0], str(c.get("V"))))
 entry("keyvariance varkey", "J:K:V:L:M:FW:S")(lambda c: aggregates.key_variance(c.df, c.key, str(c.get("V")), c.has("F"), c.has("S"), c.int("W"), c.order))
-entry("labelstat statlabel", "J:F:O:M:o")(lambda c: aggregates.label_stat(c.df))
+entry("labelstat statlabel", "J:F:O:M:o", refused="FO")(lambda c: aggregates.label_stat(c.df))
 entry("heavyhitters", "1V:L:RN:M:S")(lambda c: aggregates.heavy_hitters(c.df, c.args[0], c.int("N", 10), c.get("V"), str(c.get("L", "ACC"))))
 entry("top", "N:r")(lambda c: aggregates.top(c.df, c.args[0], c.int("N", 10), c.has("r")))
 entry("groupevents", "n:C:V:L:1:M:G")(lambda c: aggregates.group_events(c.df, c.args[0], str(c.get("C")), str(c.get("V", "")).split(), str(c.get("1", "")).split(), c.int("n"), c.order))
@@ -196,7 +244,7 @@ def _cntquery(c: Call) -> DataFrame:
 
 
 # keyed analytics
-@entry("firstn first firstn_shared first_shared", "J:F:O:n:N:M:E:C:")
+@entry("firstn first firstn_shared first_shared", "J:F:O:n:N:M:E:C:", refused="FO")
 def _firstn(c: Call) -> DataFrame:
     n = c.int("N", c.int("n", 10))
     if c.has("E"):
@@ -204,7 +252,7 @@ def _firstn(c: Call) -> DataFrame:
     return keyed.first_n(c.df, c.args[0], n, c.get("C"), c.order)
 
 
-@entry("untiln until", "J:F:O:n:N:M:E:")
+@entry("untiln until", "J:F:O:n:N:M:E:", refused="FO")
 def _untiln(c: Call) -> DataFrame:
     n = c.int("N", c.int("n", 10))
     if c.has("E"):
@@ -214,7 +262,7 @@ def _untiln(c: Call) -> DataFrame:
 
 
 
-@entry("uniq unique uniq_shared unique_shared", "J:p:M:ok:iO:L:T:S:")
+@entry("uniq unique uniq_shared unique_shared", "J:p:M:ok:iO:L:T:S:", refused="pOTS")
 def _uniq(c: Call) -> DataFrame:
     for port in ("ISSET", "ISNOTSET", "QUERY", "INVQUERY"):
         if port in c.inputs:
@@ -222,16 +270,16 @@ def _uniq(c: Call) -> DataFrame:
     return keyed.uniq(c.any, c.args, c.port, order=c.order)
 
 
-entry("bloom bloomuniq", "p:L:M:R:O:F:")(lambda c: keyed.bloom_uniq(c.df, c.args, c.order))
-entry("uniqexpire expireuniq", "J:F:O:t:L:M:")(lambda c: stateful.apply(c.df, c.args[0], stateful.uniq_expire(duration(str(c.get("t", "60"))), c.time), c.order))
-entry("keyarrival arrival keyseq keysequence", "L:F:O:M:")(lambda c: keyed.arrival(c.df, c.args[0], str(c.get("L", "ARRIVAL")), c.order))
+entry("bloom bloomuniq", "p:L:M:R:O:F:", refused="OF")(lambda c: keyed.bloom_uniq(c.df, c.args, c.order))
+entry("uniqexpire expireuniq", "J:F:O:t:L:M:", refused="FO")(lambda c: stateful.apply(c.df, c.args[0], stateful.uniq_expire(duration(str(c.get("t", "60"))), c.time), c.order))
+entry("keyarrival arrival keyseq keysequence", "L:F:O:M:", refused="FO")(lambda c: keyed.arrival(c.df, c.args[0], str(c.get("L", "ARRIVAL")), c.order))
 entry("keydiff keyabsolutediff diff absolutediff adiff keyabsdiff", "V:M:L:")(lambda c: keyed.diff(c.df, c.args[0], str(c.get("V")), c.order))
 entry("keyEWMA keyEMA keyewma keyema exponentialmovingaverage keyexpmovavg", "V:a:M:L:Q:")(lambda c: keyed.ewma(c.df, c.args[0], str(c.get("V")), c.float("a", 0.05), c.order))
 entry("keyrate", "t:m:x:M:L:V:")(lambda c: keyed.rate(c.df, c.args[0], c.time, duration(str(c.get("t", "60"))), c.get("V"), c.float("m", 10000 if c.has("V") else 3), c.float("x"), c.order))
 entry("keytrans", "V:M:L:fF")(lambda c: keyed.transitions(c.df, c.args[0], c.time, c.get("V"), c.has("f") or c.has("F"), str(c.get("L", "TIMEDIFF")), c.order))
-entry("keyflow", "J:t:s:L:M:F:O:")(lambda c: keyed.flow(c.df, c.args[0], c.time, duration(str(c.get("t", "60"))), c.int("s"), str(c.get("L", "session")), c.order))
-entry("keytime keyoccur", "J:j:o:r:O:L:M:N:F:P:")(lambda c: keyed.key_time(c.df, c.args[0], c.time, c.float("r", 0), c.float("o", 3600), order=c.order))
-entry("keysort sortkey groupsort sortgroup", "V:n:M:")(lambda c: sorts.key_sort(c.df, c.args[0], str(c.get("V"))))
+entry("keyflow", "J:t:s:L:M:F:O:", refused="FO")(lambda c: keyed.flow(c.df, c.args[0], c.time, duration(str(c.get("t", "60"))), c.int("s"), str(c.get("L", "session")), c.order))
+entry("keytime keyoccur", "J:j:o:r:O:L:M:N:F:P:", refused="OFNP")(lambda c: keyed.key_time(c.df, c.args[0], c.time, c.float("r", 0), c.float("o", 3600), str(c.get("L", "AGE")), c.order))
+entry("keysort sortkey groupsort sortgroup", "V:n:M:", refused="n")(lambda c: sorts.key_sort(c.df, c.args[0], str(c.get("V"))))
 entry("periodic", "b:c:t:T:x:y:M:L:")(lambda c: stateful.apply(c.df, c.args[0], stateful.periodic(c.int("b", 4), c.int("c", 4), c.float("x", 0.1), c.float("t", 1000) / 1000, c.time), c.order))
 entry("persist", "b:c:t:T:L:")(lambda c: keyed.persist(c.df, c.args[0], c.time, max(1, int(c.float("t", 3_600_000) / 1000)), c.int("b", 16), c.int("c", 4), c.order))
 entry("onlyafter afteronly", "A:nxM:")(lambda c: keyed.only_after(c.df, c.args[0], F.array_contains(F.coalesce(F.col(shape.LABELS), F.array().cast("array<string>")), str(c.get("A"))) if shape.LABELS in c.df.columns else F.col(str(c.get("A"))).isNotNull(), c.has("n"), c.order))
@@ -239,7 +287,7 @@ entry("keyadd_initial", "V:l:L:M:")(lambda c: keyed.add_initial(c.df, c.args[0],
 entry("countfilter freqfilter probfilter heavyfilter", "P:M:")(lambda c: stateful.apply(c.df, c.args[0], stateful.thinning(c.float("P", 2.0), 0, c.args[0], c.order), c.order))
 
 
-@entry("stateclimb", "J:T:C:c:RsM:F:O:")
+@entry("stateclimb", "J:T:C:c:RsM:F:O:", refused="FO")
 def _stateclimb(c: Call) -> DataFrame:
     """Arguments: the key, then MEMBER=weight: the weight counts when the member is present."""
     weights = dict((m, float(w)) for m, _, w in (a.partition("=") for a in c.args[1:]))
@@ -282,6 +330,8 @@ def _strlen(c: Call) -> DataFrame:
 @entry("editdistance levenshtein editdist", "S:K:L:B:M:")
 def _edit(c: Call) -> DataFrame:
     if c.has("K"):
+        if not c.df.isStreaming:
+            return keyed.edit_distance(c.df, c.key, c.args[0], c.order)
         return stateful.apply(c.df, c.key, stateful.edit_distance_of_key(c.args[0]), c.order)
     return c.df.withColumn("EDITDISTANCE", strings.edit_distance(c.args[0], F.lit(str(c.get("S"))))).withColumn("EDITNORM", strings.edit_norm(c.args[0], F.lit(str(c.get("S")))))
 
@@ -295,11 +345,13 @@ entry("print pmeta p", "s:SXO:w:A:LHVTJ12bE:t:v:Dm:d:f")(lambda c: structured.qu
 entry("metadice metaout metaprint printmeta", "s:m:t:v:Vw:E:")(lambda c: c.df.select(strings.line(c.args or c.df.columns, str(c.get("s", "|")), c.has("V")).alias("line")))
 
 
-@entry("calc math icalc", "F:MNRS")
+@entry("calc math icalc mathwscalc", "FM:NRS:")
 def _calc(c: Call) -> DataFrame:
+    """-S: a script file, run before the script that is given; -N: only the last values of keyed variables."""
     from .calc import calc
 
-    return calc(c.df, open(str(c.get("F"))).read() if c.has("F") else " ".join(c.args), c.order)
+    scripts = ["\n".join(r[0] for r in _spark().read.text(str(c.get("S")), wholetext=True).collect())] if c.has("S") else []
+    return calc(c.df, "\n".join([*scripts, " ".join(c.args)]), c.order, c.has("N"))
 
 
 # decoders and packets
@@ -321,15 +373,44 @@ def _redis(c: Call) -> DataFrame:
     return joins.lookup(c.inputs.get("GET", c.inputs.get("")), store, key, value, str(c.get("L", "VALUE")))
 
 
+# sinks: they write when the pipeline is built and pass their input on
+@entry("kafka_out", "b:t:p:K:L:o:")
+def _kafka_out(c: Call) -> DataFrame:
+    """Publishes the member that is named, with -K as key, to the topic -t of the brokers -b (a stream: -o names its checkpoint folder)."""
+    writers.kafka(c.df, str(c.get("b")), str(c.get("t")), c.args[0], c.get("K"), checkpoint=c.get("o"))
+    return c.df
+
+
+@entry("writebuffer", "o:N:L:")
+def _writebuffer(c: Call) -> DataFrame:
+    """Every value of the member that is named as a file in the folder -o, called by -N (default: the order)."""
+    writers.buffer_files(c.df, c.args[0], str(c.get("N", c.order)), str(c.get("o")))
+    return c.df
+
+
+@entry("tcpthrow", "h:p:")
+def _tcpthrow(c: Call) -> DataFrame:
+    """Every value of the member that is named as a frame to a server."""
+    writers.frames(c.df, c.args[0], str(c.get("h", "127.0.0.1")), c.int("p"))
+    return c.df
+
+
+@entry("wsproto_out", "o:w:")
+def _wsproto_out(c: Call) -> DataFrame:
+    """The records as container files in the folder -w."""
+    writers.buffer_files(records.containers(c.df, shape.LABELS if shape.LABELS in c.df.columns else None), "DATA", "FILE", str(c.get("w", c.get("o"))), ".pb2")
+    return c.df
+
+
 # sources: operators without an input
 SOURCES: dict[str, Entry] = {}
 
 
-def source(names: str, options: str = ""):
+def source(names: str, options: str = "", refused: str = ""):
     def put(run: Callable[[Call], DataFrame]):
         name, *aliases = names.split()
         for n in (name, *aliases):
-            SOURCES[n] = Entry(name, options, run, tuple(aliases))
+            SOURCES[n] = Entry(name, options, run, tuple(aliases), refused)
         return run
 
     return put
@@ -339,14 +420,14 @@ def _spark() -> SparkSession:
     return SparkSession.getActiveSession()
 
 
-source("csv_in", "d:F:r:iIlP:ps:t:NX")(lambda c: readers.csv_lines(_spark(), str(c.get("r")), c.args, str(c.get("d", c.get("s", ","))), not c.has("N"), stream=c.has("P")))
+source("csv_in", "d:F:r:iIlP:ps:t:NX", refused="FIlpt")(lambda c: readers.csv_lines(_spark(), str(c.get("r")), c.args, str(c.get("d", c.get("s", ","))), not c.has("N"), stream=c.has("P")))
 source("file_in", "F:mL:")(lambda c: readers.files(_spark(), str(c.get("F")), c.has("m")))
-source("exec_in", "R:ISL:")(lambda c: readers.process(_spark(), c.args, str(c.get("R", "\n")), str(c.get("L", "BUFFER"))))
+source("exec_in", "R:ISL:", refused="I")(lambda c: readers.process(_spark(), c.args, str(c.get("R", "\n")), str(c.get("L", "BUFFER"))))
 source("time_in", "o:s:e:")(lambda c: readers.clock(_spark(), str(c.get("s")), str(c.get("e")), duration(c.args[0]) if c.args else 60, c.int("o", 0)) if c.has("s") else readers.ticks(_spark(), duration(c.args[0]) if c.args else 60))
 source("source_keygen", "a:flm:c:s:u:")(lambda c: readers.key_generator(_spark(), c.int("c", 1000), int(str(c.get("m", (1 << 63) - 1)), 0), c.int("s", 0), c.int("a", 0)))
 source("pcapin pcap pcap_in", "i:r:g")(lambda c: decode.pcap(readers.files(_spark(), str(c.get("r"))), group_ports=c.has("g")))
 source("kafka_in kafka_multi_in", "b:p:L:g:SX:V")(lambda c: readers.kafka(_spark(), str(c.get("b")), ",".join(c.args)))
-source("pb2in pb2_filein", "ims:Br:")(lambda c: records.read(readers.files(_spark(), str(c.get("r")))))
+source("pb2in pb2_filein wsproto_in", "ims:Br:", refused="ims")(lambda c: records.read(readers.files(_spark(), str(c.get("r")))))
 
 
 @source("syslog_udp_in syslogudp syslog_udp udp_syslog udpsyslog udpgen_in udpgen_in_buf", "U:Bbn:")
@@ -355,7 +436,14 @@ def _udp(c: Call) -> DataFrame:
     return _spark().readStream.format("udp").option("port", str(c.get("U"))).load()
 
 
-@source("tcpcatch syslog_tcp_in syslog_tcp syslogtcp tcp_in", "s:h:p:wbP:B:I:")
+@source("tcpcatch", "s:h:p:wbP:B:I:", refused="wbB")
+def _tcpcatch(c: Call) -> DataFrame:
+    """Length-prefixed frames of a TCP peer."""
+    datagrams.register(_spark())
+    return _spark().readStream.format("frames").option("host", str(c.get("h", "127.0.0.1"))).option("port", str(c.get("p", c.get("P")))).load()
+
+
+@source("syslog_tcp_in syslog_tcp syslogtcp tcp_in tls_in syslog_tls", "s:h:p:wbP:B:I:")
 def _tcp(c: Call) -> DataFrame:
     return readers.socket_lines(_spark(), str(c.get("h", "127.0.0.1")), int(str(c.get("p", c.get("P")))))
 

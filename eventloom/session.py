@@ -47,6 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/eventloom-{uuid.uuid4().hex}"
+
+
 #: Spark then deletes a query's shuffle files when it has ended; a written table needs them no more.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -54,7 +59,7 @@ _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/eventloom-{uuid.uuid4().hex}"
+    path = scratch(spark)
     before = spark.conf.get(_TIDY, None)
     spark.conf.set(_TIDY, "true")
     try:

@@ -50,9 +50,13 @@ def files(spark: SparkSession, path: str, metadata: bool = True, pattern: str |
 
 def process(spark: SparkSession, command: Sequence[str], separator: str = "\n", name: str = "BUFFER", most_bytes: int = 64 << 20) -> DataFrame:
     """The output of a program run on the driver, split into rows; for outputs of at most ``most_bytes``."""
-    out = subprocess.run(list(command), capture_output=True, check=True).stdout
-    if len(out) > most_bytes:
-        raise ValueError(f"the program wrote more than {most_bytes} bytes; let tasks read a file instead")
+    with subprocess.Popen(list(command), stdout=subprocess.PIPE) as p:
+        out = p.stdout.read(most_bytes + 1)
+        if len(out) > most_bytes:
+            p.kill()
+            raise ValueError(f"the program wrote more than {most_bytes} bytes; let tasks read a file instead")
+    if p.returncode:
+        raise subprocess.CalledProcessError(p.returncode, list(command))
     parts = out.decode(errors="replace").split(separator)
     if parts and parts[-1] == "":
         parts.pop()
@@ -68,10 +72,41 @@ def through_process(df: DataFrame, member: str, command: Sequence[str], name: st
     argv = list(command)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = "".join(f"{v}\n" for v in b.column(0).to_pylist() if v is not None)
-            out = subprocess.run(argv, input=text.encode(), capture_output=True, check=True).stdout.decode(errors="replace")
-            yield pa.RecordBatch.from_arrays([pa.array(out.splitlines(), pa.string())], names=[name])
+        import threading
+
+        failed: list[BaseException] = []
+
+        def feed(p: subprocess.Popen) -> None:
+            try:
+                for b in batches:
+                    p.stdin.writelines(f"{v}\n".encode() for v in b.column(0).to_pylist() if v is not None)
+            except BrokenPipeError:  # the program has read enough
+                pass
+            except BaseException as e:  # told to the reader below
+                failed.append(e)
+            finally:
+                try:
+                    p.stdin.close()
+                except BrokenPipeError:
+                    pass
+
+        # one program a partition: what it reads and writes passes through, neither is held
+        with subprocess.Popen(argv, stdin=subprocess.PIPE, stdout=subprocess.PIPE) as p:
+            feeder = threading.Thread(target=feed, args=(p,), daemon=True)
+            feeder.start()
+            held: list[str] = []
+            for line in p.stdout:
+                held.append(line.decode(errors="replace").rstrip("\n"))
+                if len(held) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=[name])
+                    held = []
+            feeder.join()
+            if failed:
+                raise failed[0]
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=[name])
+        if p.returncode:
+            raise subprocess.CalledProcessError(p.returncode, argv)
 
     return df.select(F.col(member).cast("string")).mapInArrow(run, f"{name} string")
 

@@ -50,6 +50,20 @@ def buffers(df: DataFrame, member: str, name: str, write: Callable[[str, bytes],
     return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def buffer_files(df: DataFrame, member: str, name: str, folder: str, suffix: str = ".buffer") -> int:
+    """``buffers`` as files in a folder that the executors share, a path or a URI that pyarrow knows."""
+
+    def write(key: str, raw: bytes) -> None:
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        where.create_dir(base, recursive=True)
+        with where.open_output_stream(f"{base}/{key.removesuffix('.buffer').replace('/', '_')}{suffix}") as out:
+            out.write(raw)
+
+    return buffers(df, member, name, write)
+
+
 def kafka(df: DataFrame, brokers: str, topic: str, value: str, key: str | None = None, options: dict[str, str] | None = None, checkpoint: str | None = None):
     """Publishes a member, with another one as key. Needs Spark's Kafka package. A stream needs a checkpoint folder and gives its query."""
     rows = df.select(*([F.col(key).cast("string").alias("key")] if key else []), F.col(value).cast("binary").alias("value"))

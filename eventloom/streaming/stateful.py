@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -16,10 +17,22 @@ from ..session import ship
 Step = Callable[[object, dict], tuple[object, tuple | None]]
 
 
-def run_keyed(df: DataFrame, key: str, start: Callable[[], object], step: Step, made: str, order: str = "event_id") -> DataFrame:
+class Operator(NamedTuple):
+    """A fold over each key's rows: see ``run_keyed``; ``needs``: the members that ``step`` reads (None: all); ``expires``: the
+    time (epoch seconds) after which a state is as good as none, given the state."""
+
+    start: Callable[[], object]
+    step: Step
+    made: str
+    needs: tuple[str, ...] | None = None
+    expires: Callable[[object], float | None] | None = None
+
+
+def run_keyed(df: DataFrame, key: str, start: Callable[[], object], step: Step, made: str, order: str = "event_id", needs: tuple[str, ...] | None = None) -> DataFrame:
     """Folds ``step(state, row) -> (state, new values or None to drop the row)`` over each key's rows in order.
 
-    Rows stream through partitions dealt by key and sorted, so a task holds one key's state, never its rows.
+    Rows stream through partitions dealt by key and sorted, so a task holds one key's state, never its rows; only the
+    members in ``needs`` become Python values.
     """
     ship(df.sparkSession)
     extra = T._parse_datatype_string(made)
@@ -29,11 +42,11 @@ def run_keyed(df: DataFrame, key: str, start: Callable[[], object], step: Step,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, now, begun = None, None, False
         for b in batches:
-            rows = b.to_pylist()
+            rows = (b if needs is None else b.select(list(dict.fromkeys(needs)))).to_pylist()
             keep, values = [], []
-            for i, r in enumerate(rows):
-                if not begun or r[key] != now:
-                    state, now, begun = start(), r[key], True
+            for i, (r, k) in enumerate(zip(rows, b.column(key).to_pylist(), strict=True)):
+                if not begun or k != now:
+                    state, now, begun = start(), k, True
                 state, v = step(state, r)
                 if v is not None:
                     keep.append(i)
@@ -53,13 +66,20 @@ def _arrow(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
-def run_stream(df: DataFrame, key: str, start: Callable[[], object], step: Step, made: str, order: str = "event_id", timeout: str = "NoTimeout") -> DataFrame:
-    """``run_keyed`` on a stream: the state lives in the state store, rows are ordered within a micro-batch."""
+def run_stream(df: DataFrame, key: str, start: Callable[[], object], step: Step, made: str, order: str = "event_id", expires: Callable[[object], float | None] | None = None) -> DataFrame:
+    """``run_keyed`` on a stream: the state lives in the state store, rows are ordered within a micro-batch.
+
+    With ``expires`` on a stream with a watermark a key's state is dropped once the watermark has passed the time it gives.
+    """
+    timed = expires is not None and any("spark.watermarkDelayMs" in f.metadata for f in df.schema)
     extra = T._parse_datatype_string(made)
     out = T.StructType([*df.schema.fields, *extra.fields])
     names = df.columns
 
     def run(_key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = pickle.loads(state.get[0]) if state.exists else start()
         for pdf in [pd.concat(list(frames), ignore_index=True)]:
             pdf = pdf.sort_values(order, kind="stable")
@@ -70,18 +90,20 @@ def run_stream(df: DataFrame, key: str, start: Callable[[], object], step: Step,
                     keep.append(i)
                     values.append(v)
             state.update((pickle.dumps(held),))
+            if timed and (at := expires(held)) is not None:
+                state.setTimeoutTimestamp(max(int(at * 1000) + 1, state.getCurrentWatermarkMs() + 1))
             res = pdf.loc[keep, names].reset_index(drop=True)
             for k, f in enumerate(extra):
                 res[f.name] = [v[k] for v in values]
             yield res
 
-    return df.groupBy(key).applyInPandasWithState(run, out, "state binary", "append", timeout)
+    return df.groupBy(key).applyInPandasWithState(run, out, "state binary", "append", "EventTimeTimeout" if timed else "NoTimeout")
 
 
 # ---- step functions ----
 
 
-def uniq_expire(seconds: float, time: str = "ts") -> tuple:
+def uniq_expire(seconds: float, time: str = "ts") -> Operator:
     """A key passes if it is new or the expiry set when it last passed is over; repeats don't extend it."""
 
     def step(state, row):
@@ -90,10 +112,10 @@ def uniq_expire(seconds: float, time: str = "ts") -> tuple:
             return now + seconds, ()
         return state, None
 
-    return lambda: None, step, ""
+    return Operator(lambda: None, step, "", (time,), lambda state: state)
 
 
-def first_n_expire(n: int, seconds: float, time: str = "ts") -> tuple:
+def first_n_expire(n: int, seconds: float, time: str = "ts") -> Operator:
     """The first n rows of a key; counting starts again once ``seconds`` have passed since the first one."""
 
     def step(state, row):
@@ -103,21 +125,21 @@ def first_n_expire(n: int, seconds: float, time: str = "ts") -> tuple:
         state = (state[0] + 1, state[1])
         return state, ((state[0],) if state[0] <= n else None)
 
-    return lambda: None, step, "COUNT long"
+    return Operator(lambda: None, step, "COUNT long", (time,), lambda state: state and state[1])
 
 
-def until_n_expire(n: int, seconds: float, time: str = "ts") -> tuple:
+def until_n_expire(n: int, seconds: float, time: str = "ts") -> Operator:
     """The rows of a key after the first n; counting starts again once ``seconds`` have passed since the first one."""
-    start, first, _ = first_n_expire(n, seconds, time)
+    counted = first_n_expire(n, seconds, time)
 
     def step(state, row):
-        state, passed = first(state, row)
+        state, passed = counted.step(state, row)
         return state, None if passed is not None else ()
 
-    return start, step, ""
+    return counted._replace(step=step, made="")
 
 
-def clamped_climb(weight: Callable[[dict], float], threshold: float = 10, high: float = 100, low: float = -100, reset: bool = False, tag: bool = False) -> tuple:
+def clamped_climb(weight: Callable[[dict], float], threshold: float = 10, high: float = 100, low: float = -100, reset: bool = False, tag: bool = False) -> Operator:
     """A key's score, clamped after each step; rows where it exceeds the threshold before that (tag: all rows, with a flag)."""
 
     def step(state, row):
@@ -128,23 +150,23 @@ def clamped_climb(weight: Callable[[dict], float], threshold: float = 10, high:
         s = max(low, min(high, s))
         return s, ((float(s), over) if tag or over else None)
 
-    return lambda: 0.0, step, "SCORE double, CLIMB boolean"
+    return Operator(lambda: 0.0, step, "SCORE double, CLIMB boolean")
 
 
-def thinning(base: float = 2.0, seed: int = 0, key: str = "user_id", order: str = "event_id") -> tuple:
+def thinning(base: float = 2.0, seed: int = 0, key: str = "user_id", order: str = "event_id") -> Operator:
     """Probabilistic thinning: the first row of a key passes, later ones with probability base^-k after k passes. Seeded by key and row."""
     import hashlib
 
     def step(k, row):
-        h = hashlib.blake2b(f"{seed}|{row[key]}|{row[order]}".encode(), digest_size=8).digest()
-        if k == 0 or int.from_bytes(h, "little") / 2**64 < base**-k:
+        h = hashlib.md5(f"{seed}|{row[key]}|{row[order]}".encode(), usedforsecurity=False).hexdigest()
+        if k == 0 or int(h[:12], 16) / 2**48 < base**-k:
             return k + 1, (k + 1,)
         return k, None
 
-    return lambda: 0, step, "PASSES long"
+    return Operator(lambda: 0, step, "PASSES long", (key, order))
 
 
-def periodic(bins: int = 4, hits: int = 4, tolerance: float = 0.1, floor: float = 1.0, time: str = "ts") -> tuple:
+def periodic(bins: int = 4, hits: int = 4, tolerance: float = 0.1, floor: float = 1.0, time: str = "ts") -> Operator:
     """Inter-arrival times gather in at most ``bins`` most recently used bins; a bin with enough hits gives PERIOD and PERIOD_COUNT."""
 
     def step(state, row):
@@ -165,11 +187,11 @@ def periodic(bins: int = 4, hits: int = 4, tolerance: float = 0.1, floor: float
             held = [(d, 1), *held][:bins]
         return (now, held), out
 
-    return lambda: (None, []), step, "PERIOD double, PERIOD_COUNT long"
+    return Operator(lambda: (None, []), step, "PERIOD double, PERIOD_COUNT long", (time,))
 
 
-def edit_distance_of_key(value: str) -> tuple:
-    """Levenshtein distance to the key's previous value, and over the longer length."""
+def edit_distance_of_key(value: str) -> Operator:
+    """Levenshtein distance to the key's previous value, and over the longer length; for streams (tables: ``keyed.edit_distance``)."""
 
     def step(prev, row):
         v = row[value]
@@ -185,11 +207,13 @@ def edit_distance_of_key(value: str) -> tuple:
             d = e
         return v, (d[-1], d[-1] / max(1, len(v), len(prev)))
 
-    return lambda: None, step, "EDITDISTANCE long, EDITNORM double"
+    return Operator(lambda: None, step, "EDITDISTANCE long, EDITNORM double", (value,))
 
 
 def apply(df: DataFrame, key: str, operator: tuple, order: str = "event_id") -> DataFrame:
-    """One of the step functions above on a table or a stream."""
-    start, step, made = operator
+    """One of the operators above on a table or a stream."""
+    op = Operator(*operator)
     rows = df.where(F.col(key).isNotNull())
-    return run_stream(rows, key, start, step, made, order) if df.isStreaming else run_keyed(rows, key, start, step, made, order)
+    if df.isStreaming:
+        return run_stream(rows, key, op.start, op.step, op.made, order, op.expires)
+    return run_keyed(rows, key, op.start, op.step, op.made, order, op.needs)

@@ -172,3 +172,46 @@ def test_empty_inputs(e):
     none = e.limit(0)
     for df in (keyed.first_n(none, "k", 2), keyed.flow(none, "k"), keyed.ewma(none.select("event_id", "k", "v"), "k", "v"), aggregates.key_count(none, "k", pct=True), sorts.global_rank(none, ["event_id"])):
         assert df.count() == 0
+
+
+def test_counts_of_the_anomaly_benchmark(spark):
+    """Against a plain count over the generated rows."""
+    from eventloom.sources import readers
+
+    made = readers.biased_keys(spark, 4000, 100).withColumnRenamed("id", "event_id")
+    by: dict = {}
+    for r in made.orderBy("event_id").collect():
+        by.setdefault(r.KEY, []).append(r)
+    want = {"TP": 0, "FP": 0, "TN": 0, "FN": 0}
+    for own in by.values():
+        if len(own) >= 24:
+            said, true = sum(r.VALUE for r in own[:24]) < 7, own[23].BIAS != 0
+            want[("T" if said == true else "F") + ("P" if said else "N")] += 1
+    assert keyed.anomaly_benchmark(made, "KEY", "VALUE", "BIAS", 24, 7).first().asDict() == want and sum(want.values()) > 50
+
+
+def test_periods_are_found(spark):
+    rows = [(i, "a", 100 * i) for i in range(8)] + [(100 + i, "b", i * i * 37) for i in range(8)]
+    t = spark.createDataFrame(rows, "event_id long, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = stateful.apply(t, "k", stateful.periodic(4, 3, 0.05)).collect()
+    assert [(r.event_id, r.PERIOD, r.PERIOD_COUNT) for r in sorted(got, key=lambda r: r.event_id)] == [(i, 100.0, i) for i in range(3, 8)]
+
+
+def test_edit_distance_forms_agree(spark):
+    rows = [(1, "a", "kitten"), (2, "a", None), (3, "a", "sitting"), (4, "b", "x"), (5, "a", ""), (6, "b", "x"), (7, None, "y")]
+    t = spark.createDataFrame(rows, "event_id long, k string, v string")
+    cols = ("event_id", "EDITDISTANCE", "EDITNORM")
+    assert [r for r in globals()["rows"](keyed.edit_distance(t, "k", "v"), *cols)] == [r for r in globals()["rows"](stateful.apply(t, "k", stateful.edit_distance_of_key("v")), *cols)]
+
+
+def test_one_document_has_a_bound(spark):
+    assert structured.one_document(spark.range(3), ["id"], 3).first()[0] == '[{"id":"0"},{"id":"1"},{"id":"2"}]'
+    with pytest.raises(Exception, match="more than 2 records"):
+        structured.one_document(spark.range(3), ["id"], 2).collect()
+
+
+def test_places_follow_the_order(spark):
+    t = spark.range(500).select("id", (F.col("id") * 37 % 101).alias("v")).repartition(5)
+    got = {r.id: r["rank"] for r in sorts.placed(sorts.sort(t, "v", ties=["id"])).collect()}
+    want = sorted(range(500), key=lambda i: (-(i * 37 % 101), i))
+    assert [got[i] for i in want] == list(range(1, 501))

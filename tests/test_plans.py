@@ -65,9 +65,70 @@ def test_graph_macro_and_environment(df):
 
 
 def test_graph_ports(df):
-    got = graph.run("t | match k -R a -> $l\nt | subtuple event_id x -> $r\n$l:LEFT, $r:RIGHT | join -K event_id -L n -R x", {"t": df})
-    assert sorted(got.columns) == ["event_id", "n", "x"]
-    assert col(got, "n") == [7, 4]
+    got = graph.run("t | match k -R a -> $l\nt | calc \"event_id = event_id + 10;\" -> $r\n$l:LEFT, $r:RIGHT | join -K k -L n -R x", {"t": df})
+    assert sorted(got.columns) == ["event_id", "k", "n", "x"]
+    assert [(r.event_id, r.n, r.x) for r in got.collect()] == [(11, 4, 2.5)]  # once: the second left row waits, the first right one takes it
+
+
+def test_one_shot_join_of_repeated_keys(spark):
+    l, r = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (5, "a", 3)], "event_id long, k string, x int"), spark.createDataFrame([(3, "a", 10), (4, "a", 20)], "event_id long, k string, y int")
+    got = graph.run("l -> $l\nr -> $r\n$l:LEFT, $r:RIGHT | jointuple -K k", {"l": l, "r": r})
+    assert sorted((q.event_id, q.x, q.y) for q in got.collect()) == [(3, 2, 10), (5, 3, 20)]
+
+
+def test_pattern_files(spark, df, tmp_path):
+    (tmp_path / "p").write_text('# comment\n"ha" (GREET)\n"\\x77orld" (PLACE) offset=6\n{6162} (HEX)\n"ye" (END) atend\nnot a pattern\n')
+    (tmp_path / "v").write_text("# comment\nhallo world\n\nz\\x7a\n")
+    (tmp_path / "bare").write_text("^b.e$\no w\n")
+    t = spark.createDataFrame([(1, "hallo world"), (2, "abc"), (3, "bye"), (4, "zz"), (5, None), (6, "None")], "event_id long, k string")
+    ids = lambda text: sorted(r.event_id for r in graph.run(text, {"t": t}).collect())
+    assert ids(f"t | match k -F {tmp_path}/p") == [1, 2, 3] and ids(f"t | match -F {tmp_path}/p") == [1, 2, 3]
+    assert ids(f"t | match k -F {tmp_path}/p -R zz") == [1, 2, 3, 4]
+    assert ids(f"t | fixedmatch k -F {tmp_path}/p") == [1, 2, 3]
+    assert ids(f"t | exactmatch k -F {tmp_path}/v") == [1, 4] and ids(f"t | exactmatch k -F {tmp_path}/v -R abc") == [1, 2, 4]
+    assert ids(f"t | dpu k -F {tmp_path}/bare -B") == [1, 3] and ids(f"t | dpu k -F {tmp_path}/p") == [1, 2, 3]
+    tagged = graph.run(f"t -> $t\n$t:TAG | match k -F {tmp_path}/p", {"t": t})
+    assert {r.event_id: r.MATCHES for r in tagged.collect()}[1] == ["GREET", "PLACE"]
+    for text in ("t | match k", "t | fixedmatch k", "t | exactmatch k"):
+        with pytest.raises(ValueError, match="-F"):
+            graph.run(text, {"t": t})
+
+
+@pytest.mark.parametrize("text", ["t | uniq k -p 0.1", "t | firstn k -F state", "t | keysort k -V n -n 3", "t | bloom k -O state"])
+def test_options_that_would_change_the_result_are_refused(df, text):
+    with pytest.raises(graph.GraphError, match="not available"):
+        graph.run(text, {"t": df})
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Tue, 04 May 2010 04:31:27 GMT", 1272947487), ("Tue 04 May 2010 04:31:27 GMT", 1272947487), ("Tue May 04 2010 04:31:27 GMT", 1272947487), ("Tue, 04-May-2010 04:31:27 GMT", 1272947487), ("04 May 2010 04:31:27 GMT", 1272947487),
+        ("Tue May 04 04:31:27 GMT 2010", 1272947487), ("Tue May  4 04:31:27 2010", 1272947487), ("Tuesday May 4, 2010, 04:31:27", 1272947487), ("2010-05-04 04:31:27 AM", 1272947487), ("2010-05-04 04:31:27", 1272947487),
+        ("2010-05-04 04:31 pm", 1272990660), ("05/04/10 04:31 AM", 1272947460), ("05/04/2010 12:31:27 PM", 1272976287), ("2010-05-04 12:00:00 AM", 1272931200), ("no date", None), ("2010-13-04 04:31:27", None),
+    ],
+)
+def test_dates(spark, text, want):
+    t = spark.createDataFrame([(1, text)], "event_id long, s string")
+    assert calc(t, "T = parseDate(s); N = cast(int, T);").first()["N"] == want
+
+
+def test_epochs_and_last_values(spark, df, tmp_path):
+    (tmp_path / "s").write_text("#c[k]++;\n")
+    assert col(graph.run('t | calc "if n < 0 then flush; endif;"', {"t": df}), "epoch") == [0, 0, 1]
+    got = graph.run(f't | calc -S {tmp_path}/s -N "#s[k] += n;"', {"t": df})
+    assert sorted(map(tuple, got.select("k", "c", "s").collect())) == [("a", 2, 11), ("b", 1, -3)]
+    assert col(graph.run("t | match k -R a | flush -C 1", {"t": df}), "epoch") == [0, 1]
+    assert "SINCE" in graph.run("t | keytime k -L SINCE", {"t": df.withColumn("ts", F.timestamp_seconds("event_id"))}).columns
+
+
+def test_sinks_in_pipelines(df, tmp_path):
+    import os
+
+    assert graph.run(f"t | writebuffer k -o {tmp_path}/b | subtuple n", {"t": df}).count() == 3
+    assert sorted(os.listdir(tmp_path / "b")) == ["1.buffer", "2.buffer", "3.buffer"] and (tmp_path / "b" / "2.buffer").read_bytes() == b"b"
+    graph.run(f"t | subtuple event_id k | wsproto_out -w {tmp_path}/c", {"t": df})
+    assert graph.run(f"wsproto_in -r {tmp_path}/c", {}).count() == 3
 
 
 @pytest.mark.parametrize("text", ["nosource | top n", "t | nokid", "t | top n -Z 3", "$never | top n", "t | | top n", "%none($a -> $b)", "t | keycount k -L"])
@@ -89,7 +150,7 @@ def test_every_simple_operator_runs(df):
         "t | firstn k -N 1", "t | untiln k -N 1", "t | uniq k", "t | bloom k", "t | uniqexpire k -t 1m", "t | keyarrival k", "t | keydiff k -V n", "t | keyEWMA k -V n -a 0.5", "t | keyrate k -t 60 -m 1", "t | keytrans k", "t | keyflow k -t 1m",
         "t | keytime k", "t | keysort k -V n", "t | periodic k", "t | persist k -c 1", "t | onlyafter k -A x", "t | keyadd_initial k -V n -l 2", "t | countfilter k", "t | stateclimb k x=5 -T 3", "t | lastn k -V n -N 2", "t | keeplast k -V n",
         "t | keepn k -V n -n 2", "t | mergetuple n -K k", "t | appendlast k -V n -A", "t | strlen k -g 0", "t | hmac k -A sha256", "t | tr k -f a -t b", "t | splitstring k -R a", "t | editdistance k -S abc", "t | tuple2json k n", "t | print -V", "t | metadice",
-        "t | flush -C 2", "t | sample -p 1.0", "t | label L", "t | mknest k n -L N | denest N", "t | fillmissing x -V 0.5", "t | addlabelmember SITE -V here", "t | loadbalance n -N 3", "t | timestamp -L NOW", "t | filemagic k -m", "t | entropy k",
+        "t | editdistance k -K k", "t | flush -C 2", "t | sample -p 1.0", "t | label L", "t | mknest k n -L N | denest N", "t | fillmissing x -V 0.5", "t | addlabelmember SITE -V here", "t | loadbalance n -N 3", "t | timestamp -L NOW", "t | filemagic k -m", "t | entropy k",
         "t | bundle | unbundle | noop", "t | cntquery k",
     ):
         graph.run(text, {"t": df}).count()

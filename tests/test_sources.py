@@ -28,6 +28,11 @@ def test_files_and_processes(spark, tmp_path):
     assert (bytes(r.DATA), r.LENGTH) == (b"hello", 5)
     assert [r[0] for r in readers.process(spark, ["printf", "a\\nb\\n"]).collect()] == ["a", "b"]
     assert sorted(r[0] for r in readers.through_process(spark.range(3), "id", ["sed", "s/^/n/"]).collect()) == ["n0", "n1", "n2"]
+    # one program a partition, whatever the batches
+    assert [r[0].strip() for r in readers.through_process(spark.range(0, 25_000, 1, 1), "id", ["wc", "-l"]).collect()] == ["25000"]
+    assert readers.through_process(spark.range(0, 200_000, 1, 2), "id", ["cat"]).count() == 200_000
+    with pytest.raises(ValueError, match="more than 10 bytes"):
+        readers.process(spark, ["yes"], most_bytes=10)
 
 
 def test_generators(spark):
@@ -165,6 +170,19 @@ def test_streams(spark, tmp_path):
     assert counts.agg(F.sum("n")).first()[0] == 20
 
 
+def test_state_of_streams_expires(spark, tmp_path):
+    """With a watermark the store forgets keys whose time is over; the rows that pass stay the same."""
+    path = str(tmp_path / "e")
+    for n in range(4):
+        rows = [(100 * n + i, f"k{n}{i}", 10_000 + 1000 * n + i) for i in range(20)]
+        spark.createDataFrame(rows, "event_id long, k string, s long").withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(path)
+    s = replay.stream(spark, path, files_per_trigger=1).withWatermark("ts", "1 second")
+    q = stateful.apply(s, "k", stateful.uniq_expire(50)).select("event_id").writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("expiring").count() == 80
+    assert q.lastProgress.stateOperators[0].numRowsTotal <= 40  # of 80 keys
+
+
 @pytest.mark.parametrize("make", [lambda s: replay.sessions(s, "k", "30 seconds"), lambda s: replay.distinct_within(s, ["k"])])
 def test_stream_plans(spark, tmp_path, make):
     spark.createDataFrame([("a", 1)], "k string, s long").select("k", F.timestamp_seconds("s").alias("ts")).write.parquet(str(tmp_path / "t.parquet"))
