@@ -36,7 +36,7 @@ from .text import _LOWER, Lookup, Words, mix, slices
 
 U64 = np.uint64
 CLASSES, STATES, STRETCH, SLICE = 2048, 6, 128, 2 << 20
-PARTS, SETTLED = 8, 5e-4
+PARTS, SETTLED, SCALED = 8, 5e-4, 4
 END, END_HASH = CLASSES, np.int64(0x5E4D)
 HALF = 0.5
 
@@ -104,10 +104,16 @@ class Stretches:
         for t, n in self.steps():
             em = m.emit[self.c[self.begin[:n] + t]]
             x = a[:n] if t == 0 else (a[:n].reshape(n * k, k) @ m.step).reshape(n, k, k)
-            x = x * em[:, None, :]
-            s = x.sum((1, 2))
-            a[:n] = x / s[:, None, None]
-            log[:n] += np.log(s)
+            x *= em[:, None, :]
+            if t:
+                a[:n] = x
+            if t % SCALED == SCALED - 1:
+                s = x.sum((1, 2))
+                a[:n] /= s[:, None, None]
+                log[:n] += np.log(s)
+        s = a.sum((1, 2))
+        a /= s[:, None, None]
+        log += np.log(s)
         out, l2 = np.empty_like(a), np.empty_like(log)
         out[self.order], l2[self.order] = a, log
         return out, l2
@@ -141,36 +147,41 @@ class Stretches:
             after[at] = beta[own]
             x = np.einsum("nkl,nl->nk", mats[at], beta[own])
             beta[own] = x / x.sum(1, keepdims=True)
-        alpha = before[self.order]
-        alphas, ems = [], []
+        begin = alpha = before[self.order]
+        alphas, ems, sums = [], [], []
         for t, n in self.steps():
             em = m.emit[self.c[self.begin[:n] + t]]
             x = alpha[:n] @ m.step
             if t == 0:
                 x[self.first] = alpha[:n][self.first]
             x *= em
-            alpha = x / x.sum(1, keepdims=True)
+            total = x.sum(1, keepdims=True)
+            alpha = x / total
             alphas.append(alpha)
             ems.append(em)
-        b = after[self.order]
-        step, start = np.zeros((k, k)), np.zeros(k)
+            sums.append(total)
+        # beta is scaled so that alpha times beta sums up to one: the states' shares at each token
+        beta, had = after[self.order], 0
+        steps, start = np.zeros((k, k)), np.zeros(k)
         emit = np.zeros((CLASSES + 1, k))
         classes, gammas = [], []
         for t, n in reversed(list(self.steps())):
-            g = alphas[t] * b[:n]
-            g /= g.sum(1, keepdims=True)
+            beta[had:n] /= (alphas[t][had:] * beta[had:n]).sum(1, keepdims=True)
+            had = n
+            own = beta[:n]
+            g = alphas[t] * own
             classes.append(self.c[self.begin[:n] + t])
             gammas.append(g)
-            y = ems[t] * b[:n]
-            prev = alphas[t - 1][:n] if t else before[self.order][:n]
-            rows = slice(None) if t else ~self.first[:n]
-            joint = (prev[rows] @ m.step * y[rows]).sum(1)
-            step += m.step * (prev[rows].T @ (y[rows] / joint[:, None]))
-            if t == 0:
-                start += g[self.first[:n]].sum(0)
+            own *= ems[t]
+            own /= sums[t]
+            if t:
+                steps += alphas[t - 1][:n].T @ own
+                beta[:n] = own @ m.step.T
             else:
-                nb = y @ m.step.T
-                b[:n] = nb / nb.sum(1, keepdims=True)
+                later = ~self.first[:n]
+                steps += begin[:n][later].T @ own[later]
+                start += g[self.first[:n]].sum(0)
+        step = m.step * steps
         cls, g = np.concatenate(classes), np.concatenate(gammas)
         for j in range(k):
             emit[:, j] = np.bincount(cls, g[:, j], CLASSES + 1)
@@ -260,7 +271,8 @@ def class_sequences(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("part"), own], names=["part", "c"])
 
     part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(PARTS)).cast("int")
-    return _texts(docs).withColumn("part", part).mapInArrow(run, "part int, c binary")
+    # a part's rows stand together in each file, so that reading one skips the others' pages
+    return _texts(docs).withColumn("part", part).mapInArrow(run, "part int, c binary").sortWithinPartitions("part")
 
 
 def expected_counts(sequences: DataFrame, chain: Chain) -> np.ndarray:
