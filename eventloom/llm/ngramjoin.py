@@ -113,6 +113,7 @@ def frequent(scanned: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.n
             break
         least = r["least"]
     if least is None:
+        discard(counts)
         return np.zeros(0, U64), np.zeros(0, np.int64)
     top = counts.where(F.col("n") >= int(least)).toArrow()
     h, n = top.column("digest").to_numpy().view(U64), top.column("n").to_numpy()
@@ -317,10 +318,15 @@ def fetch_sets(docs: DataFrame, scanned: DataFrame, digests: DataFrame, k: int)
     texts = docs.hint("merge").join(some, docs["doc_id"].eqNullSafe(some["_id"]), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: dict[int, None] = {}  # repeated rows stand close together, as they have one id
         for b in slices(batches):
             h, bounds = shingle_sets(b.column("text"), k)
-            raw = pa.array([h[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(set_digest(h, bounds)), raw], names=["digest", "shingles"])
+            d = set_digest(h, bounds).tolist()
+            new = [i for i, x in enumerate(d) if x not in recent and not recent.update({x: None})]
+            raw = pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in new], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for i in new], pa.int64()), raw], names=["digest", "shingles"])
+            if len(recent) > 10_000:
+                recent = dict.fromkeys(d)
 
     return texts.mapInArrow(run, "digest long, shingles binary")
 
@@ -338,15 +344,17 @@ def link_classes(docs: DataFrame, scanned: DataFrame, often, k: int, percent: in
     pairs = materialise(pairs.withColumn("label", F.col("digest")))
     leaders = pairs.select("bucket", "block").distinct().withColumn("digest", F.col("bucket")).withColumn("label", F.col("bucket"))
     sets = materialise(fetch_sets(docs, scanned, pairs.select("digest").union(pairs.select("bucket")), k))
-    labels = components(materialise(compare(leaders, pairs, sets, percent)))
-    discard(sets)
+    links = materialise(compare(leaders, pairs, sets, percent))
+    labels = components(links)
+    for df in (pairs, sets, links):
+        discard(df)
 
     # 2: components that meet in buckets: first with the largest one of each, then what is left
     held = labelled(shared, labels)
     met = materialise(meetings(held))
     done = materialise(with_largest(met, percent))
     members = materialise(held.groupBy("label", "digest").agg(F.max("n").alias("n")))
-    before, labels = labels, merged(labels, materialise(links_between(docs, scanned, done, members, k, percent)))
+    before, labels = labels, merged(labels, links_between(docs, scanned, done, members, k, percent))
     for df in (held, met, members):
         discard(df)
 
@@ -356,10 +364,9 @@ def link_classes(docs: DataFrame, scanned: DataFrame, often, k: int, percent: in
     both = with_every_other(met, crowded, percent)
     both = materialise(both.hint("merge").join(compared_whole(done, before, labels), ["x", "y"], "left_anti"))
     members = materialise(held.groupBy("label", "digest").agg(F.max("n").alias("n")))
-    links = materialise(links_between(docs, scanned, both, members, k, percent))
-    links = links.union(materialise(links_within(docs, scanned, held, crowded, k, percent)))
-    labels = merged(labels, links)
-    for df in (held, met, members, crowded, both, done):
+    between, within = links_between(docs, scanned, both, members, k, percent), links_within(docs, scanned, held, crowded, k, percent)
+    labels = merged(labels, between.union(within))
+    for df in (shared, held, met, members, crowded, both, done, between, within):
         discard(df)
     return labels
 
@@ -456,8 +463,9 @@ def links_within(docs: DataFrame, scanned: DataFrame, held: DataFrame, crowded:
     cells = materialise(cells.select(F.col("leader").alias("bucket"), F.xxhash64("part", "part2").alias("block"), "part", "part2"))
     at = lambda side: cells.hint("merge").join(dealt, (cells["bucket"] == dealt["leader"]) & (cells[side] == dealt["part"])).select("bucket", "block", "digest", "label")
     sets = materialise(fetch_sets(docs, scanned, dealt.select("digest"), k))
-    out = compare(at("part"), at("part2"), sets, percent)
-    discard(group)
+    out = materialise(compare(at("part"), at("part2"), sets, percent))
+    for df in (group, dealt, cells, sets):
+        discard(df)
     return out
 
 
@@ -478,7 +486,10 @@ def links_between(docs: DataFrame, scanned: DataFrame, both: DataFrame, members:
     right = sized.select("bucket", "small").hint("merge").join(members, sized["small"] == members["label"]).select("bucket", "digest", "label").hint("merge").join(grid, "bucket").select("bucket", "columns", all_of("rows").alias("row"), column.alias("column"), "digest", "label")
     left, right = (materialise(x.select("bucket", cell, "digest", "label")) for x in (left, right))
     sets = materialise(fetch_sets(docs, scanned, left.select("digest").union(right.select("digest")), k))
-    return compare(left, right, sets, percent)
+    out = materialise(compare(left, right, sets, percent))
+    for df in (sized, grid, left, right, sets):
+        discard(df)
+    return out
 
 
 def _plain(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
