@@ -37,29 +37,58 @@ def _has(key) -> Column:
 # ---- existence and rank filters ----
 
 
-def first_n(df: DataFrame, key: str, n: int = 10, count: str | None = None, order: str = ORDER) -> DataFrame:
-    """The first n rows of every key, optionally with their number."""
-    out = df.where(_has(key)).withColumn("_rn", F.row_number().over(_w(key, order))).where(F.col("_rn") <= n)
+def counts(df: DataFrame, key: str, seen: DataFrame | None = None) -> DataFrame:
+    """key, n: how many rows each key has had, those of an earlier table of counts (``seen``) included; the state of ``first_n`` and ``until_n``."""
+    own = df.where(_has(key)).groupBy(key).agg(F.count("*").alias("n"))
+    return own if seen is None else own.unionByName(seen.select(key, "n")).groupBy(key).agg(F.sum("n").alias("n"))
+
+
+def _rank(df: DataFrame, key: str, seen: DataFrame | None, order: str) -> DataFrame:
+    """_rn: the number of each row among its key's, after those counted in ``seen``."""
+    rows = df.where(_has(key)).withColumn("_rn", F.row_number().over(_w(key, order)))
+    if seen is None:
+        return rows
+    earlier = seen.select(key, F.col("n").alias("_seen"))
+    return rows.join(earlier, key, "left").withColumn("_rn", F.col("_rn") + F.coalesce("_seen", F.lit(0))).select(*df.columns, "_rn")
+
+
+def first_n(df: DataFrame, key: str, n: int = 10, count: str | None = None, order: str = ORDER, seen: DataFrame | None = None) -> DataFrame:
+    """The first n rows of every key, optionally with their number; rows counted in ``seen`` (see ``counts``) came before."""
+    out = _rank(df, key, seen, order).where(F.col("_rn") <= n)
     return out.withColumnRenamed("_rn", count) if count else out.drop("_rn")
 
 
-def until_n(df: DataFrame, key: str, n: int = 10, order: str = ORDER) -> DataFrame:
-    """All but the first n rows of every key."""
-    return df.where(_has(key)).withColumn("_rn", F.row_number().over(_w(key, order))).where(F.col("_rn") > n).drop("_rn")
+def until_n(df: DataFrame, key: str, n: int = 10, order: str = ORDER, seen: DataFrame | None = None) -> DataFrame:
+    """All but the first n rows of every key; rows counted in ``seen`` came before."""
+    return _rank(df, key, seen, order).where(F.col("_rn") > n).drop("_rn")
 
 
-def uniq(df: DataFrame, keys: Sequence[str], port: str = "", other: DataFrame | None = None, tag: str = "KNOWN", order: str = ORDER) -> DataFrame:
-    """'': first row of a key; DUPES: the others; TAG: all, with a boolean. With ``other`` (the SET rows): ISSET and ISNOTSET (INVQUERY, QUERY)."""
+def uniq(df: DataFrame, keys: Sequence[str], port: str = "", other: DataFrame | None = None, tag: str = "KNOWN", order: str = ORDER, seen: DataFrame | None = None) -> DataFrame:
+    """'': first row of a key; DUPES: the others; TAG: all, with a boolean. With ``other`` (the SET rows): ISSET and ISNOTSET (INVQUERY, QUERY).
+
+    Keys in ``seen`` (a table of them) are known from the beginning.
+    """
     if port in ("ISSET", "INVQUERY", "ISNOTSET", "QUERY"):
-        return df.join(other.select(*keys).distinct(), list(keys), "left_semi" if port in ("ISSET", "INVQUERY") else "left_anti")
-    if port == "" and order is None:
+        known = other.select(*keys) if seen is None else other.select(*keys).unionByName(seen.select(*keys))
+        return df.join(known.distinct(), list(keys), "left_semi" if port in ("ISSET", "INVQUERY") else "left_anti")
+    if port == "" and order is None and seen is None:
         return df.where(_has(keys)).dropDuplicates(list(keys))
     rn = df.where(_has(keys)).withColumn("_rn", F.row_number().over(_w(keys, order)))
+    if seen is not None:
+        rn = rn.join(seen.select(*keys).distinct().withColumn("_seen", F.lit(1)), list(keys), "left").withColumn("_rn", F.col("_rn") + F.coalesce("_seen", F.lit(0))).select(*df.columns, "_rn")
     if port == "TAG":
         return rn.withColumn(tag, F.col("_rn") > 1).drop("_rn")
     return rn.where(F.col("_rn") > 1 if port == "DUPES" else F.col("_rn") == 1).drop("_rn")
 
 
+def uniq_with_removals(df: DataFrame, removed: DataFrame, keys: Sequence[str], order: str = ORDER) -> DataFrame:
+    """The first row of a key, and the first after each row of ``removed`` with that key (at the same place the removal comes first)."""
+    own = df.select(*keys, F.col(order).alias("_o"), F.lit(1).alias("_side"), F.struct(*df.columns).alias("_row"))
+    gone = removed.select(*keys, F.col(order).alias("_o"), F.lit(0).alias("_side"), F.lit(None).cast(own.schema["_row"].dataType).alias("_row"))
+    before = F.lag("_side", 1, 0).over(W.partitionBy(*keys).orderBy("_o", "_side"))
+    return own.unionByName(gone).where(_has(keys)).withColumn("_before", before).where("_side = 1 and _before = 0").select("_row.*")
+
+
 def bloom_uniq(df: DataFrame, keys: Sequence[str], order: str = ORDER) -> DataFrame:
     """What a Bloom filter that never errs passes: the first row of every key."""
     return uniq(df, keys, order=order)

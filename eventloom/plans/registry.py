@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decode, magic, strings, structured
 from ..operators import aggregates, filters, joins, keyed, shape, sorts
+from ..session import materialise
 from ..sources import datagrams, patterns, readers, records, writers
 from ..streaming import stateful
 
@@ -244,30 +245,61 @@ def _cntquery(c: Call) -> DataFrame:
 
 
 # keyed analytics
-@entry("firstn first firstn_shared first_shared", "J:F:O:n:N:M:E:C:", refused="FO")
+def _state(c: Call, option: str) -> DataFrame | None:
+    """The state table that an option names; copied if another one is to be written, maybe in its place."""
+    if not c.has(option):
+        return None
+    stored = _spark().read.parquet(str(c.get(option)))
+    return materialise(stored) if c.has("O") else stored
+
+
+def _save(c: Call, option: str, state: Callable[[], DataFrame]) -> None:
+    """Writes the state where an option says, when the pipeline is built; it may be where the earlier state was read."""
+    if c.has(option):
+        materialise(state()).write.mode("overwrite").parquet(str(c.get(option)))
+
+
+@entry("firstn first firstn_shared first_shared", "J:F:O:n:N:M:E:C:")
 def _firstn(c: Call) -> DataFrame:
-    n = c.int("N", c.int("n", 10))
+    """-F: a table of counts (Parquet) to begin with; -O: where to write the counts."""
+    n, seen = c.int("N", c.int("n", 10)), _state(c, "F")
     if c.has("E"):
+        if seen is not None or c.has("O"):
+            raise ValueError("counts that expire are not stored")
         return stateful.apply(c.df, c.args[0], stateful.first_n_expire(n, duration(str(c.get("E"))), c.time), c.order)
-    return keyed.first_n(c.df, c.args[0], n, c.get("C"), c.order)
+    out = keyed.first_n(c.df, c.args[0], n, c.get("C"), c.order, seen)
+    _save(c, "O", lambda: keyed.counts(c.df, c.args[0], seen))
+    return out
 
 
-@entry("untiln until", "J:F:O:n:N:M:E:", refused="FO")
+@entry("untiln until", "J:F:O:n:N:M:E:")
 def _untiln(c: Call) -> DataFrame:
-    n = c.int("N", c.int("n", 10))
+    """-F: a table of counts (Parquet) to begin with; -O: where to write the counts."""
+    n, seen = c.int("N", c.int("n", 10)), _state(c, "F")
     if c.has("E"):
+        if seen is not None or c.has("O"):
+            raise ValueError("counts that expire are not stored")
         return stateful.apply(c.df, c.args[0], stateful.until_n_expire(n, duration(str(c.get("E"))), c.time), c.order)
-    return keyed.until_n(c.df, c.args[0], n, c.order)
-
-
+    out = keyed.until_n(c.df, c.args[0], n, c.order, seen)
+    _save(c, "O", lambda: keyed.counts(c.df, c.args[0], seen))
+    return out
 
 
-@entry("uniq unique uniq_shared unique_shared", "J:p:M:ok:iO:L:T:S:", refused="pOTS")
+@entry("uniq unique uniq_shared unique_shared", "J:p:M:ok:iO:L:T:S:", refused="p")
 def _uniq(c: Call) -> DataFrame:
+    """-L: a table of keys (Parquet) known from the beginning; -O: where to write the keys; -T: the member that port TAG adds, -S: its text."""
+    seen, keys = _state(c, "L"), list(c.args)
+    rows = c.inputs.get("SET", c.any)
+    _save(c, "O", lambda: (rows.select(*keys) if seen is None else rows.select(*keys).unionByName(seen.select(*keys))).dropna().distinct())
     for port in ("ISSET", "ISNOTSET", "QUERY", "INVQUERY"):
         if port in c.inputs:
-            return keyed.uniq(c.inputs[port], c.args, port, c.inputs.get("SET", c.inputs.get("")))
-    return keyed.uniq(c.any, c.args, c.port, order=c.order)
+            return keyed.uniq(c.inputs[port], keys, port, c.inputs.get("SET", c.inputs.get("")), seen=seen)
+    if "REMOVE" in c.inputs:
+        return keyed.uniq_with_removals(c.df, c.inputs["REMOVE"], keys, c.order)
+    out = keyed.uniq(c.any, keys, c.port, tag=str(c.get("T", "KNOWN")), order=c.order, seen=seen)
+    if c.has("S") and c.port == "TAG":
+        out = out.withColumn(str(c.get("T", "KNOWN")), F.when(F.col(str(c.get("T", "KNOWN"))), F.lit(str(c.get("S")))))
+    return out
 
 
 entry("bloom bloomuniq", "p:L:M:R:O:F:", refused="OF")(lambda c: keyed.bloom_uniq(c.df, c.args, c.order))
@@ -278,7 +310,7 @@ entry("keyEWMA keyEMA keyewma keyema exponentialmovingaverage keyexpmovavg", "V:
 entry("keyrate", "t:m:x:M:L:V:")(lambda c: keyed.rate(c.df, c.args[0], c.time, duration(str(c.get("t", "60"))), c.get("V"), c.float("m", 10000 if c.has("V") else 3), c.float("x"), c.order))
 entry("keytrans", "V:M:L:fF")(lambda c: keyed.transitions(c.df, c.args[0], c.time, c.get("V"), c.has("f") or c.has("F"), str(c.get("L", "TIMEDIFF")), c.order))
 entry("keyflow", "J:t:s:L:M:F:O:", refused="FO")(lambda c: keyed.flow(c.df, c.args[0], c.time, duration(str(c.get("t", "60"))), c.int("s"), str(c.get("L", "session")), c.order))
-entry("keytime keyoccur", "J:j:o:r:O:L:M:N:F:P:", refused="OFNP")(lambda c: keyed.key_time(c.df, c.args[0], c.time, c.float("r", 0), c.float("o", 3600), str(c.get("L", "AGE")), c.order))
+entry("keytime keyoccur", "J:j:o:r:O:L:M:N:F:P:", refused="OLFP")(lambda c: keyed.key_time(c.df, c.args[0], c.time, c.float("r", 0), c.float("o", 3600), order=c.order))
 entry("keysort sortkey groupsort sortgroup", "V:n:M:", refused="n")(lambda c: sorts.key_sort(c.df, c.args[0], str(c.get("V"))))
 entry("periodic", "b:c:t:T:x:y:M:L:")(lambda c: stateful.apply(c.df, c.args[0], stateful.periodic(c.int("b", 4), c.int("c", 4), c.float("x", 0.1), c.float("t", 1000) / 1000, c.time), c.order))
 entry("persist", "b:c:t:T:L:")(lambda c: keyed.persist(c.df, c.args[0], c.time, max(1, int(c.float("t", 3_600_000) / 1000)), c.int("b", 16), c.int("c", 4), c.order))
@@ -420,7 +452,14 @@ def _spark() -> SparkSession:
     return SparkSession.getActiveSession()
 
 
-source("csv_in", "d:F:r:iIlP:ps:t:NX", refused="FIlpt")(lambda c: readers.csv_lines(_spark(), str(c.get("r")), c.args, str(c.get("d", c.get("s", ","))), not c.has("N"), stream=c.has("P")))
+@source("csv_in", "d:F:r:iIlP:ps:t:NX", refused="ip")
+def _csv_in(c: Call) -> DataFrame:
+    """-r: a file; -F: a file of paths; -P: a folder that is followed as a stream (-t, the interval, is the trigger's); -l: the first field is the container's label; -I: fields are ``[LABEL]value``; -N: values stay text."""
+    paths = patterns.lines(_spark(), str(c.get("F"))) if c.has("F") else [str(c.get("P") if c.has("P") else c.get("r"))]
+    marks = (str(c.get("d", "")) + str(c.get("s", ""))).replace("\\t", "\t") or ("\t" if c.has("I") else ",")
+    return readers.csv_lines(_spark(), paths, c.args, marks, not c.has("N"), stream=c.has("P"), container_label=c.has("l"), inline=c.has("I"))
+
+
 source("file_in", "F:mL:")(lambda c: readers.files(_spark(), str(c.get("F")), c.has("m")))
 source("exec_in", "R:ISL:", refused="I")(lambda c: readers.process(_spark(), c.args, str(c.get("R", "\n")), str(c.get("L", "BUFFER"))))
 source("time_in", "o:s:e:")(lambda c: readers.clock(_spark(), str(c.get("s")), str(c.get("e")), duration(c.args[0]) if c.args else 60, c.int("o", 0)) if c.has("s") else readers.ticks(_spark(), duration(c.args[0]) if c.args else 60))

@@ -9,21 +9,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.types import typed
+from ..operators.shape import LABELS
 
 
-def csv_lines(spark: SparkSession, path: str, labels: Sequence[str], delimiters: str = ",", detect: bool = True, stream: bool = False, quote: bool = False) -> DataFrame:
+def csv_lines(
+    spark: SparkSession, path: str | Sequence[str], labels: Sequence[str], delimiters: str = ",", detect: bool = True, stream: bool = False, quote: bool = False,
+    container_label: bool = False, inline: bool = False,
+) -> DataFrame:
     """Delimited lines with positional labels; empty and missing fields are NULL.
 
     With ``detect`` every field is a struct of the kinds (see ``functions.types.typed``), otherwise text. With quotes the
-    built-in reader parses the lines. ``stream`` follows a folder for new files.
+    built-in reader parses the lines. ``stream`` follows a folder for new files. With ``container_label`` the first field is
+    the container's label. With ``inline`` the fields are ``[LABEL]value``, a first one without a label is the container's; the
+    labels asked for become members, all are in the map ``fields`` if none is.
     """
     reader = spark.readStream if stream else spark.read
-    if quote:
-        rows = reader.schema(", ".join(f"`{x}` string" for x in labels)).option("sep", delimiters[0]).csv(path)
+    paths = [path] if isinstance(path, str) else list(path)
+    if stream and len(paths) > 1:
+        raise ValueError("a stream follows one folder")
+    source = paths[0] if len(paths) == 1 else paths
+    labelled = [LABELS] if container_label or inline else []
+    if inline:
+        parts = F.split("value", "[" + "".join("\\" + d for d in delimiters) + "]")
+        of = F.filter(F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"^\[([^\]]*)\]", 1).alias("k"), F.regexp_replace(x, r"^\[[^\]]*\]", "").alias("v"))), lambda x: x["k"] != "")
+        first = F.get(parts, F.lit(0))
+        rows = reader.text(source).select(F.when(~first.startswith("["), F.array(first)).alias(LABELS), F.map_from_entries(F.array_distinct(of)).alias("fields"))
+        if not labels:
+            return rows
+        rows = rows.select(LABELS, *[F.nullif(F.col("fields")[x], F.lit("")).alias(x) for x in labels])
+    elif quote:
+        rows = reader.schema(", ".join(f"`{x}` string" for x in labels)).option("sep", delimiters[0]).csv(source)
     else:
         parts = F.split("value", "[" + "".join("\\" + d for d in delimiters) + "]")
-        rows = reader.text(path).select(*[F.nullif(F.get(parts, F.lit(i)), F.lit("")).alias(x) for i, x in enumerate(labels)])
-    return rows.select(*[typed(F.col(x)).alias(x) for x in labels]) if detect else rows
+        held = [F.array(F.get(parts, F.lit(0))).alias(LABELS)] if container_label else []
+        rows = reader.text(source).select(*held, *[F.nullif(F.get(parts, F.lit(i + len(held))), F.lit("")).alias(x) for i, x in enumerate(labels)])
+    return rows.select(*labelled, *[typed(F.col(x)).alias(x) for x in labels]) if detect else rows
 
 
 def csv_table(spark: SparkSession, path: str, schema: str, delimiter: str = ",", header: bool = False, stream: bool = False) -> DataFrame:

@@ -94,7 +94,7 @@ def test_pattern_files(spark, df, tmp_path):
             graph.run(text, {"t": t})
 
 
-@pytest.mark.parametrize("text", ["t | uniq k -p 0.1", "t | firstn k -F state", "t | keysort k -V n -n 3", "t | bloom k -O state"])
+@pytest.mark.parametrize("text", ["t | uniq k -p 0.1", "t | keytime k -L state", "t | keysort k -V n -n 3", "t | bloom k -O state"])
 def test_options_that_would_change_the_result_are_refused(df, text):
     with pytest.raises(graph.GraphError, match="not available"):
         graph.run(text, {"t": df})
@@ -119,7 +119,26 @@ def test_epochs_and_last_values(spark, df, tmp_path):
     got = graph.run(f't | calc -S {tmp_path}/s -N "#s[k] += n;"', {"t": df})
     assert sorted(map(tuple, got.select("k", "c", "s").collect())) == [("a", 2, 11), ("b", 1, -3)]
     assert col(graph.run("t | match k -R a | flush -C 1", {"t": df}), "epoch") == [0, 1]
-    assert "SINCE" in graph.run("t | keytime k -L SINCE", {"t": df.withColumn("ts", F.timestamp_seconds("event_id"))}).columns
+
+
+def test_state_tables(spark, df, tmp_path):
+    """What a run has stored, the next one begins with; also where both name the same table."""
+    for _ in range(2):
+        first = graph.run(f"t | firstn k -N 1 -O {tmp_path}/a", {"t": df})
+    assert col(first, "event_id") == [1, 2] and {r.k: r.n for r in spark.read.parquet(f"{tmp_path}/a").collect()} == {"a": 2, "b": 1}
+    assert col(graph.run(f"t | firstn k -N 2 -F {tmp_path}/a -O {tmp_path}/a", {"t": df}), "event_id") == [2]
+    assert {r.k: r.n for r in spark.read.parquet(f"{tmp_path}/a").collect()} == {"a": 4, "b": 2}
+    assert col(graph.run(f"t | untiln k -N 4 -F {tmp_path}/a", {"t": df}), "event_id") == [1, 3]
+    assert col(graph.run(f"t | match k -R a | uniq k -O {tmp_path}/u", {"t": df}), "event_id") == [1]
+    assert col(graph.run(f"t | uniq k -L {tmp_path}/u", {"t": df}), "event_id") == [2]
+    assert col(graph.run(f"t -> $t\n$t:TAG | uniq k -L {tmp_path}/u -T SEEN -S yes", {"t": df}), "SEEN") == ["yes", None, "yes"]
+
+
+def test_removed_keys_are_new_again(spark, df):
+    gone = spark.createDataFrame([(2, "a"), (9, "a")], "event_id long, k string")
+    text = "t -> $t\ngone -> $g\n$t, $g:REMOVE | uniq k"
+    assert col(graph.run(text, {"t": df, "gone": gone}), "event_id") == [1, 2, 3]
+    assert col(graph.run(text, {"t": df, "gone": gone.limit(0)}), "event_id") == [1, 2]
 
 
 def test_sinks_in_pipelines(df, tmp_path):

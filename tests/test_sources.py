@@ -210,6 +210,16 @@ def test_sources_in_pipelines(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,1\nb,2\na,3\n")
     got = graph.run(f"csv_in K V -r {tmp_path}/a.csv -N | keycount K", {})
     assert sorted((r.K, r.COUNT) for r in got.collect()) == [("a", 2), ("b", 1)]
+    (tmp_path / "list").write_text(f"{tmp_path}/a.csv\n{tmp_path}/b.csv\n")
+    (tmp_path / "b.csv").write_text("z:5;6\n")
+    got = graph.run(f"csv_in V -F {tmp_path}/list -l -N -d , -s \":;\"", {})
+    assert sorted((r._labels[0], r.V) for r in got.collect()) == [("a", "1"), ("a", "3"), ("b", "2"), ("z", "5")]
+    (tmp_path / "i.csv").write_text("BOX\t[A]1\t[B]x\n[B]y\t[C]\n")
+    got = graph.run(f"csv_in A B -r {tmp_path}/i.csv -I -N", {})
+    assert sorted(((r._labels, r.A, r.B) for r in got.collect()), key=str) == [(None, None, "y"), (["BOX"], "1", "x")]
+    assert sorted(map(str, (r.fields for r in graph.run(f"csv_in -r {tmp_path}/i.csv -I", {}).collect()))) == ["{'A': '1', 'B': 'x'}", "{'B': 'y', 'C': ''}"]
+    for name in ("list", "b.csv", "i.csv"):
+        (tmp_path / name).unlink()
     assert graph.run("source_keygen -c 20 -m 0xF -s 3", {}).count() == 20
     assert graph.run("exec_in printf x | strlen BUFFER", {}).first().STRLEN == 1
     assert graph.run(f"file_in -F {tmp_path} -m", {}).first().LENGTH == 12
