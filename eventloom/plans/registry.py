@@ -373,8 +373,33 @@ entry("decodejson json jsondecode", "L:s:")(lambda c: c.df.withColumn(str(c.get(
 entry("tuple2json tojson outputjson tupletojson mkjson", "12L:")(lambda c: structured.quoted_json(c.df, c.args or [x for x in c.df.columns if x != shape.LABELS], str(c.get("L", "JSON"))))
 entry("parsexml xmlparse xml xml2tuple xmlparser xml_in", "N:s:L:")(lambda c: c.df.withColumn(str(c.get("L", "XML")), structured.parse_xml_record(c.args[0], str(c.get("s")))))
 entry("print2json pmetajson pjson", "O:s")(lambda c: structured.one_document(c.df, c.args or c.df.columns))
-entry("print pmeta p", "s:SXO:w:A:LHVTJ12bE:t:v:Dm:d:f")(lambda c: structured.quoted_json(c.df, c.df.columns, "line").select("line") if c.has("J") else c.df.select(strings.line(c.args or c.df.columns, str(c.get("s", ",")), c.has("V") or c.has("L")).alias("line")))
-entry("metadice metaout metaprint printmeta", "s:m:t:v:Vw:E:")(lambda c: c.df.select(strings.line(c.args or c.df.columns, str(c.get("s", "|")), c.has("V")).alias("line")))
+def _lines(c: Call, separator: str) -> DataFrame:
+    """Records as lines, and where -O, -A or -w says so, written as text when the pipeline is built."""
+    members = c.args or c.df.columns
+    if c.has("J"):
+        out = structured.quoted_json(c.df, c.df.columns, "line").select("line")
+    else:
+        binary = {f.name for f in c.df.schema if f.dataType.simpleString() == "binary"}
+        shown = c.df.withColumns({m: F.hex(m) if c.has("X") else F.decode(m, "ISO-8859-1") for m in members if m in binary})
+        text = strings.line(members, str(c.get("s", separator)), c.has("V"))
+        if c.has("L"):
+            text = F.concat_ws(str(c.get("s", separator)), *[F.when(F.col(m).isNotNull(), F.lit(m)) for m in members])
+        elif c.has("T") and c.has("V"):
+            text = F.concat_ws("\n", *[F.concat(F.lit(f"  {m}: "), F.col(m).cast("string")) for m in members])
+        out = shown.select(text.alias("line"))
+    if c.has("H"):
+        out = c.df.sparkSession.createDataFrame([(str(c.get("s", separator)).join(members),)], "line string").unionByName(out)
+    path = c.get("O") or c.get("A") or c.get("w")
+    if path and c.has("t"):
+        writers.rotated(c.df, str(path), c.time, duration(str(c.get("t"))), members, c.int("m"), str(c.get("s", separator)), "append" if c.has("A") else "overwrite")
+    elif path:
+        w = out.write.mode("append" if c.has("A") else "overwrite")
+        (w.option("maxRecordsPerFile", c.int("m")) if c.has("m") else w).text(str(path))
+    return out
+
+
+entry("print pmeta p", "s:SXO:w:A:LHVTJ12bE:t:v:Dm:d:f", refused="bv")(lambda c: _lines(c, ","))
+entry("metadice metaout metaprint printmeta", "s:m:t:v:Vw:E:", refused="v")(lambda c: _lines(c, "|"))
 
 
 @entry("calc math icalc mathwscalc", "FM:NRS:")

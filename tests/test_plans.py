@@ -141,6 +141,20 @@ def test_removed_keys_are_new_again(spark, df):
     assert col(graph.run(text, {"t": df, "gone": gone.limit(0)}), "event_id") == [1, 2]
 
 
+def test_printed_lines(spark, df, tmp_path):
+    lines = lambda text: [r.line for r in graph.run(text, {"t": df.coalesce(1)}).collect()]
+    assert lines("t | print event_id k -s ;".replace(";", '";"')) == ["1;a", "2;b", "3;a"]
+    assert lines("t | print k x -V") == ["k=a,x=2.5", "k=b", "k=a,x=1.0"] and lines("t | print k x -L") == ["k,x", "k", "k,x"]
+    assert lines("t | print k n -H")[0] == "k,n" and lines("t | print k n -TV")[0] == "  k: a\n  n: 7"
+    binary = df.select(F.encode("k", "UTF-8").alias("b"))
+    assert [r.line for r in graph.run("t | print -X", {"t": binary}).collect()] == ["61", "62", "61"]
+    lines(f"t | print k -O {tmp_path}/o")
+    lines(f"t | metadice k -w {tmp_path}/o")
+    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/o").collect()) == ["a", "a", "b"]
+    graph.run(f"t | print k -A {tmp_path}/r -t 1m", {"t": df.withColumn("ts", F.timestamp_seconds(F.col("event_id") * 40))})
+    assert sorted(map(tuple, spark.read.text(f"{tmp_path}/r").select("value", "period").collect())) == [("a", "19700101-000000"), ("a", "19700101-000200"), ("b", "19700101-000100")]
+
+
 def test_sinks_in_pipelines(df, tmp_path):
     import os
 
