@@ -213,7 +213,12 @@ SELECT event_id FROM s WHERE hit""")
 q("onlyafter", "events", lambda e: keyed.only_after(e, "user_id", F.col("event_type") == "purchase").select("event_id"), "SELECT event_id FROM (SELECT event_id, max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events) WHERE s = 1")
 q("keyadd_initial", "events", lambda e: keyed.add_initial(e, "user_id", "value", 4).select("user_id", "COUNT", F.round("ACC", 4).alias("ACC")), f"SELECT user_id, CAST(4 AS BIGINT) AS COUNT, round(sum(value), 4) AS ACC FROM {RN} WHERE r <= 4 GROUP BY 1 HAVING count(*) = 4")
 q("keyadd_initial_custom", "events", lambda e: keyed.anomaly_benchmark(e.select("event_id", "user_id", (F.col("value") > 60).cast("int").alias("v"), (F.col("event_type") == "error").cast("int").alias("b")), "user_id", "v", "b", 6, 3), f"WITH k AS (SELECT user_id, sum((value > 60)::INT) < 3 AS said, arg_max(event_type, event_id) = 'error' AS t FROM {RN} WHERE r <= 6 GROUP BY 1 HAVING count(*) = 6) SELECT count(*) FILTER (said AND t) AS TP, count(*) FILTER (said AND NOT t) AS FP, count(*) FILTER (NOT said AND NOT t) AS TN, count(*) FILTER (NOT said AND t) AS FN FROM k")
-q("periodic", "events", lambda e: stateful.apply(e.select("event_id", "user_id", "ts"), "user_id", stateful.periodic(4, 3, 0.5)))
+q("periodic", "events", lambda e: stateful.apply(e.select("event_id", "user_id", "ts"), "user_id", stateful.periodic(4, 3, 0.5)).select("event_id", F.round("PERIOD", 3).alias("PERIOD"), "PERIOD_COUNT"), """
+WITH RECURSIVE o AS (SELECT event_id, user_id, epoch(ts) - lag(epoch(ts)) OVER w AS d, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT event_id, user_id, r, CAST([] AS STRUCT(m DOUBLE, n BIGINT)[]) AS held, FALSE AS hit FROM o WHERE r = 1 UNION ALL
+ SELECT event_id, user_id, r, CASE WHEN i > 0 THEN list_concat([{'m': (held[i].m * held[i].n + d) / (held[i].n + 1), 'n': held[i].n + 1}], list_concat(held[1:i - 1], held[i + 1:])) ELSE list_concat([{'m': d, 'n': CAST(1 AS BIGINT)}], held)[1:4] END, i > 0 AND held[i].n + 1 >= 3
+ FROM (SELECT o.*, s.held, coalesce(list_position(list_transform(s.held, lambda h: abs(o.d - h.m) <= greatest(1.0, 0.5 * h.m)), TRUE), 0) AS i FROM s JOIN o ON o.user_id = s.user_id AND o.r = s.r + 1))
+SELECT event_id, round(held[1].m, 3) AS PERIOD, held[1].n AS PERIOD_COUNT FROM s WHERE hit""")
 
 # ---- sorts ----
 
@@ -313,7 +318,12 @@ q("tls", "events", lambda e: e.select("event_id", decode.tls(_tls_bytes(F.concat
 q("pcapin", "events", lambda e: decode.pcap(e.select(F.col("event_id").cast("string").alias("FILENAME"), _pcap_bytes(F.col("user_id") + 1024, F.col("event_type")).alias("DATA"))).select(F.col("FILENAME").cast("long").alias("event_id"), "SRCIP", "DSTIP", "SRCPORT", "DSTPORT", F.col("CONTENT").cast("string").alias("content")), "SELECT event_id, '10.0.0.1' AS SRCIP, '10.0.0.2' AS DSTIP, CAST(user_id + 1024 AS INT) AS SRCPORT, 53 AS DSTPORT, event_type AS content FROM events")
 q("containers", "orders", lambda o: records.read(records.containers(o.select("o_orderkey", "o_orderstatus", "o_totalprice"), most_bytes=1 << 20, compress=True), name="FILE").select(F.col("members")["o_orderkey"].cast("long").alias("o_orderkey"), F.col("members")["o_orderstatus"].alias("o_orderstatus"), F.col("members")["o_totalprice"].cast("double").alias("o_totalprice")), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 q("source_keygen", "region", lambda r: readers.key_generator(r.sparkSession, 1000, 255, seed=7).where("KEY between 0 and 255").select("id"), "SELECT CAST(range AS BIGINT) AS id FROM range(1000)")
-q("biased_keys", "region", lambda r: keyed.anomaly_benchmark(readers.biased_keys(r.sparkSession, 20_000, 100).withColumnRenamed("id", "event_id"), "KEY", "VALUE", "BIAS", 24, 7))
+q("biased_keys", "region", lambda r: keyed.anomaly_benchmark(readers.biased_keys(r.sparkSession, 20_000, 100).withColumnRenamed("id", "event_id"), "KEY", "VALUE", "BIAS", 24, 7), """
+WITH g AS (SELECT i, ('0x' || substr(md5(i || '|0'), 1, 8))::BIGINT % 100 AS k, ('0x' || substr(md5(i || '|2'), 1, 8))::BIGINT % 100 AS coin FROM range(20000) t(i)),
+v AS (SELECT i, k, ('0x' || substr(md5(k || '|1'), 1, 8))::BIGINT % 1000 < 100 AS b, coin FROM g),
+n AS (SELECT *, coin < CASE WHEN b THEN 10 ELSE 50 END AS hit, row_number() OVER (PARTITION BY k ORDER BY i) AS r FROM v),
+t AS (SELECT k, bool_or(b) AS b, sum(hit::INT) < 7 AS said FROM n WHERE r <= 24 GROUP BY k HAVING count(*) = 24)
+SELECT count(*) FILTER (WHERE said AND b) AS TP, count(*) FILTER (WHERE said AND NOT b) AS FP, count(*) FILTER (WHERE NOT said AND NOT b) AS TN, count(*) FILTER (WHERE NOT said AND b) AS FN FROM t""")
 q("exec_in", "region", lambda r: readers.process(r.sparkSession, ["printf", "a\\nb\\nc\\n"]), "SELECT unnest(['a', 'b', 'c']) AS BUFFER")
 q("workreceive", "orders", lambda o: shape.unchanged(o.select("o_orderkey")), "SELECT o_orderkey FROM orders")
 q("unbundle", "orders", lambda o: shape.unchanged(shape.unchanged(o.select("o_orderstatus"), 16)), "SELECT o_orderstatus FROM orders")

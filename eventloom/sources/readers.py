@@ -153,9 +153,11 @@ def key_generator(spark: SparkSession, count: int, mask: int = (1 << 63) - 1, se
 
 def biased_keys(spark: SparkSession, count: int, keys: int, anomalous: float = 0.1, seed: int = 0) -> DataFrame:
     """KEY, VALUE, BIAS rows of the anomaly benchmark: values of biased keys are mostly 0, those of others mostly 1."""
-    key = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(keys))
-    biased = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(1000)) < int(1000 * anomalous)
-    coin = F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(100))
+    # 32 bits of a digest, the same in any engine
+    drawn = lambda c, n: F.conv(F.substring(F.md5(F.concat(c.cast("string"), F.lit(f"|{n}"))), 1, 8), 16, 10).cast("long")
+    key = drawn(F.col("id"), seed) % keys
+    biased = drawn(key, seed + 1) % 1000 < int(1000 * anomalous)
+    coin = drawn(F.col("id"), seed + 2) % 100
     return spark.range(count).select("id", key.alias("KEY"), F.when(biased, (coin < 10).cast("int")).otherwise((coin < 50).cast("int")).alias("VALUE"), biased.cast("int").alias("BIAS"))
 
 
