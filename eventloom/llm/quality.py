@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialise, ship
 from .text import Words, buffers, code_points, slices, windows
 
 _SYMBOL = np.zeros(256, bool)
@@ -129,8 +129,12 @@ def host_rates(measured: DataFrame) -> DataFrame:
 
 
 def judge(measured: DataFrame) -> DataFrame:
-    """``measured`` with base_failed, soft_failed (by the usual limits), host_rate and kept."""
-    rates = host_rates(measured).select(F.col("host").alias("_host"), F.col("shrunk").alias("host_rate"), F.col("halves").alias("_halves"), F.col("condemned").alias("_condemned"))
+    """``measured`` with base_failed, soft_failed (by the usual limits), host_rate and kept.
+
+    The rates are written first, so that their size is known: a few hosts are broadcast, many are joined by sorting, with
+    large hosts split.
+    """
+    rates = materialise(host_rates(measured)).select(F.col("host").alias("_host"), F.col("shrunk").alias("host_rate"), F.col("halves").alias("_halves"), F.col("condemned").alias("_condemned"))
     out = measured.withColumn("base_failed", base_failed()).withColumn("soft_failed", soft_failed())
     out = out.join(rates, out["host"].eqNullSafe(rates["_host"]), "left")
     return out.withColumn("kept", ~(F.col("base_failed") | F.col("_condemned") | soft_failed(F.col("_halves")))).drop("_host", "_halves", "_condemned")
