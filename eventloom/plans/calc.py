@@ -48,6 +48,8 @@ DATE_FORMATS = (
     "%m/%d/%y %I:%M:%S %p",
     "%m/%d/%Y %I:%M:%S %p",
 )
+#: Further ones of this library.
+MORE_DATE_FORMATS = ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d")
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _DATE_PARTS = {
     "a": "(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?", "b": "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)",
@@ -75,7 +77,7 @@ _DATE_GROUPS = "YymbdHIMSp"
 def date_parts(c: Column) -> Column:
     """The parts of a text in the first layout that it begins in, in the order of _DATE_GROUPS, empty where it has none; NULL if there is none."""
     found = []
-    for pattern, groups in map(date_layout, DATE_FORMATS):
+    for pattern, groups in map(date_layout, (*DATE_FORMATS, *MORE_DATE_FORMATS)):
         parts = "|".join(f"${groups.index(g) + 1}" if g in groups else "" for g in _DATE_GROUPS)
         found.append(F.when(c.rlike(pattern), F.regexp_replace(c, f"{pattern}(?s:.*)", parts)))
     return F.split(F.coalesce(*found), r"\|")
@@ -89,7 +91,9 @@ def parse_date(parts: Column) -> Column:
     month = F.coalesce(number["m"], F.floor((F.instr(F.lit(" ".join(_MONTHS)), F.lower(F.substring(part["b"], 1, 3))) + 3) / 4).cast("int"), F.lit(12))
     hour = F.coalesce(number["H"], number["I"] % 12 + F.when(F.lower(part["p"]) == "pm", 12).otherwise(0))
     second = F.coalesce(number["S"], F.lit(0)).cast("decimal(16,6)")
-    return F.try_make_timestamp(year, month, F.coalesce(number["d"], F.lit(31)), hour, number["M"], second)
+    minute = F.coalesce(number["M"], F.when(number["Y"].isNotNull(), 0))
+    hour = F.coalesce(hour, F.when(number["Y"].isNotNull(), 0))
+    return F.try_make_timestamp(year, month, F.coalesce(number["d"], F.lit(31)), hour, minute, second)
 
 
 class CalcError(ValueError):

@@ -418,7 +418,7 @@ entry("grouppackets", "J:fcn:N:V:M:")(lambda c: aggregates.group_packets(c.df.wi
 entry("keyadd_initial_custom trackbkey keyadd_initial_custom_shared trackbkey_shared", "J:j:2m:b:M:F:O:L:P:")(lambda c: keyed.anomaly_benchmark(c.df, *c.args[:3], c.int("m", 24), c.int("b", 5), c.order))
 
 
-@entry("redis hiredis", "V:h:p:P:S:L:x:")
+@entry("redis hiredis", "V:h:p:P:S:L:x:", refused="xPS")
 def _redis(c: Call) -> DataFrame:
     """The store is the input on port STORE; GET is the main port, SET, SETNX, INCR and DECR give the new store."""
     key, value, store = c.args[0], str(c.get("V", "VALUE")), c.inputs["STORE"]
@@ -489,7 +489,7 @@ source("file_in", "F:mL:")(lambda c: readers.files(_spark(), str(c.get("F")), c.
 source("exec_in", "R:ISL:", refused="I")(lambda c: readers.process(_spark(), c.args, str(c.get("R", "\n")), str(c.get("L", "BUFFER"))))
 source("time_in", "o:s:e:")(lambda c: readers.clock(_spark(), str(c.get("s")), str(c.get("e")), duration(c.args[0]) if c.args else 60, c.int("o", 0)) if c.has("s") else readers.ticks(_spark(), duration(c.args[0]) if c.args else 60))
 source("source_keygen", "a:flm:c:s:u:")(lambda c: readers.key_generator(_spark(), c.int("c", 1000), int(str(c.get("m", (1 << 63) - 1)), 0), c.int("s", 0), c.int("a", 0)))
-source("pcapin pcap pcap_in", "i:r:g")(lambda c: decode.pcap(readers.files(_spark(), str(c.get("r"))), group_ports=c.has("g")))
+source("pcapin pcap pcap_in", "i:r:g", refused="i")(lambda c: decode.pcap(readers.files(_spark(), str(c.get("r"))), group_ports=c.has("g")))
 source("kafka_in kafka_multi_in", "b:p:L:g:SX:V")(lambda c: readers.kafka(_spark(), str(c.get("b")), ",".join(c.args)))
 source("pb2in pb2_filein wsproto_in", "ims:Br:", refused="ims")(lambda c: records.read(readers.files(_spark(), str(c.get("r")))))
 

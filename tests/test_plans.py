@@ -105,7 +105,7 @@ def test_options_that_would_change_the_result_are_refused(df, text):
     [
         ("Tue, 04 May 2010 04:31:27 GMT", 1272947487), ("Tue 04 May 2010 04:31:27 GMT", 1272947487), ("Tue May 04 2010 04:31:27 GMT", 1272947487), ("Tue, 04-May-2010 04:31:27 GMT", 1272947487), ("04 May 2010 04:31:27 GMT", 1272947487),
         ("Tue May 04 04:31:27 GMT 2010", 1272947487), ("Tue May  4 04:31:27 2010", 1272947487), ("Tuesday May 4, 2010, 04:31:27", 1272947487), ("2010-05-04 04:31:27 AM", 1272947487), ("2010-05-04 04:31:27", 1272947487),
-        ("2010-05-04 04:31 pm", 1272990660), ("05/04/10 04:31 AM", 1272947460), ("05/04/2010 12:31:27 PM", 1272976287), ("2010-05-04 12:00:00 AM", 1272931200), ("no date", None), ("2010-13-04 04:31:27", None),
+        ("2010-05-04 04:31 pm", 1272990660), ("05/04/10 04:31 AM", 1272947460), ("05/04/2010 12:31:27 PM", 1272976287), ("2010-05-04 12:00:00 AM", 1272931200), ("2010-05-04", 1272931200), ("2010-05-04T04:31:27Z", 1272947487), ("no date", None), ("2010-13-04 04:31:27", None),
     ],
 )
 def test_dates(spark, text, want):
