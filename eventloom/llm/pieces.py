@@ -30,14 +30,13 @@ from ..session import ship
 from .text import slices
 
 SPACE = "▁"
-PIECE, GOES_ON = 1, 2  # of a string: a piece, the beginning of longer ones
 _loaded: dict[tuple, object] = {}
 
 
 class PieceModel:
     """The pieces of a SentencePiece model file and their scores."""
 
-    def __init__(self, path: str, kind: str = "bpe", remembered: int = 250_000):
+    def __init__(self, path: str, kind: str = "bpe", remembered: int = 400_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -57,9 +56,13 @@ class PieceModel:
             raise ValueError(f"{path}: a piece crosses words")
         # a line break that no piece has is a border too
         self.units = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if any("\n" in p for p in self.ids) else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+").findall
-        self.kinds = dict.fromkeys((p[:k] for p in self.ids for k in range(1, len(p))), GOES_ON)
+        # characters lead on, the empty string leads to the piece that ends there
+        self.trie: dict = {}
         for p in self.ids:
-            self.kinds[p] = self.kinds.get(p, 0) | PIECE
+            node = self.trie
+            for ch in p:
+                node = node.setdefault(ch, {})
+            node[""] = p
         self.stable: dict[str, dict[str, bool]] = {}
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -94,7 +97,7 @@ class PieceModel:
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[str]]:
         """Pieces of the joined chunks, committed as they become certain."""
-        longest, kind_of, stable, score, bpe = self.longest, self.kinds.get, self.stable, self.score, self.kind == "bpe"
+        longest, trie, nothing, stable, score, bpe = self.longest, self.trie, {}, self.stable, self.score, self.kind == "bpe"
         text, at = "", 0  # the retained window; the next boundary to extend from
         last: list[str | None] = [""]  # the piece that ends at each retained boundary (None: out of reach, "": the start)
         total = [0.0]
@@ -109,32 +112,33 @@ class PieceModel:
             # pieces that may go on in the next chunk wait for it
             ready = n - longest + 1 if more else n
             while at < ready:
-                q = last[at]
-                if bpe and q is not None:
-                    row = stable.get(q)
-                    for k in range(at + 1, min(n, at + longest) + 1):
-                        p = text[at:k]
-                        kind = kind_of(p, 0)
-                        # a character is a piece, known or not
-                        if last[k] is None and (kind & PIECE or k == at + 1):
-                            ok = True if not q else row.get(p) if row is not None else None
-                            if ok is None:
-                                ok = self._stable(q, p)
-                                row = stable[q]
-                            if ok:
-                                last[k] = p
-                        if kind < GOES_ON:
+                q, node = last[at], trie
+                if q is None:
+                    at += 1
+                    continue
+                row = stable.get(q)
+                for k in range(at, min(n, at + longest)):
+                    node = node.get(text[k], nothing)
+                    if bpe and last[k + 1] is not None:
+                        if node is nothing:
                             break
-                elif q is not None:
-                    for k in range(at + 1, min(n, at + longest) + 1):
-                        p = text[at:k]
-                        kind = kind_of(p, 0)
-                        if kind & PIECE or k == at + 1:
-                            s = total[at] + score.get(p, self.lowest)
-                            if last[k] is None or s > total[k]:
-                                last[k], total[k] = p, s
-                        if kind < GOES_ON:
+                        continue
+                    # a character is a piece, known or not
+                    p = node.get("") or (text[k] if k == at else None)
+                    if p is None:
+                        if node is nothing:
                             break
+                    elif not bpe:
+                        s = total[at] + score.get(p, self.lowest)
+                        if last[k + 1] is None or s > total[k + 1]:
+                            last[k + 1], total[k + 1] = p, s
+                    else:
+                        ok = True if not q else row.get(p) if row is not None else None
+                        if ok is None:
+                            ok = self._stable(q, p)
+                            row = stable[q]
+                        if ok:
+                            last[k + 1] = p
                 at += 1
             if more and at > 2 * longest:
                 # where the paths to all boundaries that can still be extended from meet
