@@ -32,6 +32,19 @@ def test_language(docs):
     assert by[903].lang_pred == "en" and all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_learns_from_every_window(spark):
+    # the windows at the start of each quarter tell nothing
+    rng = np.random.default_rng(6)
+    plain = ("abc " * 64)[:256]
+    said = lambda lang: " ".join(rng.choice(WORDS[lang].split(), 150))[:512]
+    rows = [(i, "".join(plain + said(lang) for _ in range(4)), lang) for i, lang in enumerate(list(WORDS) * 20)]
+    df = spark.createDataFrame([(d, t, lang) for d, t, lang in rows], "doc_id long, text string, lang string").repartition(3)
+    model = language.fit(df)
+    got = language.predict(df, model, keep=("doc_id", "lang")).collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.97 * len(rows) and 0 < model.floor <= 0.5
+    assert all(r.score >= model.floor for r in got)
+
+
 def test_language_without_labels(docs):
     none = docs.where("lang = 'xx'")
     model = language.fit(none)
