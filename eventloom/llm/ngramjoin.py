@@ -57,8 +57,10 @@ def _required(n: np.ndarray, percent: int) -> np.ndarray:
 
 def scan(docs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n, digest and the ``keep`` columns of every row (kind 0), and shingle, count of shingles seen twice in a task (kind 1: digest, n)."""
-    own = docs.select("doc_id", "text", *(F.col(c).alias(f"keep_{c}") for c in keep))
-    fields = [(f.name, f.dataType.simpleString()) for f in own.schema[2:]] if keep else []
+    # what is kept of the two columns that are read anyway is not sent to Python twice
+    own = docs.select("doc_id", "text", *(F.col(c).alias(f"keep_{c}") for c in keep if c not in ("doc_id", "text")))
+    source = {f"keep_{c}": c if c in ("doc_id", "text") else f"keep_{c}" for c in keep}
+    fields = [(f, own.schema[c].dataType.simpleString()) for f, c in source.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, kept = [], 0, 0
@@ -81,8 +83,8 @@ def scan(docs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
         for b in slices(batches):
             h, bounds = shingle_sets(b.column("text"), k)
             d = set_digest(h, bounds)
-            types = [b.column(f).type for f, _ in fields]
-            yield made(0, b.column("doc_id"), d, np.diff(bounds), [b.column(f) for f, _ in fields])
+            types = [b.column(source[f]).type for f, _ in fields]
+            yield made(0, b.column("doc_id"), d, np.diff(bounds), [b.column(source[f]) for f, _ in fields])
             _, first = np.unique(d, return_index=True)  # copies count once a slice
             new = np.zeros(len(d), bool)
             new[first] = True

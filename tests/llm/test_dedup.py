@@ -426,6 +426,13 @@ def test_representatives(spark):
     assert ngramjoin.representatives(df.limit(0), ("doc_id", "text")).count() == 0
 
 
+def test_scan_reads_each_text_once(spark):
+    df = spark.createDataFrame([(1, "a b c", "en")], "doc_id long, text string, lang string")
+    scanned = ngramjoin.scan(df, 5, ("doc_id", "text", "lang"))
+    assert scanned._jdf.queryExecution().analyzed().child().output().size() == 3
+    assert [tuple(r) for r in scanned.where("kind = 0").select("keep_doc_id", "keep_text", "keep_lang").collect()] == [(1, "a b c", "en")]
+
+
 def labels_by_force(rows):
     sets = [shingles_of(t) for _, t in rows]
     label = list(range(len(rows)))
