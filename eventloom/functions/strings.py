@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Buffers, and bytes of them, whose byte values are counted at once.
+_ROWS, _BYTES = 1024, 1 << 20
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -50,30 +56,55 @@ def edit_norm(a: Column | str, b: Column | str) -> Column:
     return F.when(most == 0, 0.0).otherwise(F.levenshtein(_c(a), _c(b)) / most)
 
 
-def _histogram(c: Column) -> Column:
-    """Counts of the byte values that occur, as an array, in order of the bytes."""
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.substring(F.hex(c), i * 2 - 1, F.lit(2))))
-    # run lengths of the sorted bytes
-    distinct = F.array_distinct(pairs)
-    last = F.transform(distinct, lambda x: F.array_position(pairs, x))
-    return F.transform(last, lambda p, i: F.coalesce(F.get(last, i + 1), F.size(pairs) + 1) - p)
+def byte_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which text and how often, for each byte value that occurs in a text."""
+    ends = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    cells = len(texts) * 256
+    if len(data) < cells:  # short texts: sorting costs less than a table of all byte values
+        of, k = np.unique(np.repeat(np.arange(0, cells, 256), np.diff(ends)) + data, return_counts=True)
+        return of >> 8, k
+    table = np.zeros(cells, np.int64)
+    for at in range(0, len(data), _BYTES):
+        part = data[at : at + _BYTES]
+        table += np.bincount(np.repeat(np.arange(0, cells, 256), np.diff(np.clip(ends, at, at + len(part)))) + part, minlength=cells)
+    of = np.flatnonzero(table)
+    return of >> 8, table[of]
+
+
+def _entropy(of: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    p = k / n[of]
+    return np.bincount(of, -p * np.log2(p), len(n))
+
+
+def _chi_square(of: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    # the sum of (k - n / 256)^2 / (n / 256) over all byte values, multiplied out
+    return 256.0 * np.bincount(of, np.square(k, dtype=float), len(n)) / np.maximum(n, 1) - n
+
+
+def _of_bytes(c: Column | str, measure: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Column:
+    """A measure of the byte counts of each buffer; NULL for an empty one."""
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        texts, out = [x or b"" for x in s], [np.zeros(0)]
+        for i in range(0, len(texts), _ROWS):
+            part = texts[i : i + _ROWS]
+            out.append(measure(*byte_counts(part), np.array(list(map(len, part)))))
+        return pd.Series(np.concatenate(out))
+
+    b = _c(c).cast("binary")
+    return F.when(F.octet_length(b) > 0, run(b))
 
 
 def entropy(c: Column | str) -> Column:
     """Shannon entropy of the bytes, in bits; NULL for an empty buffer."""
-    b = _c(c).cast("binary")
-    n = F.octet_length(b)
-    h = F.aggregate(_histogram(b), F.lit(0.0), lambda s, k: s - (k / n) * F.log2(k / n))
-    return F.when(n > 0, F.abs(h))
+    return _of_bytes(c, _entropy)
 
 
 def chi_square(c: Column | str) -> Column:
     """Chi-square of the bytes against an even distribution; NULL for an empty buffer."""
-    b = _c(c).cast("binary")
-    n = F.octet_length(b)
-    e = n / 256.0
-    present = F.aggregate(_histogram(b), F.lit(0.0), lambda s, k: s + (k - e) * (k - e) / e)
-    return F.when(n > 0, present + (256 - F.size(_histogram(b))) * e)
+    return _of_bytes(c, _chi_square)
 
 
 def percent_of(c: Column | str, pattern: str) -> Column:

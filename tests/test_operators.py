@@ -1,5 +1,9 @@
 """Operators on small hand-made inputs: absent members, ports, ties."""
 
+import math
+import time
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +165,19 @@ def test_text_functions(spark):
     assert (one.sed, one.e, one.h, one.none, one.x) == ("a,BB,,c", 0.0, "JK", None, "7A 7A")
 
 
+def test_byte_measures(spark):
+    """Of every length in one pass, long buffers included; equal to counting one by one."""
+    cases = [b"", None, b"zz", "äöü €".encode(), bytes(range(256)), bytes(i * i % 251 for i in range(4000)), b"ab" * 700_000, *(b"large ring %d" % i for i in range(2100))]
+    df = spark.createDataFrame([(i, None if c is None else bytearray(c)) for i, c in enumerate(cases)], "i int, c binary")
+    start = time.monotonic()
+    got = {r.i: (r.e, r.x) for r in df.select("i", strings.entropy("c").alias("e"), strings.chi_square("c").alias("x")).collect()}
+    assert time.monotonic() - start < 60
+    for i, c in enumerate(cases):
+        n, counts = len(c or b""), Counter(c or b"")
+        want = (-sum(k / n * math.log2(k / n) for k in counts.values()), sum((counts[v] - n / 256) ** 2 / (n / 256) for v in range(256))) if n else (None, None)
+        assert got[i] == (pytest.approx(want) if n else want)
+
+
 def test_json_and_magic(spark):
     df = spark.createDataFrame([(1, [1, 2], bytearray(b"\x89PNG\r\n\x1a\n.."), None)], "i int, a array<int>, b binary, n string")
     assert structured.quoted_json(df, ["i", "a", "n"]).first().JSON == '{"i":"1","a":["1","2"]}'
